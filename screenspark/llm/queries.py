@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, language, media, quality, warc
+from . import bpe, exact_dedup, jaccard, language, media, mixing, pii, quality, warc
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    placed = mixing.copies(docs.withColumn("n_tokens", mixing.n_tokens(F.col("text"))), mixing.mixing_plan(docs))
+    return placed.select("doc_id", "source", "n_tokens", F.col("_passes").alias("passes"), F.col("_block").alias("block"), F.col("_copies").alias("copies"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_media(table(spark, sf_dir, "documents"))
     return media.media_columns(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -39,13 +45,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media, op4_bpe, op5_language, op6_warc, op7_jaccard, op8_exact_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_media, op4_bpe, op5_language, op6_warc, op7_jaccard, op8_exact_dedup, op9_pii, op10_quality)}
 
 ORACLE_SQL = {
+    "op2_mixing": mixing.ORACLE_SQL,
     "op8_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
