@@ -18,6 +18,8 @@ in or out together; a null id is at the place of the word ``null``; no rows give
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +88,6 @@ def _measures(rows: DataFrame, top: float, exponents: list[float]) -> dict:
 
 
 def _meets(m, top: float, repeat_limit, target_entropy, budget) -> bool:
-    import math
-
     if target_entropy is not None:
         return math.log(m.z) - m.a * m.s / m.z <= target_entropy
     passes = m.most / m.least if budget is None else budget * m.most / m.z
@@ -179,20 +179,21 @@ p AS (
   FROM s, e),
 q AS (SELECT *, CAST(floor(passes) AS INTEGER) AS whole, CAST(floor((passes - floor(passes)) * tokens) AS BIGINT) AS rest FROM p),
 b AS (
-  SELECT d.*, q.whole, q.rest, q.passes,
+  SELECT d.*, q.tokens, q.whole, q.rest, q.passes,
          CAST('0x' || substr(md5('17|doc|' || id), 1, 8) AS BIGINT) % q.blocks AS block
   FROM d JOIN q USING (key)),
 c AS (
-  SELECT *, CAST('0x' || substr(md5('17|block|' || key || '|' || block), 1, 8) AS BIGINT) AS place, md5('17|in|' || id) AS at
+  SELECT *, CAST('0x' || substr(md5('17|block|' || key || '|' || block), 1, 8) AS BIGINT) AS place, md5('17|in|' || id) AS spot
   FROM b),
 r AS (
-  SELECT *, sum(n) OVER (PARTITION BY key ORDER BY place, block RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block_end,
+  SELECT *, sum(n) OVER (PARTITION BY key ORDER BY place, block) AS block_end,
          sum(n) OVER (PARTITION BY key, block) AS block_n,
-         sum(n) OVER (PARTITION BY key, block ORDER BY at) AS doc_end
+         sum(n) OVER (PARTITION BY key, block ORDER BY spot) AS doc_end
   FROM (SELECT * FROM c) x),
 m AS (SELECT *, block_end - block_n AS block_start FROM r)
 SELECT doc_id, source, n AS n_tokens, passes, CAST(block AS BIGINT) AS block,
-       whole + CAST(CASE WHEN block_end <= rest THEN TRUE
+       whole + CAST(CASE WHEN tokens = 0 THEN FALSE
+                         WHEN block_end <= rest THEN TRUE
                          WHEN block_start <= rest THEN block_start + doc_end <= rest
                          ELSE FALSE END AS INTEGER) AS copies
 FROM m

@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, language, media, mixing, pii, quality, warc
+from . import bpe, exact_dedup, html_text, jaccard, language, media, mixing, pii, quality, warc
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     placed = mixing.copies(docs.withColumn("n_tokens", mixing.n_tokens(F.col("text"))), mixing.mixing_plan(docs))
@@ -53,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_media, op4_bpe, op5_language, op6_warc, op7_jaccard, op8_exact_dedup, op9_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_media, op4_bpe, op5_language, op6_warc, op7_jaccard, op8_exact_dedup, op9_pii, op10_quality)}
 
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE_SQL,
