@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one step of a per-document kernel holds at a time (a longer text is a step by itself).
 SLICE_BYTES = 4 << 20
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,21 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it: lineage ends there."""
+    """Writes ``df`` as a Parquet table in the shared folder and reads it: lineage ends there.
+
+    Shuffle files of the write are removed when it ends, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    if before is None:  # a Spark without this setting
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

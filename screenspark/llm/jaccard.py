@@ -368,7 +368,7 @@ def _wanted_sets(width: int, bits: int, shared):
             for part in slices([batch.filter(own)]):
                 sets = [s.tobytes() for s in shingle_sets(utf8(part), width)]
                 digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-                yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "elements"])
+                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "elements"])
 
     return run
 
@@ -407,7 +407,9 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     wanted = materialise(vertices.select("v", "doc_id", "digest").join(wanted, "v", "left_semi"))
     bits = sketch_bits
     bitmap = spark.sparkContext.broadcast(cell_totals(wanted.select("doc_id"), _bitmap_cells(bits), bits) > 0)
-    sets = own.mapInArrow(_wanted_sets(width, bits, bitmap), "digest binary, elements binary").join(wanted.select("digest", "v"), "digest").groupBy("v").agg(F.first("elements").alias("elements"))
+    # one row per vertex; rows that repeat both id and text repeat it, which only repeats measured pairs
+    sets = own.mapInArrow(_wanted_sets(width, bits, bitmap), "id long, digest binary, elements binary")
+    sets = sets.join(wanted.select("doc_id", "digest", "v"), "digest").filter(F.col("id").eqNullSafe(F.col("doc_id"))).select("v", "elements")
     sets = materialise(sets)
 
     linked = F.expr(f"100 * common >= {percent} * together")

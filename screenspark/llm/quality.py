@@ -170,3 +170,16 @@ def classify_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT,
     return score_quality(docs, weights, bias, id_col, text_col).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted")
     )
+
+
+def keep_accepted(docs: DataFrame, weights: np.ndarray, bias: float, accept: float = ACCEPT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``accept``."""
+    model = docs.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def run(batches):
+        table, offset = model.value
+        for batch in slices(batches, text_col):
+            keep = [score(t or "", table, offset) >= accept for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
