@@ -12,13 +12,14 @@ every step below loses no link:
    of them in that order, the window outside which no partner within r can lie.  Documents
    with equal sets are one vertex from the start.
 3. *Small cells* (up to ``SMALL`` vertices) yield the pairs inside the size window.
-4. *Large cells* take a pivot vertex each; the cells of a pivot form its region.  Distances to
-   the pivot are computed exactly, members within r are joined to it, and pairs in a region
-   are looked for only where the triangle inequality ``|d(x,p) - d(y,p)| <= r`` and a
-   contraction of the sets into bucket counts (L1 distance of counts never exceeds that of the
-   sets) allow them, and only between vertices not yet connected.  Regions are cut into
-   blocks of bounded size, and the next round works on what is still apart.
-5. Every pair that remains is verified on the whole sets.
+4. *Large cells* take a pivot vertex each; the cells of a pivot form its region.  Sets are
+   contracted into ``BUCKETS`` counts, whose L1 distance l is a metric that never exceeds the
+   size of the symmetric difference.  Members are measured to the pivot first; then pairs in a
+   region are looked for only where the triangle inequality (``|l(x,p) - l(y,p)|`` is at most
+   what r allows) and l itself permit, and only between vertices not yet connected.  Regions
+   are cut into blocks of bounded size.
+5. Pairs that remain are verified on the whole sets, in two rounds: one partner of each
+   vertex, then what is still in different components.
 
 Links are returned between vertices (distinct sets), with membership; components follow by
 minimum labels.  Hashes are 64 bits (see ``shingles``); sets are told apart by 128 bits.
@@ -48,7 +49,7 @@ PERCENT = 75
 SMALL = 16
 SKETCH_BITS = 22
 STRIPS = 64
-BUCKETS = 256
+BUCKETS = 128
 #: Vertices of a block of a large region.
 BLOCK = 1024
 _FLUSH = 1 << 21
@@ -248,17 +249,26 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
 
 
-def _prune(percent: int):
+_BOUNDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_()), ("apart", pa.int64()), ("may", pa.bool_())])
+
+
+def _bounds(percent: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
-                ok = may_link(_apart(_matrix(batch.column("x")), _matrix(batch.column("y"))), n, m, percent)
-                yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("star")], names=["a", "b", "star"]).filter(pa.array(ok))
+                apart = _apart(_matrix(batch.column("x")), _matrix(batch.column("y")))
+                yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("star"), pa.array(apart), pa.array(may_link(apart, n, m, percent))], schema=_BOUNDS)
 
     return run
 
 
+def bounds(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Each pair ``a, b, star`` with its distance in bucket counts and whether that lets it link."""
+    joined = pairs.join(shape.toDF("b", "m", "y"), "b").join(shape.toDF("a", "n", "x"), "a")
+    return joined.select("a", "b", "star", "n", "m", "x", "y").mapInArrow(_bounds(percent), "a long, b long, star boolean, apart long, may boolean")
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
@@ -267,29 +277,29 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
-_DISTANCES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_()), ("common", pa.int64()), ("together", pa.int64())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _measure(batches):
-    for batch in batches:
-        common, together = [], []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            s, t = (np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in (x, y))
-            common.append(_common(s, t))
-            together.append(len(s) + len(t) - common[-1])
-        yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("star"), pa.array(common, pa.int64()), pa.array(together, pa.int64())], schema=_DISTANCES)
-
+def _verify(percent: int):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                s, t = (np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in (x, y))
+                common = _common(s, t)
+                keep.append(100 * common >= percent * (len(s) + len(t) - common))
+            yield pa.record_batch([batch.column("a"), batch.column("b")], schema=_LINKS).filter(pa.array(keep, pa.bool_()))
 
-def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact sizes of intersection and union of each pair ``a, b, star``."""
-    joined = pairs.join(sets.select(F.col("v").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("v").alias("a"), F.col("elements").alias("x")), "a")
-    return joined.select("a", "b", "star", "x", "y").mapInArrow(_measure, "a long, b long, star boolean, common long, together long")
+    return run
 
 
-# --- 4. regions ------------------------------------------------------------------------
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets link."""
+    joined = pairs.select("a", "b").join(sets.select(F.col("v").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("v").alias("a"), F.col("elements").alias("x")), "a")
+    return joined.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
-_REGION_IN = ("v", "c", "n", "common", "together", "counts", "side")
 
+# --- 4. regions ------------------------------------------------------------------------
 
 def _region_pairs(percent: int):
     """Pairs between components inside one block of a region that no bound excludes.
@@ -298,13 +308,12 @@ def _region_pairs(percent: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
-        v, c, n, common, together, side = (table.column(k).to_numpy() for k in ("v", "c", "n", "common", "together", "side"))
+        v, c, n, far, side = (table.column(k).to_numpy() for k in ("v", "c", "n", "apart", "side"))
         counts = _matrix(table.column("counts"))
-        d = 1 - common / np.maximum(together, 1)
-        r = 1 - percent / 100 + 1e-9
         a, b = [], []
         for i in np.flatnonzero(side == 1):
-            near = np.flatnonzero((c != c[i]) & (np.abs(d - d[i]) <= r) & ((side == 0) | (v > v[i])))
+            # the triangle inequality: |l(x, p) - l(y, p)| never exceeds l(x, y)
+            near = np.flatnonzero((c != c[i]) & ((side == 0) | (v > v[i])) & may_link(np.abs(far - far[i]), n, n[i], percent))
             near = near[may_link(_apart(counts[near], counts[i : i + 1]), n[near], n[i], percent)]
             a.append(np.minimum(v[near], v[i]))
             b.append(np.maximum(v[near], v[i]))
@@ -317,11 +326,11 @@ def _region_pairs(percent: int):
 def region_pairs(star: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Pairs of region members in different components that may link (``a, b``).
 
-    ``star`` holds each member ``b`` of the region of pivot ``a`` with its measured distance.
+    ``star`` holds each member ``b`` of the region of pivot ``a`` with its distance in counts.
     In a region, the largest component is settled: its members are dealt into blocks once;
     all other members are dealt into blocks too, and each of their blocks meets every block.
     """
-    member = star.select("a", F.col("b").alias("v"), "common", "together").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    member = star.select("a", F.col("b").alias("v"), "apart").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     sizes = member.groupBy("a", "c").agg(F.count("*").alias("k"))
     top = sizes.groupBy("a").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"), F.count("*").alias("parts")).filter("parts > 1")
     top = top.select("a", F.col("top.c").alias("main"), F.ceil((F.col("m") - F.col("top.k")) / block).cast("int").alias("open_blocks"), F.ceil(F.col("top.k") / block).cast("int").alias("main_blocks"))
@@ -337,7 +346,7 @@ def region_pairs(star: DataFrame, labels: DataFrame, vertices: DataFrame, percen
             F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.least(i, own).alias("i"), (F.lit(-1) - F.greatest(i, own)).alias("j"), F.lit(1).alias("side"))),
         )
     )
-    dealt = member.withColumn("cell", F.explode(cells)).select("a", "cell.i", "cell.j", "cell.side", "v", "c", "n", "common", "together", "counts")
+    dealt = member.withColumn("cell", F.explode(cells)).select("a", "cell.i", "cell.j", "cell.side", "v", "c", "n", "apart", "counts")
     return dealt.groupBy("a", "i", "j").applyInArrow(_region_pairs(percent), "a long, b long").distinct()
 
 
@@ -397,32 +406,34 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     stars = hot.join(pivot.select("token", F.col("p.v").alias("a")), "token").select("a", F.col("v").alias("b"), F.lit(True).alias("star"))
     found = light.union(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
 
-    # pairs of small cells must pass the bucket bound; members of regions are measured in any case
-    shape = vertices.select("v", "n", "counts")
     found = materialise(found)
-    bounded = materialise(found.filter("not star").join(shape.toDF("b", "m", "y"), "b").join(shape.toDF("a", "n", "x"), "a").select("a", "b", "star", "n", "m", "x", "y").mapInArrow(_prune(percent), "a long, b long, star boolean"))
-    regions = found.filter("star")
-
-    wanted = bounded.select(F.explode(F.array("a", "b")).alias("v")).union(regions.select(F.explode(F.array("a", "b")).alias("v"))).distinct()
-    wanted = materialise(vertices.select("v", "doc_id", "digest").join(wanted, "v", "left_semi"))
-    bits = sketch_bits
-    bitmap = spark.sparkContext.broadcast(cell_totals(wanted.select("doc_id"), _bitmap_cells(bits), bits) > 0)
-    # one row per vertex; rows that repeat both id and text repeat it, which only repeats measured pairs
-    sets = own.mapInArrow(_wanted_sets(width, bits, bitmap), "id long, digest binary, elements binary")
-    sets = sets.join(wanted.select("doc_id", "digest", "v"), "digest").filter(F.col("id").eqNullSafe(F.col("doc_id"))).select("v", "elements")
-    sets = materialise(sets)
-
-    linked = F.expr(f"100 * common >= {percent} * together")
-    # first round: the smallest partner of each vertex, and all pivots
-    chosen = bounded.groupBy("b").agg(F.min("a").alias("a")).select("a", "b", F.lit(False).alias("star"))
-    measured = materialise(measure(chosen.union(regions.select("a", "b", "star")), sets))
-    links = materialise(measured.filter(linked & (F.col("a") != F.col("b"))).select("a", "b"))
+    shape = vertices.select("v", "n", "counts")
+    found = materialise(bounds(found, shape, percent))
+    bounded = found.filter("may and a <> b").select("a", "b")
+    regions = found.filter("star").select("a", "b", "apart")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Whole sets of some vertices; of their texts, all but a few others are left out by a bitmap of fixed size."""
+        wanted = materialise(vertices.select("v", "doc_id", "digest").join(wanted, "v", "left_semi"))
+        bitmap = spark.sparkContext.broadcast(cell_totals(wanted.select("doc_id"), _bitmap_cells(sketch_bits), sketch_bits) > 0)
+        # rows that repeat both id and text repeat a vertex, which only repeats verified pairs
+        sets = own.mapInArrow(_wanted_sets(width, sketch_bits, bitmap), "id long, digest binary, elements binary")
+        return materialise(sets.join(wanted, "digest").filter(F.col("id").eqNullSafe(F.col("doc_id"))).select("v", "elements"))
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    # first round: one partner of each vertex
+    chosen = materialise(bounded.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    sets = sets_of(ends(chosen))
+    links = materialise(verify(chosen, sets, percent))
     labels = connected_components(links)
     # second round: whatever is still apart
-    apart = bounded.select("a", "b").union(region_pairs(measured.filter("star").select("a", "b", "common", "together"), labels, vertices, percent, block)).distinct()
+    apart = bounded.union(region_pairs(regions, labels, vertices, percent, block)).distinct()
     apart = apart.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)")
-    more = measure(apart.select("a", "b", F.lit(False).alias("star")), sets).filter(linked).select("a", "b")
-    links = materialise(links.union(more))
+    apart = materialise(apart.select("a", "b").join(chosen, ["a", "b"], "left_anti"))
+    more = ends(apart).join(sets.select("v"), "v", "left_anti")
+    if not more.isEmpty():
+        sets = sets.union(sets_of(more))
+    links = materialise(links.union(verify(apart, sets, percent)))
     labels = connected_components(links)
     rows = signed.select("doc_id", "n", "digest").join(vertices.select("digest", F.col("v")), "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v"))
     return rows, links, labels
