@@ -49,6 +49,7 @@ PERCENT = 75
 SMALL = 16
 SKETCH_BITS = 22
 STRIPS = 64
+#: Counts of a set: this many, or 8 or 64 times as many for sets above 8 or 64 times as many elements.
 BUCKETS = 128
 #: Vertices of a block of a large region.
 BLOCK = 1024
@@ -136,7 +137,7 @@ def _signatures(width: int, percent: int, bits: int, shared):
                 n = len(found)
                 sizes.append(n)
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                counts.append(np.minimum(np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+                counts.append(_counts(found))
                 if not n:
                     firsts.append(b"")
                     continue
@@ -157,6 +158,11 @@ def _signatures(width: int, percent: int, bits: int, shared):
     return run
 
 
+def _counts(found: np.ndarray) -> bytes:
+    size = BUCKETS * (64 if len(found) > 64 * BUCKETS else 8 if len(found) > 8 * BUCKETS else 1)
+    return np.minimum(np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
 _CELL_ROWS = pa.schema([("token", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
 
@@ -235,9 +241,28 @@ def _cell_pairs(percent: int, small: int):
 # --- 3. bounds and exact distances -----------------------------------------------------
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """L1 distance of bucket counts, a lower bound of the size of the symmetric difference."""
-    return np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1, dtype=np.int64)
+def _fold(data: bytes, size: int) -> np.ndarray:
+    """Counts of a set in ``size`` buckets, from as many or more."""
+    return np.frombuffer(data, dtype=np.uint8).reshape(-1, size).sum(axis=0, dtype=np.int32)
+
+
+def _apart(xs: list[bytes], ys: list[bytes], most: int | None = None) -> np.ndarray:
+    """L1 distances of bucket counts, lower bounds of the sizes of the symmetric differences.
+
+    Each pair is measured in as many buckets as both its sets have, up to ``most``.
+    """
+    sizes = np.minimum(np.fromiter(map(len, xs), np.int64, len(xs)), np.fromiter(map(len, ys), np.int64, len(ys)))
+    sizes = np.minimum(sizes, most or sizes)
+    out = np.zeros(len(xs), dtype=np.int64)
+    for size in np.unique(sizes).tolist():
+        of = np.flatnonzero(sizes == size)
+        for at in range(0, len(of), 1 << 14):
+            own = of[at : at + (1 << 14)]
+            for part in np.array_split(own, -(-len(own) * size // (1 << 21))):
+                x = np.stack([_fold(xs[k], size) for k in part])
+                y = np.stack([_fold(ys[k], size) for k in part])
+                out[part] = np.abs(x - y).sum(axis=1)
+    return out
 
 
 def may_link(apart, n, m, percent: int = PERCENT):
@@ -245,10 +270,6 @@ def may_link(apart, n, m, percent: int = PERCENT):
     return (100 * (n + m - apart) >= percent * (n + m + apart)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
-
-
 _BOUNDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_()), ("apart", pa.int64()), ("may", pa.bool_())])
 
 
@@ -257,14 +278,15 @@ def _bounds(percent: int):
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
-                apart = _apart(_matrix(batch.column("x")), _matrix(batch.column("y")))
-                yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("star"), pa.array(apart), pa.array(may_link(apart, n, m, percent))], schema=_BOUNDS)
+                x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+                apart, far = _apart(x, y), _apart(x, y, BUCKETS)
+                yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("star"), pa.array(far), pa.array(may_link(apart, n, m, percent))], schema=_BOUNDS)
 
     return run
 
 
 def bounds(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
-    """Each pair ``a, b, star`` with its distance in bucket counts and whether that lets it link."""
+    """Each pair ``a, b, star`` with its distance in ``BUCKETS`` counts and whether its finest counts let it link."""
     joined = pairs.join(shape.toDF("b", "m", "y"), "b").join(shape.toDF("a", "n", "x"), "a")
     return joined.select("a", "b", "star", "n", "m", "x", "y").mapInArrow(_bounds(percent), "a long, b long, star boolean, apart long, may boolean")
 
@@ -309,12 +331,14 @@ def _region_pairs(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         v, c, n, far, side = (table.column(k).to_numpy() for k in ("v", "c", "n", "apart", "side"))
-        counts = _matrix(table.column("counts"))
+        counts = table.column("counts").to_pylist()
+        coarse = np.stack([_fold(x, BUCKETS) for x in counts])
         a, b = [], []
         for i in np.flatnonzero(side == 1):
-            # the triangle inequality: |l(x, p) - l(y, p)| never exceeds l(x, y)
+            # the triangle inequality in coarse counts: |l(x, p) - l(y, p)| never exceeds l(x, y)
             near = np.flatnonzero((c != c[i]) & ((side == 0) | (v > v[i])) & may_link(np.abs(far - far[i]), n, n[i], percent))
-            near = near[may_link(_apart(counts[near], counts[i : i + 1]), n[near], n[i], percent)]
+            near = near[may_link(np.abs(coarse[near] - coarse[i]).sum(axis=1), n[near], n[i], percent)]
+            near = near[may_link(_apart([counts[k] for k in near], [counts[i]] * len(near)), n[near], n[i], percent)]
             a.append(np.minimum(v[near], v[i]))
             b.append(np.maximum(v[near], v[i]))
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
