@@ -18,8 +18,8 @@ every step below loses no link:
    region are looked for only where the triangle inequality (``|l(x,p) - l(y,p)|`` is at most
    what r allows) and l itself permit, and only between vertices not yet connected.  Regions
    are cut into blocks of bounded size.
-5. Pairs that remain are verified on the whole sets, in two rounds: one partner of each
-   vertex, then what is still in different components.
+5. Pairs that remain are verified on the whole sets, in rounds: the partner with the smallest
+   bound of each vertex, the nearest in its regions, then all that is still in different components.
 
 Links are returned between vertices (distinct sets), with membership; components follow by
 minimum labels.  Hashes are 64 bits (see ``shingles``); sets are told apart by 128 bits.
@@ -323,10 +323,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 # --- 4. regions ------------------------------------------------------------------------
 
-def _region_pairs(percent: int):
+def _region_pairs(percent: int, best: bool):
     """Pairs between components inside one block of a region that no bound excludes.
 
     ``side`` 1 rows are compared with all rows of the block, ``side`` 0 rows only with those.
+    With ``best``, each row of side 1 yields only its partner of the smallest bound.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -335,10 +336,14 @@ def _region_pairs(percent: int):
         coarse = np.stack([_fold(x, BUCKETS) for x in counts])
         a, b = [], []
         for i in np.flatnonzero(side == 1):
-            # the triangle inequality in coarse counts: |l(x, p) - l(y, p)| never exceeds l(x, y)
-            near = np.flatnonzero((c != c[i]) & ((side == 0) | (v > v[i])) & may_link(np.abs(far - far[i]), n, n[i], percent))
+            # (with best, a row looks both ways) the triangle inequality in coarse counts: |l(x, p) - l(y, p)| never exceeds l(x, y)
+            near = np.flatnonzero((c != c[i]) & (best | (side == 0) | (v > v[i])) & may_link(np.abs(far - far[i]), n, n[i], percent))
             near = near[may_link(np.abs(coarse[near] - coarse[i]).sum(axis=1), n[near], n[i], percent)]
-            near = near[may_link(_apart([counts[k] for k in near], [counts[i]] * len(near)), n[near], n[i], percent)]
+            fine = _apart([counts[k] for k in near], [counts[i]] * len(near))
+            ok = may_link(fine, n[near], n[i], percent)
+            near, fine = near[ok], fine[ok]
+            if best and len(near):
+                near = near[[np.argmin(fine / (n[near] + n[i]))]]
             a.append(np.minimum(v[near], v[i]))
             b.append(np.maximum(v[near], v[i]))
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
@@ -347,7 +352,7 @@ def _region_pairs(percent: int):
     return run
 
 
-def region_pairs(star: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def region_pairs(star: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int = PERCENT, block: int = BLOCK, best: bool = False) -> DataFrame:
     """Pairs of region members in different components that may link (``a, b``).
 
     ``star`` holds each member ``b`` of the region of pivot ``a`` with its distance in counts.
@@ -371,7 +376,7 @@ def region_pairs(star: DataFrame, labels: DataFrame, vertices: DataFrame, percen
         )
     )
     dealt = member.withColumn("cell", F.explode(cells)).select("a", "cell.i", "cell.j", "cell.side", "v", "c", "n", "apart", "counts")
-    return dealt.groupBy("a", "i", "j").applyInArrow(_region_pairs(percent), "a long, b long").distinct()
+    return dealt.groupBy("a", "i", "j").applyInArrow(_region_pairs(percent, best), "a long, b long").distinct()
 
 
 # --- the join --------------------------------------------------------------------------
@@ -433,7 +438,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     found = materialise(found)
     shape = vertices.select("v", "n", "counts")
     found = materialise(bounds(found, shape, percent))
-    bounded = found.filter("may and a <> b").select("a", "b")
+    bounded = found.filter("may and a <> b").select("a", "b", "apart")
     regions = found.filter("star").select("a", "b", "apart")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -445,20 +450,29 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
         return materialise(sets.join(wanted, "digest").filter(F.col("id").eqNullSafe(F.col("doc_id"))).select("v", "elements"))
 
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    # first round: one partner of each vertex
-    chosen = materialise(bounded.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    # first round: the partner with the smallest bound, of each vertex
+    both = bounded.union(bounded.select("b", "a", "apart"))
+    chosen = materialise(both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct())
     sets = sets_of(ends(chosen))
     links = materialise(verify(chosen, sets, percent))
     labels = connected_components(links)
-    # second round: whatever is still apart
-    apart = bounded.union(region_pairs(regions, labels, vertices, percent, block)).distinct()
-    apart = apart.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)")
-    apart = materialise(apart.select("a", "b").join(chosen, ["a", "b"], "left_anti"))
-    more = ends(apart).join(sets.select("v"), "v", "left_anti")
-    if not more.isEmpty():
-        sets = sets.union(sets_of(more))
-    links = materialise(links.union(verify(apart, sets, percent)))
-    labels = connected_components(links)
+    # next rounds: of what is still apart, the nearest partner in each region; the last round: all
+    for best in (True, True, False):
+        apart = region_pairs(regions, labels, vertices, percent, block, best)
+        if not best:
+            apart = apart.union(bounded.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+        apart = apart.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)")
+        apart = materialise(apart.select("a", "b").join(chosen, ["a", "b"], "left_anti"))
+        if apart.isEmpty():
+            continue
+        more = materialise(ends(apart).join(sets.select("v"), "v", "left_anti"))
+        if not more.isEmpty():
+            sets = sets.union(sets_of(more))
+        fresh = materialise(verify(apart, sets, percent))
+        chosen = chosen.union(apart)
+        if not fresh.isEmpty():
+            links = links.union(fresh)
+            labels = connected_components(links)
     rows = signed.select("doc_id", "n", "digest").join(vertices.select("digest", F.col("v")), "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v"))
     return rows, links, labels
 
