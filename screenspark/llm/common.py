@@ -52,6 +52,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replace_table(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Materialises ``new``, then removes the scratch table ``old``, which nothing may read any more."""
+    out = materialise(new)
+    jvm, spark = old.sparkSession._jvm, old.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in old.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return out
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (as ``doc_id``, long) and the whole text (as ``text``, null as empty)."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, slices, utf8
+from .common import documents, materialise, replace_table, slices, utf8
 from .components import connected_components
 from .shingles import WIDTH, shingle_sets
 
@@ -426,6 +426,9 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     vertices = signed.filter("n > 0").groupBy("digest", "n").agg(F.min_by(F.struct("pos", "doc_id", "first", "counts"), "pos").alias("s"))
     vertices = materialise(vertices.select(F.col("s.pos").alias("v"), F.col("s.doc_id").alias("doc_id"), "digest", "n", F.col("s.first").alias("first"), F.col("s.counts").alias("counts")))
 
+    # each large column is kept only as long as a later step reads it
+    signed = replace_table(signed, signed.select("doc_id", "n", "digest"))
+
     source = vertices.select("v", "n", "first")
     light = source.mapInArrow(_cell_rows(percent, False), "token long, v long, n long")
     light = light.repartition("token").sortWithinPartitions("token").select("token", "v", "n").mapInArrow(_cell_pairs(percent, small), "a long, b long, star boolean")
@@ -436,6 +439,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     found = light.union(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
 
     found = materialise(found)
+    vertices = replace_table(vertices, vertices.drop("first"))
     shape = vertices.select("v", "n", "counts")
     found = materialise(bounds(found, shape, percent))
     bounded = found.filter("may and a <> b").select("a", "b", "apart")
