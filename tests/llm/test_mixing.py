@@ -6,7 +6,7 @@ from screenspark.llm import mixing
 
 
 def corpus(spark, sizes):
-    rows = [(100 * k + i, " ".join(["w"] * (5 + i % 7)), source) for k, (source, n) in enumerate(sizes.items()) for i in range(n)]
+    rows = [(1000 * k + i, " ".join(["w"] * (5 + i % 7)), source) for k, (source, n) in enumerate(sizes.items()) for i in range(n)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string")
 
 
