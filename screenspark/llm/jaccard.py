@@ -136,7 +136,7 @@ def _signatures(width: int, percent: int, bits: int, shared):
             for found in shingle_sets(utf8(batch), width):
                 n = len(found)
                 sizes.append(n)
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                digests.append(_digest(found))
                 counts.append(_counts(found))
                 if not n:
                     firsts.append(b"")
@@ -158,6 +158,24 @@ def _signatures(width: int, percent: int, bits: int, shared):
     return run
 
 
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+_NAMED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+
+
+def _names(width: int):
+    """Size and digest of each row's set."""
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = list(shingle_sets(utf8(batch), width))
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], schema=_NAMED)
+
+    return run
+
+
 def _counts(found: np.ndarray) -> bytes:
     size = BUCKETS * (64 if len(found) > 64 * BUCKETS else 8 if len(found) > 8 * BUCKETS else 1)
     return np.minimum(np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
@@ -404,9 +422,8 @@ def _wanted_sets(width: int, bits: int, shared):
         for batch in batches:
             own = pa.array(bitmap[_bitmap_place(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)])
             for part in slices([batch.filter(own)]):
-                sets = [s.tobytes() for s in shingle_sets(utf8(part), width)]
-                digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "elements"])
+                sets = list(shingle_sets(utf8(part), width))
+                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "digest", "elements"])
 
     return run
 
@@ -421,13 +438,12 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     own = documents(docs, id_col, text_col)
     classes = spark.sparkContext.broadcast(rank_classes(cell_totals(own.select("text"), _count_cells(width, sketch_bits), sketch_bits)))
     signed = own.withColumn("pos", F.monotonically_increasing_id()).select("doc_id", "pos", "text")
-    signed = materialise(signed.mapInArrow(_signatures(width, percent, sketch_bits, classes), "doc_id long, pos long, n long, digest binary, first binary, counts binary"))
+    signed = signed.mapInArrow(_signatures(width, percent, sketch_bits, classes), "doc_id long, pos long, n long, digest binary, first binary, counts binary")
 
     vertices = signed.filter("n > 0").groupBy("digest", "n").agg(F.min_by(F.struct("pos", "doc_id", "first", "counts"), "pos").alias("s"))
     vertices = materialise(vertices.select(F.col("s.pos").alias("v"), F.col("s.doc_id").alias("doc_id"), "digest", "n", F.col("s.first").alias("first"), F.col("s.counts").alias("counts")))
-
-    # each large column is kept only as long as a later step reads it
-    signed = replace_table(signed, signed.select("doc_id", "n", "digest"))
+    # what every row needs later is small; computing it again from the texts costs less than keeping the signatures of all rows
+    named = materialise(own.select("doc_id", "text").mapInArrow(_names(width), "doc_id long, n long, digest binary"))
 
     source = vertices.select("v", "n", "first")
     light = source.mapInArrow(_cell_rows(percent, False), "token long, v long, n long")
@@ -439,6 +455,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     found = light.union(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
 
     found = materialise(found)
+    # each large column is kept only as long as a later step reads it
     vertices = replace_table(vertices, vertices.drop("first"))
     shape = vertices.select("v", "n", "counts")
     found = materialise(bounds(found, shape, percent))
@@ -477,7 +494,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
         if not fresh.isEmpty():
             links = links.union(fresh)
             labels = connected_components(links)
-    rows = signed.select("doc_id", "n", "digest").join(vertices.select("digest", F.col("v")), "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v"))
+    rows = named.join(vertices.select("digest", F.col("v")), "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v"))
     return rows, links, labels
 
 
