@@ -112,3 +112,49 @@ near AS (
   FROM spots a JOIN spots b ON a.field_id = b.field_id AND a.cycle = 1 AND b.cycle > 1
    AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 25 GROUP BY ALL)
 """
+
+
+def pixels(spark: SparkSession) -> DataFrame:
+    """``img, ch, y, x, v``: three images of four 32 x 32 channels; channel 3 of image 0 is flat."""
+    at = spark.range(3 * 4 * 32 * 32).selectExpr("id", "id div 4096 AS img", "id div 1024 % 4 AS ch", "id div 32 % 32 AS y", "id % 32 AS x")
+    return at.selectExpr("img", "ch", "y", "x", "CASE WHEN img = 0 AND ch = 3 THEN 5D ELSE (id * 7919 % 10007) / 100D + 0.5D END AS v")
+
+
+PIXELS = """
+px AS (
+  SELECT img, ch, y, x, CASE WHEN img = 0 AND ch = 3 THEN 5.0::DOUBLE ELSE (id * 7919 % 10007) / 100.0::DOUBLE + 0.5::DOUBLE END AS v
+  FROM (SELECT range AS id, range // 4096 AS img, range // 1024 % 4 AS ch, range // 32 % 32 AS y, range % 32 AS x FROM range(12288)))
+"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``g1, g2, score`` between genes of ``cells``, both directions, some missing."""
+    labels = table(spark, sf_dir, "embeddings").filter("label >= 2").select("label").distinct()
+    both = labels.withColumn("other", F.explode(F.sequence(F.lit(2), F.lit(9)))).filter("label <> other")
+    return both.selectExpr("concat('G', label) AS g1", "concat('G', other) AS g2", "(label * 37 + other * 37 + label * other * 11) % 1000 AS s").filter("s > 200").selectExpr("g1", "g2", "s / 1000D AS score")
+
+
+EDGES = """
+edges AS (
+  SELECT 'G' || label AS g1, 'G' || other AS g2, s / 1000.0::DOUBLE AS score
+  FROM (SELECT label, other, (label * 37 + other * 37 + label * other * 11) % 1000 AS s
+        FROM (SELECT DISTINCT label FROM embeddings WHERE label >= 2), (SELECT unnest(range(2, 10)) AS other) WHERE label <> other)
+  WHERE s > 200)
+"""
+
+
+def split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``gene, split, model, y, score``: labels dealt to four genes and three splits, scored by two models."""
+    rows = table(spark, sf_dir, "labels").selectExpr("concat('G', doc_id % 4) AS gene", "doc_id % 3 AS split", "quality AS y", "(doc_id * 37 % 101) / 101D AS a", "(doc_id * 53 % 97) / 97D AS b")
+    return rows.selectExpr("gene", "split", "y", "stack(2, 'a', a, 'b', b) AS (model, score)")
+
+
+SPLITS = """
+splits AS (
+  SELECT 'G' || (doc_id % 4) AS gene, doc_id % 3 AS split, quality AS y, model,
+         CASE model WHEN 'a' THEN (doc_id * 37 % 101) / 101.0::DOUBLE ELSE (doc_id * 53 % 97) / 97.0::DOUBLE END AS score
+  FROM labels, (VALUES ('a'), ('b')) m(model)),
+aucs AS (
+  SELECT p.gene, p.split, p.model, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END)::DOUBLE AS auc
+  FROM splits p JOIN splits n ON p.gene = n.gene AND p.split = n.split AND p.model = n.model AND p.y = 1 AND n.y = 0 GROUP BY ALL)
+"""

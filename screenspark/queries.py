@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.vectors import r6
 from .operators import barcodes, curves, hypothesis, keys, normalize, series, similarity, spatial
 from .plans import fixtures as fx
-
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+from .registry import ORACLE_SQL, QUERIES, query
 
 
 def _long(spark, sf_dir) -> DataFrame:
@@ -338,3 +324,6 @@ SELECT plate_well, ID, y FROM (SELECT s.*, n.n, row_number() OVER (PARTITION BY
 def balanced_sample(spark, sf_dir):
     rows = fx.cells(spark, sf_dir).filter("gene_id in ('intergenic', 'G2')").selectExpr("plate_well", "ID", "gene_id = 'intergenic' AS y")
     return series.balanced_sample(rows, ["plate_well"], "y", "ID", "42")
+
+
+from . import queries_network, queries_space  # noqa: E402, F401  register their queries too
