@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels with pointer jumping.
+"""Connected components of an edge table by minimum labels, root hooking and pointer jumping.
 
 Only DataFrame joins and minima with a partial combine; labels are written to the shared
 folder after each round, so a lost executor costs a round at most.
@@ -12,21 +12,24 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``v, c``: for every endpoint of ``edges(a, b)`` the smallest vertex that it reaches.
 
     No edges give an empty table.  Loops and repeated edges are harmless; null endpoints are dropped.
+    Labels only fall and rounds end when none does, so there is no limit on rounds.
     """
     pairs = edges.select("a", "b").filter("a is not null and b is not null")
     both = materialise(pairs.union(pairs.select("b", "a")).toDF("v", "u").distinct())
     labels = materialise(both.groupBy("v").agg(F.min("u").alias("c")).select("v", F.least("v", "c").alias("c")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("m"))
-        hooked = labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "m").alias("c"))
+        lowered = materialise(labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "m").alias("c")))
+        # a vertex whose label falls takes its old label along, or long chains settle a hop a round
+        roots = lowered.filter("c < was").groupBy(F.col("was").alias("v")).agg(F.min("c").alias("r"))
+        hooked = lowered.join(roots, "v", "left").select("v", "was", F.least("c", "r").alias("c"))
         # the label's own label, one hop further
         jumped = hooked.join(labels.select(F.col("v").alias("c"), F.col("c").alias("up")), "c").select("v", "was", F.least("c", "up").alias("c"))
         labels = materialise(jumped)
         if labels.filter("c <> was").limit(1).count() == 0:
             return labels.select("v", "c")
         labels = labels.select("v", "c")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

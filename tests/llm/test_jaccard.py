@@ -74,3 +74,11 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99)], "a long, b long")
     got = dict(map(tuple, connected_components(edges).collect()))
     assert got == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99}
+
+
+def test_components_of_a_long_shuffled_chain(spark):
+    chain = list(range(1000))
+    random.Random(4).shuffle(chain)
+    edges = spark.createDataFrame(list(zip(chain, chain[1:])) + [(5000, 5001)], "a long, b long").repartition(4)
+    got = dict(map(tuple, connected_components(edges).collect()))
+    assert got == {**dict.fromkeys(range(1000), 0), 5000: 5000, 5001: 5000}
