@@ -31,10 +31,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of links the smallest id stays; rows without an id stay."""
-    found = materialise(jaccard.jaccard_components(docs))
-    gone = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of links one row stays: the smallest id's, null ids last, of equal ids the one with the smallest text digest."""
+    found = materialise(jaccard.jaccard_rows(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key")
+    first = found.filter("c is not null").groupBy("c").agg(F.min(order).alias("first"))
+    found = materialise(found.join(first, "c", "left").select("doc_id", "text_key", F.col("c").isNotNull().alias("linked"), F.coalesce(order != F.col("first"), F.lit(False)).alias("gone")))
+    # ids that lose all their rows go by id alone, so that only repeated and null ids need the digest
+    whole = materialise(found.filter("doc_id is not null").groupBy("doc_id").agg(F.every("gone").alias("gone")).filter("gone").select("doc_id"))
+    some = found.filter("gone").join(whole, "doc_id", "left_anti").select("doc_id", "text_key").distinct().withColumn("stays", F.lit(False))
+    again = found.filter("linked and not gone").groupBy("doc_id", "text_key").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id", "text_key", F.lit(True).alias("stays"))
+    keys = materialise(some.union(again))
+    left = docs.join(whole, "doc_id", "left_anti").select(*COLUMNS)
+    if keys.isEmpty():
+        return left
+    left = left.withColumn("_key", jaccard.text_key(F.col("text")))
+    left = left.join(keys.withColumnRenamed("doc_id", "_id"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left")
+    one = left.filter("stays").dropDuplicates(["doc_id", "_key"])
+    return left.filter("stays is null").union(one).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, replace_table, slices, utf8
@@ -163,15 +163,22 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 _NAMED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_KEYED = _NAMED.append(pa.field("text_key", pa.binary()))
 
 
-def _names(width: int):
+def text_key(text: Column) -> Column:
+    """Digest of the whole text, null as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def _names(width: int, keyed: bool = False):
     """Size and digest of each row's set."""
 
     def run(batches):
         for batch in slices(batches):
             sets = list(shingle_sets(utf8(batch), width))
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], schema=_NAMED)
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())]
+            yield pa.record_batch([*columns, batch.column("text_key").cast(pa.binary())], schema=_KEYED) if keyed else pa.record_batch(columns, schema=_NAMED)
 
     return run
 
@@ -428,7 +435,7 @@ def _wanted_sets(width: int, bits: int, shared):
     return run
 
 
-def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK, sketch_bits: int = SKETCH_BITS, keyed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, links, labels)``.
 
     ``rows``: ``doc_id, n, v`` of every row (``v`` null for an empty set); ``links``: verified pairs
@@ -443,7 +450,8 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     vertices = signed.filter("n > 0").groupBy("digest", "n").agg(F.min_by(F.struct("pos", "doc_id", "first", "counts"), "pos").alias("s"))
     vertices = materialise(vertices.select(F.col("s.pos").alias("v"), F.col("s.doc_id").alias("doc_id"), "digest", "n", F.col("s.first").alias("first"), F.col("s.counts").alias("counts")))
     # what every row needs later is small; computing it again from the texts costs less than keeping the signatures of all rows
-    named = materialise(own.select("doc_id", "text").mapInArrow(_names(width), "doc_id long, n long, digest binary"))
+    key = [text_key(F.col("text")).alias("text_key")] if keyed else []
+    named = materialise(own.select("doc_id", "text", *key).mapInArrow(_names(width, keyed), "doc_id long, n long, digest binary" + ", text_key binary" * keyed))
 
     source = vertices.select("v", "n", "first")
     light = source.mapInArrow(_cell_rows(percent, False), "token long, v long, n long")
@@ -494,10 +502,16 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
         if not fresh.isEmpty():
             links = links.union(fresh)
             labels = connected_components(links)
-    rows = named.join(vertices.select("digest", F.col("v")), "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v"))
+    rows = named.join(vertices.select("digest", F.col("v")), "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v"), *["text_key"] * keyed)
     return rows, links, labels
 
 
+def jaccard_rows(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
+    """``doc_id, text_key, c`` of every row: its text's digest and its component (null for an empty set)."""
+    rows, _, labels = jaccard_links(docs, percent, id_col=id_col, text_col=text_col, keyed=True, **bounds)
+    return rows.join(labels, "v", "left").select("doc_id", "text_key", F.coalesce("c", "v").alias("c"))
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; the component's id is its smallest doc_id."""
     rows, _, labels = jaccard_links(docs, percent, id_col=id_col, text_col=text_col, **bounds)

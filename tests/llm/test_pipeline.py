@@ -39,3 +39,19 @@ def test_one_document_of_each_group_of_accepted_ones(spark):
     assert found <= set(ids)
     assert len({root(k) for k in found}) == len(found)
     assert {root(k) for k in found} == {root(k) for k in ids}
+
+
+def test_near_copies_go_by_row_where_ids_repeat_or_are_null(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    lone = " ".join(f"v{k}" for k in range(60))
+    other, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "uq")
+    rows = [
+        (1, base), (2, base + " x"), (2, lone),  # id 2: a copy that goes and a text of its own
+        (5, other), (5, other + " y"),  # both hold the smallest id of their group
+        (None, third), (None, third + " z"), (None, "short of its own"),
+        (7, "Twice the same row"), (7, "Twice the same row"),
+        (8, ""), (8, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [(r.doc_id, (r.text or "").split(" ")[0]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "w0"), (2, "v0"), (5, "u0"), (None, "q0"), (None, "short"), (7, "Twice"), (8, ""), (8, "")], key=str)
