@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,36 @@ def ks_p_value(ks: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     return F.when(t2 < 0.04, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * total)))
 
 
+def exact_ks_p(ks: float, m: int, n: int) -> float:
+    """Share of all orders of both samples whose gap reaches ``ks``: the mass that leaves the band on the way to (m, n)."""
+    g = math.gcd(m, n)
+    h = round(ks * (m // g) * n)
+    if h == 0:
+        return 1.0
+    i = np.arange(m + 1)
+    inside, left = np.zeros(m + 1), 0.0
+    inside[0] = 1.0
+    for k in range(m + n):
+        step = inside * (n - k + i) / (m + n - k)
+        step[1:] += (inside * (m - i) / (m + n - k))[:-1]
+        out = np.abs(i * (n // g) - (k + 1 - i) * (m // g)) >= h
+        left += step[out].sum()
+        step[out] = 0.0
+        inside = step
+    return min(1.0, left)
+
+
+def ks_p_auto(ks: Column, n1: Column, n2: Column, most: int = 10_000) -> Column:
+    """Exact p where both samples have ``most`` values or fewer, the series above."""
+
+    @F.pandas_udf("double")
+    def exact(ks: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        known = ks.notna() & n1.gt(0) & n2.gt(0) & n1.le(most) & n2.le(most)
+        return pd.Series([exact_ks_p(float(d), int(m), int(n)) if k else None for d, m, n, k in zip(ks, n1, n2, known)], dtype="float64")
+
+    return F.when(F.greatest(n1, n2) <= most, exact(ks, n1, n2)).otherwise(ks_p_value(ks, n1, n2))
+
+
 def bh_fdr(df: DataFrame, p: str = "p", keys: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg: running minimum of ``p n / rank`` from the largest p down."""
     keys = keys or []

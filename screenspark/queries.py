@@ -218,7 +218,7 @@ def ks_by_gene(spark, sf_dir):
 
 @query()
 def ks_pvalue(spark, sf_dir):
-    return _ks(spark, sf_dir).withColumn("p", hypothesis.ks_p_value(F.col("ks"), F.col("n1"), F.col("n2")))
+    return _ks(spark, sf_dir).withColumn("p", hypothesis.ks_p_auto(F.col("ks"), F.col("n1"), F.col("n2")))
 
 
 _P = "p AS (SELECT event_id AS id, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS p FROM events)"

@@ -116,3 +116,27 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = windows.counts(events, "ts", "event_type", "1 hour", "1 day")
     pick = lambda df: sorted((r.event_type, r.start, r.n, r.top) for r in df.collect())
     assert pick(spark.table("hourly")) == pick(batch)
+
+
+def test_ks_p_is_exact_for_small_samples(spark):
+    from itertools import combinations
+    from math import comb
+
+    def counted(ks, m, n):
+        hits = 0
+        for firsts in combinations(range(m + n), m):
+            i = gap = 0
+            for k in range(m + n):
+                i += k in firsts
+                gap = max(gap, abs(i * n - (k + 1 - i) * m))
+            hits += gap >= round(ks * m * n)
+        return hits / comb(m + n, m)
+
+    cases = [(0.5, 4, 6), (1.0, 3, 5), (0.4, 5, 5), (0.25, 4, 8), (0.0, 3, 3)]
+    rows = spark.createDataFrame([*cases, (0.02, 20000, 9000), (None, 0, 5)], "ks double, n1 long, n2 long")
+    both = rows.select("ks", "n1", "n2", hypothesis.ks_p_auto(F.col("ks"), F.col("n1"), F.col("n2")).alias("p"), hypothesis.ks_p_value(F.col("ks"), F.col("n1"), F.col("n2")).alias("series"))
+    got = {(r.ks, r.n1, r.n2): (r.p, r.series) for r in both.collect()}
+    for case in cases:
+        assert got[case][0] == pytest.approx(counted(*case), rel=1e-12)
+    assert got[0.02, 20000, 9000][0] == got[0.02, 20000, 9000][1]
+    assert got[None, 0, 5][0] is None
