@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from screenspark.operators import barcodes, curves, geometry, hypothesis, network, normalize, pixels, similarity, spatial
+from screenspark.operators import barcodes, curves, geometry, hypothesis, keys, network, normalize, pixels, series, similarity, spatial
 from screenspark.sources import files
 from screenspark.streaming import windows
 
@@ -140,3 +140,28 @@ def test_ks_p_is_exact_for_small_samples(spark):
         assert got[case][0] == pytest.approx(counted(*case), rel=1e-12)
     assert got[0.02, 20000, 9000][0] == got[0.02, 20000, 9000][1]
     assert got[None, 0, 5][0] is None
+
+
+def test_composite_uid_joins_four_parts(spark):
+    rows = spark.createDataFrame([("A01", "t2", 3, 4), ("A01", None, 3, 4)], "well string, tile string, cycle_id int, tile_id int")
+    got = rows.select(keys.tile_uid(F.col("well"), F.col("tile"), F.col("cycle_id"), F.col("tile_id")).alias("uid"))
+    assert {r.uid for r in got.collect()} == {"A01-t2-3-4", None}
+
+
+def test_shared_library_prefix_multiplies_rows(spark):
+    library = spark.createDataFrame([("CATGT", "g1"), ("CATGA", "g2"), ("TTTTT", "g3")], "sgRNA string, gene_id string")
+    found = spark.createDataFrame([(1, "CATG"), (2, "CANG"), (3, "GGGG"), (4, "TTTT")], "id int, barcode string")
+    got = sorted((r.id, r.gene_id) for r in barcodes.valid_barcodes(found, library, 4).collect())
+    assert got == [(1, "g1"), (1, "g2"), (4, "g3")]
+
+
+def test_ema_folds_in_order(spark):
+    rows = spark.createDataFrame([("a", 2, 3.0), ("a", 1, 1.0), ("a", 3, 5.0), ("b", 1, 7.0)], "k string, t int, v double")
+    assert {r.k: r.ema for r in series.ema(rows, "k", ["t"], "v", 0.5).collect()} == {"a": 3.5, "b": 7.0}
+
+
+def test_union_of_tables_fills_missing_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "a int, b string").write.parquet(f"{tmp_path}/one")
+    spark.createDataFrame([(2.5, 2)], "c double, a int").write.parquet(f"{tmp_path}/two")
+    got = {(r.a, r.b, r.c) for r in files.read_tables(spark, [f"{tmp_path}/one", f"{tmp_path}/two"]).collect()}
+    assert got == {(1, "x", None), (2, None, 2.5)}
