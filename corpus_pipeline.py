@@ -5,6 +5,10 @@ columns of ``documents``.  Decisions: documents that the quality model rejects g
 texts the one with the smallest id stays; of each group of near duplicates the one with the
 smallest id stays; sources are repeated up to the mix's weights (every document at least
 once); the last stage gives each remaining row's token ids as count and digests.
+
+Defined results: columns beyond those of ``documents`` are dropped; null texts are empty ones and null
+sources one source; rows with null or repeated ids are rows of their own in every stage (the stages
+tell them apart by their texts); no documents give no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenspark.llm import bpe, exact_dedup, jaccard, mixing, quality
-from screenspark.llm.common import materialise, table
+from screenspark.llm.common import discard, join_counted, materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BPE_FILE = "byte_bpe_50k.json"
@@ -34,8 +38,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component of links one row stays: the smallest id's, null ids last, of equal ids the one with the smallest text digest."""
     found = materialise(jaccard.jaccard_rows(docs))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key")
-    first = found.filter("c is not null").groupBy("c").agg(F.min(order).alias("first"))
-    found = materialise(found.join(first, "c", "left").select("doc_id", "text_key", F.col("c").isNotNull().alias("linked"), F.coalesce(order != F.col("first"), F.lit(False)).alias("gone")))
+    first = materialise(found.filter("c is not null").groupBy("c").agg(F.min(order).alias("first"), F.count("*").alias("m")))
+    linked = join_counted(found.filter("c is not null"), first, "c", "m").select("doc_id", "text_key", F.lit(True).alias("linked"), (order != F.col("first")).alias("gone"))
+    alone = found.filter("c is null").select("doc_id", "text_key", F.lit(False).alias("linked"), F.lit(False).alias("gone"))
+    found = materialise(linked.union(alone))
     # ids that lose all their rows go by id alone, so that only repeated and null ids need the digest
     whole = materialise(found.filter("doc_id is not null").groupBy("doc_id").agg(F.every("gone").alias("gone")).filter("gone").select("doc_id"))
     some = found.filter("gone").join(whole, "doc_id", "left_anti").select("doc_id", "text_key").distinct().withColumn("stays", F.lit(False))
@@ -44,9 +50,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     left = docs.join(whole, "doc_id", "left_anti").select(*COLUMNS)
     if keys.isEmpty():
         return left
-    left = left.withColumn("_key", jaccard.text_key(F.col("text")))
-    left = left.join(keys.withColumnRenamed("doc_id", "_id"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left")
-    one = left.filter("stays").dropDuplicates(["doc_id", "_key"])
+    left = left.withColumn("own_key", jaccard.text_key(F.col("text")))
+    left = left.join(keys.withColumnRenamed("doc_id", "id"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")
+    one = left.filter("stays").dropDuplicates(["doc_id", "own_key"])
     return left.filter("stays is null").union(one).select(*COLUMNS)
 
 
@@ -69,8 +75,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    kept = None
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        if kept is not None:  # nothing reads the stage before the last one any more
+            discard(kept)
+        kept = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -23,11 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; where it is unset (tests on
-    one machine) a temporary folder is made and set for the session.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset, a local master
+    (one machine, as in tests) gets a temporary folder; a cluster gets an error, as a folder of
+    one machine would lose the rows that other machines write.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -43,23 +47,60 @@ def materialise(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEAN, None)
     if before is None:  # a Spark without this setting
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    else:
+        spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes scratch tables that ``materialise`` made and nothing may read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def replace_table(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Materialises ``new``, then removes the scratch table ``old``, which nothing may read any more."""
+    """Materialises ``new``, then removes the scratch table ``old``."""
     out = materialise(new)
-    jvm, spark = old.sparkSession._jvm, old.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in old.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    discard(old)
+    return out
+
+
+#: A key with more rows than this is joined by broadcast, so there is at most one such key per ``HOT_ROWS`` rows.
+HOT_ROWS = 20_000
+#: Narrow tables of at most this many (counted) rows are broadcast as a whole.
+FEW_ROWS = 100_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with the table ``keyed``, one narrow row per ``key`` with the number of its rows in ``count``.
+
+    Keys of many rows are joined by broadcast, so no task gets all rows of a key; all others are
+    joined by a shuffle (by broadcast too, where ``keyed`` is counted to be small).
+    """
+    if keyed.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return rows.join(F.broadcast(keyed.drop(count)), key)
+    heavy = keyed.filter(F.col(count) > HOT_ROWS).drop(count)
+    light = keyed.filter(F.col(count) <= HOT_ROWS).drop(count)
+    return rows.join(F.broadcast(heavy), key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 

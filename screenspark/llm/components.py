@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, join_counted, materialise, replace_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``v, c``: for every endpoint of ``edges(a, b)`` the smallest vertex that it reaches.
 
     No edges give an empty table.  Loops and repeated edges are harmless; null endpoints are dropped.
-    Labels only fall and rounds end when none does, so there is no limit on rounds.
+    Labels only fall and rounds end when none does, so there is no limit on rounds.  A label may
+    be that of a third of all vertices: what is joined by label is first counted by label.
     """
     pairs = edges.select("a", "b").filter("a is not null and b is not null")
     both = materialise(pairs.union(pairs.select("b", "a")).toDF("v", "u").distinct())
@@ -26,10 +27,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         lowered = materialise(labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "m").alias("c")))
         # a vertex whose label falls takes its old label along, or long chains settle a hop a round
         roots = lowered.filter("c < was").groupBy(F.col("was").alias("v")).agg(F.min("c").alias("r"))
-        hooked = lowered.join(roots, "v", "left").select("v", "was", F.least("c", "r").alias("c"))
+        hooked = replace_table(lowered, lowered.join(roots, "v", "left").select("v", "was", F.least("c", "r").alias("c")))
         # the label's own label, one hop further
-        jumped = hooked.join(labels.select(F.col("v").alias("c"), F.col("c").alias("up")), "c").select("v", "was", F.least("c", "up").alias("c"))
-        labels = materialise(jumped)
-        if labels.filter("c <> was").limit(1).count() == 0:
+        counts = hooked.groupBy("c").agg(F.count("*").alias("rows"))
+        up = materialise(counts.join(labels.select(F.col("v").alias("c"), F.col("c").alias("up")), "c"))
+        jumped = materialise(join_counted(hooked, up, "c", "rows").select("v", "was", F.least("c", "up").alias("c")))
+        discard(labels, hooked, up)
+        labels = jumped
+        if labels.filter("c <> was").isEmpty():
+            discard(both)
             return labels.select("v", "c")
-        labels = labels.select("v", "c")

@@ -5,21 +5,24 @@ most ``r = 0.25``.  Most documents of a corpus lie at distance 1 from almost eve
 whole documents as pivots cannot split it.  Two kinds of pivots are used instead, and
 every step below loses no link:
 
-1. *Sketch.*  A count sketch over all shingles of all documents (``2**SKETCH_BITS`` cells)
+1. *Sketch.*  A count sketch over all shingles of all documents (its size follows the counted rows)
    orders shingles from rare to frequent; any fixed order is right, this one is cheap.
-2. *Voronoi cells of single shingles.*  A set's nearest single-shingle pivots are its own
-   shingles, all tied; it is replicated into the cells of the first ``|x| - ceil(0.75 |x|) + 1``
+2. *Voronoi regions of single shingles.*  A set's nearest single-shingle pivots are its own
+   shingles, all tied; it is replicated into the regions of the first ``|x| - ceil(0.75 |x|) + 1``
    of them in that order, the window outside which no partner within r can lie.  Documents
    with equal sets are one vertex from the start.
-3. *Small cells* (up to ``SMALL`` vertices) yield the pairs inside the size window.
-4. *Large cells* take a pivot vertex each; the cells of a pivot form its region.  Sets are
-   contracted into ``BUCKETS`` counts, whose L1 distance l is a metric that never exceeds the
-   size of the symmetric difference.  Members are measured to the pivot first; then pairs in a
-   region are looked for only where the triangle inequality (``|l(x,p) - l(y,p)|`` is at most
-   what r allows) and l itself permit, and only between vertices not yet connected.  Regions
-   are cut into blocks of bounded size.
-5. Pairs that remain are verified on the whole sets, in rounds: the partner with the smallest
-   bound of each vertex, the nearest in its regions, then all that is still in different components.
+3. *Small regions* (up to ``SMALL`` vertices) yield the pairs inside the size window.
+4. *Large regions* are split by whole documents as pivots, recursively, until none holds more than
+   ``BLOCK`` vertices.  Sets are contracted into ``BUCKETS`` counts, whose L1 distance l is a metric that
+   never exceeds the size of the symmetric difference.  A vertex x of n shingles goes to its nearest
+   pivot p; a partner y of a nearer pivot q has ``l(x,q) <= l(x,p) + 2 l(x,y) <= l(x,p) + 2 n / 3``, so x is
+   replicated to the later regions q inside this triangle window, and to no others.  A split
+   is kept where it lowers the number of rows to compare; a region in which everything is close to
+   everything (a group of near copies) is dealt into blocks instead, of which only
+   the parts that are not yet connected meet the others.
+5. *Rounds.*  Candidates of each vertex are verified on the whole sets: its nearest pivot or nearest small-region
+   partner first, then the nearest partners in its regions that are not yet connected with it, at last all
+   that no bound (size window, triangle inequality, l) excludes and that are still apart.
 
 Links are returned between vertices (distinct sets), with membership; components follow by
 minimum labels.  Hashes are 64 bits (see ``shingles``); sets are told apart by 128 bits.
@@ -40,20 +43,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, replace_table, slices, utf8
+from .common import discard, documents, join_counted, materialise, replace_table, slices, utf8
 from .components import connected_components
 from .shingles import WIDTH, shingle_sets
 
 #: Links have 100 * |x & y| >= PERCENT * |x | y|.
 PERCENT = 75
 SMALL = 16
+#: Cells of the sketch are 2**SKETCH_BITS at least, and up to 2**MOST_BITS four times the number of rows.
 SKETCH_BITS = 22
+MOST_BITS = 26
 STRIPS = 64
 #: Counts of a set: this many, or 8 or 64 times as many for sets above 8 or 64 times as many elements.
 BUCKETS = 128
-#: Vertices of a block of a large region.
+#: Vertices of a region that is compared as a whole, and of a block of a region that pivots cannot split.
 BLOCK = 1024
-_FLUSH = 1 << 21
+#: Pivots that split a region at a time, about.
+PIVOTS = 64
+#: Vertices of a region that one task measures to its pivots.
+DEAL = 16_384
 
 
 # --- 1. sketch -------------------------------------------------------------------------
@@ -61,16 +69,10 @@ _FLUSH = 1 << 21
 
 def _count_cells(width: int, bits: int):
     def run(batches):
-        total, waiting, held = np.zeros(1 << bits, dtype=np.int64), [], 0
+        total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in slices(batches):
             for found in shingle_sets(utf8(batch), width):
-                waiting.append((found >> np.uint64(64 - bits)).astype(np.int64))
-                held += len(found)
-                if held >= _FLUSH:
-                    total += np.bincount(np.concatenate(waiting), minlength=len(total))
-                    waiting, held = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=len(total))
+                np.add.at(total, (found >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         if total.any():
             yield from _strips(total)
 
@@ -295,7 +297,7 @@ def may_link(apart, n, m, percent: int = PERCENT):
     return (100 * (n + m - apart) >= percent * (n + m + apart)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
-_BOUNDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_()), ("apart", pa.int64()), ("may", pa.bool_())])
+_BOUNDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int64()), ("may", pa.bool_())])
 
 
 def _bounds(percent: int):
@@ -305,15 +307,15 @@ def _bounds(percent: int):
                 n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
                 x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
                 apart, far = _apart(x, y), _apart(x, y, BUCKETS)
-                yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("star"), pa.array(far), pa.array(may_link(apart, n, m, percent))], schema=_BOUNDS)
+                yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(far), pa.array(may_link(apart, n, m, percent))], schema=_BOUNDS)
 
     return run
 
 
 def bounds(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
-    """Each pair ``a, b, star`` with its distance in ``BUCKETS`` counts and whether its finest counts let it link."""
+    """Each pair ``a, b`` with its distance in ``BUCKETS`` counts and whether its finest counts let it link."""
     joined = pairs.join(shape.toDF("b", "m", "y"), "b").join(shape.toDF("a", "n", "x"), "a")
-    return joined.select("a", "b", "star", "n", "m", "x", "y").mapInArrow(_bounds(percent), "a long, b long, star boolean, apart long, may boolean")
+    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(_bounds(percent), "a long, b long, apart long, may boolean")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -348,47 +350,160 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 # --- 4. regions ------------------------------------------------------------------------
 
-def _region_pairs(percent: int, best: bool):
-    """Pairs between components inside one block of a region that no bound excludes.
+
+def reach(n, percent: int = PERCENT):
+    """The largest size of the symmetric difference of a set of size n and a set that it links with."""
+    return (100 - percent) * n // percent
+
+
+_DEALT = pa.schema([("a", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("m", pa.int64()), ("p", pa.int64()), ("apart", pa.int64()), ("may", pa.bool_()), ("to", pa.list_(pa.int32()))])
+
+
+def _deal(percent: int):
+    """Nearest pivot of each member, and the pivots whose regions its triangle window reaches (``to``, the nearest first)."""
+
+    def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not members.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in _DEALT})
+        v, n = (members.column(k).to_numpy() for k in ("v", "n"))
+        counts = members.column("counts").to_pylist()
+        order = np.argsort(pivots.column("v").to_numpy(), kind="stable") if pivots.num_rows else np.zeros(0, dtype=np.int64)
+        centres, centre_n = pivots.column("v").to_numpy()[order], pivots.column("n").to_numpy()[order]
+        centre_counts = pivots.column("counts").to_pylist()
+        far = np.zeros((len(v), max(1, len(order))), dtype=np.int64)
+        for at in range(0, len(v), 1 << 12):
+            own = np.stack([_fold(x, BUCKETS) for x in counts[at : at + (1 << 12)]])
+            for k, j in enumerate(order):
+                far[at : at + (1 << 12), k] = np.abs(own - _fold(centre_counts[j], BUCKETS)).sum(axis=1)
+        home = far.argmin(axis=1)
+        near = far[np.arange(len(v)), home]
+        guest = (far <= (near + 2 * reach(n, percent))[:, None]) & (np.arange(far.shape[1]) > home[:, None])
+        to = [[h, *np.flatnonzero(g).tolist()] for h, g in zip(home.tolist(), guest, strict=True)]
+        has = len(order) > 0
+        p = centres[home] if has else v
+        may = may_link(near, n, centre_n[home], percent) & (p != v) if has else np.zeros(len(v), dtype=bool)
+        return pa.table([members.column("a"), pa.array(v), pa.array(n), members.column("counts"), members.column("m"), pa.array(p), pa.array(near), pa.array(may), pa.array(to, pa.list_(pa.int32()))], schema=_DEALT)
+
+    return run
+
+
+def split_regions(members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """``(leaves, dense)`` of the regions in ``members(a, v, n, counts, m)``, ``m`` the size of region ``a``.
+
+    ``leaves`` (the same columns) are regions of at most ``block`` vertices.  Regions that pivots
+    cannot split further are ``dense``, with the nearest pivot ``p`` of each member, the distance
+    ``apart`` to it and whether it lets both link (``may``).  Vertices that link share a region of either table.
+    """
+    leaves, dense, level = [members.filter(F.col("m") <= block).select("a", "v", "n", "counts", "m")], [], 0
+    while True:
+        large = members.filter(F.col("m") > block)
+        if large.isEmpty():
+            break
+        large = large.withColumn("salt", F.pmod(F.xxhash64("v", F.lit(level)), F.ceil(F.col("m") / DEAL)).cast("int"))
+        # a draw by hash: PIVOTS or four a block are expected; a region without any is dealt as it is
+        share = F.least(F.lit(float(PIVOTS)), 4 * F.ceil(F.col("m") / block)) / F.col("m")
+        drawn = F.pmod(F.xxhash64("v", F.lit(level), F.lit("pivot")), F.lit(1 << 30)) < share * float(1 << 30)
+        pivots = large.filter(drawn).select("a", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / DEAL) - 1).cast("int"))).alias("salt"), "v", "n", "counts")
+        pivots = pivots.toDF("region", "part", "v", "n", "counts")
+        dealt = large.groupBy("a", "salt").cogroup(pivots.groupBy("region", "part")).applyInArrow(_deal(percent), "a long, v long, n long, counts binary, m long, p long, apart long, may boolean, to array<int>")
+        dealt = materialise(dealt)
+        parts = materialise(dealt.select("a", "m", F.explode("to").alias("k")).groupBy("a", "m", "k").agg(F.count("*").alias("size")))
+        # rows to compare, in blocks; a split must lower them by a tenth, so levels end
+        cost = lambda m: F.col(m) * F.greatest(F.lit(1.0), F.col(m) / block)
+        split = parts.groupBy("a", "m").agg(F.sum(cost("size")).alias("after")).filter(F.col("after") < 0.9 * cost("m")).select("a", "m")
+        split = materialise(split)
+        stuck = materialise(dealt.select("a", "m").distinct().join(split.select("a"), "a", "left_anti"))
+        region = lambda a, k: F.xxhash64(a, k, F.lit(level))
+        parts = parts.join(split.select("a"), "a", "left_semi").select(region("a", "k").alias("to"), "size")
+        children = join_counted(dealt, split, "a", "m").select(region("a", F.explode("to")).alias("to"), "v", "n", "counts") if not split.isEmpty() else None
+        if not stuck.isEmpty():
+            dense.append(materialise(join_counted(dealt.drop("m"), stuck, "a", "m").select("a", "v", "n", "counts", "p", "apart", "may")))
+        if children is None:
+            break
+        members = materialise(join_counted(children, parts, "to", "size").join(parts, "to").select(F.col("to").alias("a"), "v", "n", "counts", F.col("size").alias("m")))
+        discard(dealt, split, stuck)
+        leaves.append(members.filter(F.col("m") <= block))
+        level += 1
+    union = lambda tables: tables[0] if len(tables) == 1 else union([tables[0].unionByName(tables[1]), *tables[2:]])
+    return union(leaves), union(dense) if dense else None
+
+
+_STARS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int64())])
+
+
+def _stars(percent: int):
+    """Pairs of the pivot of a region (the vertex of the smallest hash) with the members that it may link with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        v, n = (table.column(k).to_numpy() for k in ("v", "n"))
+        counts = table.column("counts").to_pylist()
+        p = int(np.argmin(_priority(v)))
+        fine = _apart(counts, [counts[p]] * len(v))
+        coarse = _apart(counts, [counts[p]] * len(v), BUCKETS)
+        ok = may_link(fine, n, n[p], percent) & (v != v[p])
+        return pa.table([pa.array(np.full(int(ok.sum()), v[p])), pa.array(v[ok]), pa.array(coarse[ok])], schema=_STARS)
+
+    return run
+
+
+def _block_pairs(v, c, n, side, counts, percent: int, best: bool) -> pa.Table:
+    """Pairs between components inside one block that no bound excludes.
 
     ``side`` 1 rows are compared with all rows of the block, ``side`` 0 rows only with those.
     With ``best``, each row of side 1 yields only its partner of the smallest bound.
     """
+    coarse = np.stack([_fold(x, BUCKETS) for x in counts])
+    far = np.abs(coarse - coarse[np.argmin(_priority(v))]).sum(axis=1)
+    a, b = [], []
+    for i in np.flatnonzero(side == 1):
+        # (with best, a row looks both ways) the triangle inequality: |l(x, p) - l(y, p)| never exceeds l(x, y)
+        near = np.flatnonzero((c != c[i]) & (best | (side == 0) | (v > v[i])) & may_link(np.abs(far - far[i]), n, n[i], percent))
+        near = near[may_link(np.abs(coarse[near] - coarse[i]).sum(axis=1), n[near], n[i], percent)]
+        fine = _apart([counts[k] for k in near], [counts[i]] * len(near))
+        ok = may_link(fine, n[near], n[i], percent)
+        near, fine = near[ok], fine[ok]
+        if best and len(near):
+            near = near[[np.argmin(fine / (n[near] + n[i]))]]
+        a.append(np.minimum(v[near], v[i]))
+        b.append(np.maximum(v[near], v[i]))
+    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _leaf_pairs(percent: int, best: bool):
+    def run(table: pa.Table, labels: pa.Table) -> pa.Table:
+        v, n = (table.column(k).to_numpy() for k in ("v", "n"))
+        own, label = (labels.column(k).to_numpy() for k in ("member", "c"))
+        order = np.argsort(own, kind="stable")
+        c = label[order][np.searchsorted(own[order], v)] if len(own) else v
+        kinds, code, sizes = np.unique(c, return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        # the largest component is settled: its members are not compared with each other
+        side = (code != sizes.argmax()).astype(np.int8)
+        return _block_pairs(v, c, n, side, table.column("counts").to_pylist(), percent, best)
+
+    return run
+
 
+def _dense_pairs(percent: int, best: bool):
     def run(table: pa.Table) -> pa.Table:
-        v, c, n, far, side = (table.column(k).to_numpy() for k in ("v", "c", "n", "apart", "side"))
-        counts = table.column("counts").to_pylist()
-        coarse = np.stack([_fold(x, BUCKETS) for x in counts])
-        a, b = [], []
-        for i in np.flatnonzero(side == 1):
-            # (with best, a row looks both ways) the triangle inequality in coarse counts: |l(x, p) - l(y, p)| never exceeds l(x, y)
-            near = np.flatnonzero((c != c[i]) & (best | (side == 0) | (v > v[i])) & may_link(np.abs(far - far[i]), n, n[i], percent))
-            near = near[may_link(np.abs(coarse[near] - coarse[i]).sum(axis=1), n[near], n[i], percent)]
-            fine = _apart([counts[k] for k in near], [counts[i]] * len(near))
-            ok = may_link(fine, n[near], n[i], percent)
-            near, fine = near[ok], fine[ok]
-            if best and len(near):
-                near = near[[np.argmin(fine / (n[near] + n[i]))]]
-            a.append(np.minimum(v[near], v[i]))
-            b.append(np.maximum(v[near], v[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        v, c, n, side = (table.column(k).to_numpy() for k in ("v", "c", "n", "side"))
+        return _block_pairs(v, c, n, side, table.column("counts").to_pylist(), percent, best)
 
     return run
 
 
-def region_pairs(star: DataFrame, labels: DataFrame, vertices: DataFrame, percent: int = PERCENT, block: int = BLOCK, best: bool = False) -> DataFrame:
-    """Pairs of region members in different components that may link (``a, b``).
+def dense_blocks(dense: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members of dense regions dealt into blocks (``a, i, j``), all pairs of components that are apart meeting in one.
 
-    ``star`` holds each member ``b`` of the region of pivot ``a`` with its distance in counts.
-    In a region, the largest component is settled: its members are dealt into blocks once;
-    all other members are dealt into blocks too, and each of their blocks meets every block.
+    The largest component of a region is settled: its members are dealt once, all others meet every block.
     """
-    member = star.select("a", F.col("b").alias("v"), "apart").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    member = dense.select("a", "v").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     sizes = member.groupBy("a", "c").agg(F.count("*").alias("k"))
     top = sizes.groupBy("a").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    top = top.select("a", F.col("top.c").alias("main"), F.ceil((F.col("m") - F.col("top.k")) / block).cast("int").alias("open_blocks"), F.ceil(F.col("top.k") / block).cast("int").alias("main_blocks"))
-    member = member.join(top, "a").join(vertices.select("v", "n", "counts"), "v")
+    top = materialise(top.select("a", "m", F.col("top.c").alias("main"), F.ceil((F.col("m") - F.col("top.k")) / block).cast("int").alias("open_blocks"), F.ceil(F.col("top.k") / block).cast("int").alias("main_blocks")))
+    member = join_counted(member, top, "a", "m")
     spread = F.xxhash64("v")
     settled = F.col("c") == F.col("main")
     own = F.when(settled, F.pmod(spread, F.col("main_blocks"))).otherwise(F.pmod(spread, F.col("open_blocks"))).cast("int")
@@ -400,8 +515,17 @@ def region_pairs(star: DataFrame, labels: DataFrame, vertices: DataFrame, percen
             F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.least(i, own).alias("i"), (F.lit(-1) - F.greatest(i, own)).alias("j"), F.lit(1).alias("side"))),
         )
     )
-    dealt = member.withColumn("cell", F.explode(cells)).select("a", "cell.i", "cell.j", "cell.side", "v", "c", "n", "apart", "counts")
-    return dealt.groupBy("a", "i", "j").applyInArrow(_region_pairs(percent, best), "a long, b long").distinct()
+    member = member.join(dense.select("a", "v", "n", "counts"), ["a", "v"])
+    return member.withColumn("cell", F.explode(cells)).select("a", "cell.i", "cell.j", "cell.side", "v", "c", "n", "counts")
+
+
+def region_pairs(leaves: DataFrame, dense: DataFrame | None, labels: DataFrame, percent: int = PERCENT, block: int = BLOCK, best: bool = False) -> DataFrame:
+    """Pairs of vertices that share a region, are in different components and may link (``a, b``)."""
+    known = leaves.select("a", "v").join(labels, "v", "left").select(F.col("a").alias("region"), F.col("v").alias("member"), F.coalesce("c", "v").alias("c"))
+    found = leaves.select("a", "v", "n", "counts").groupBy("a").cogroup(known.groupBy("region")).applyInArrow(_leaf_pairs(percent, best), "a long, b long")
+    if dense is not None:
+        found = found.union(dense_blocks(dense, labels, block).groupBy("a", "i", "j").applyInArrow(_dense_pairs(percent, best), "a long, b long"))
+    return found.distinct()
 
 
 # --- the join --------------------------------------------------------------------------
@@ -409,7 +533,7 @@ def region_pairs(star: DataFrame, labels: DataFrame, vertices: DataFrame, percen
 
 def _bitmap_cells(bits: int):
     def run(batches):
-        total = np.zeros(1 << bits, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             total[_bitmap_place(ids, bits)] = 1
@@ -435,6 +559,11 @@ def _wanted_sets(width: int, bits: int, shared):
     return run
 
 
+def table_bits(rows: int, least: int, most: int = MOST_BITS) -> int:
+    """Bits of a table with at least four cells a row, between two bounds."""
+    return max(least, min(most, (4 * max(rows, 1) - 1).bit_length()))
+
+
 def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK, sketch_bits: int = SKETCH_BITS, keyed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, links, labels)``.
 
@@ -443,12 +572,13 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     """
     spark = docs.sparkSession
     own = documents(docs, id_col, text_col)
-    classes = spark.sparkContext.broadcast(rank_classes(cell_totals(own.select("text"), _count_cells(width, sketch_bits), sketch_bits)))
+    bits = table_bits(own.count(), sketch_bits)
+    classes = spark.sparkContext.broadcast(rank_classes(cell_totals(own.select("text"), _count_cells(width, bits), bits)))
     signed = own.withColumn("pos", F.monotonically_increasing_id()).select("doc_id", "pos", "text")
-    signed = signed.mapInArrow(_signatures(width, percent, sketch_bits, classes), "doc_id long, pos long, n long, digest binary, first binary, counts binary")
+    signed = signed.mapInArrow(_signatures(width, percent, bits, classes), "doc_id long, pos long, n long, digest binary, first binary, counts binary")
 
-    vertices = signed.filter("n > 0").groupBy("digest", "n").agg(F.min_by(F.struct("pos", "doc_id", "first", "counts"), "pos").alias("s"))
-    vertices = materialise(vertices.select(F.col("s.pos").alias("v"), F.col("s.doc_id").alias("doc_id"), "digest", "n", F.col("s.first").alias("first"), F.col("s.counts").alias("counts")))
+    vertices = signed.filter("n > 0").groupBy("digest", "n").agg(F.min_by(F.struct("pos", "doc_id", "first", "counts"), "pos").alias("s"), F.count("*").alias("copies"))
+    vertices = materialise(vertices.select(F.col("s.pos").alias("v"), F.col("s.doc_id").alias("doc_id"), "digest", "copies", "n", F.col("s.first").alias("first"), F.col("s.counts").alias("counts")))
     # what every row needs later is small; computing it again from the texts costs less than keeping the signatures of all rows
     key = [text_key(F.col("text")).alias("text_key")] if keyed else []
     named = materialise(own.select("doc_id", "text", *key).mapInArrow(_names(width, keyed), "doc_id long, n long, digest binary" + ", text_key binary" * keyed))
@@ -458,63 +588,86 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     light = light.repartition("token").sortWithinPartitions("token").select("token", "v", "n").mapInArrow(_cell_pairs(percent, small), "a long, b long, star boolean")
     # frequent shingles: the pivot is a minimum with a partial combine, and the join may be split
     hot = materialise(source.mapInArrow(_cell_rows(percent, True), "token long, v long, n long").select("token", "v"))
-    pivot = hot.groupBy("token").agg(F.min(F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("v"))).alias("p"), F.count("*").alias("m")).filter("m > 1")
-    stars = hot.join(pivot.select("token", F.col("p.v").alias("a")), "token").select("a", F.col("v").alias("b"), F.lit(True).alias("star"))
-    found = light.union(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
-
-    found = materialise(found)
+    pivot = materialise(hot.groupBy("token").agg(F.min(F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("v"))).alias("p"), F.count("*").alias("m")).filter("m > 1").select("token", F.col("p.v").alias("a"), "m"))
+    stars = join_counted(hot, pivot, "token", "m").select("a", F.col("v").alias("b"), F.lit(True).alias("star"))
+    found = materialise(light.union(stars).groupBy("a", "b").agg(F.max("star").alias("star")))
+    discard(hot, pivot)
     # each large column is kept only as long as a later step reads it
     vertices = replace_table(vertices, vertices.drop("first"))
     shape = vertices.select("v", "n", "counts")
-    found = materialise(bounds(found, shape, percent))
-    bounded = found.filter("may and a <> b").select("a", "b", "apart")
-    regions = found.filter("star").select("a", "b", "apart")
+
+    sizes = materialise(found.filter("star").groupBy("a").agg(F.count("*").alias("m")).filter("m > 1"))
+    members = join_counted(found.filter("star").select("a", F.col("b").alias("v")), sizes.withColumn("size", F.col("m")), "a", "size")
+    members = materialise(members.join(shape, "v").select("a", "v", "n", "counts", "m"))
+    bounded = materialise(bounds(found.filter("not star").select("a", "b"), shape, percent).filter("may").select("a", "b", "apart"))
+    named_vertices = vertices.select("v", "doc_id", "digest", "copies")
+    named_vertices = replace_table(vertices, named_vertices)
+    discard(found, sizes)
+    leaves, dense = split_regions(members, percent, block)
+    stars = leaves.select("a", "v", "n", "counts").groupBy("a").applyInArrow(_stars(percent), "a long, b long, apart long")
+    if dense is not None:
+        stars = stars.union(dense.filter("may").select(F.col("p").alias("a"), F.col("v").alias("b"), "apart"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """Whole sets of some vertices; of their texts, all but a few others are left out by a bitmap of fixed size."""
-        wanted = materialise(vertices.select("v", "doc_id", "digest").join(wanted, "v", "left_semi"))
-        bitmap = spark.sparkContext.broadcast(cell_totals(wanted.select("doc_id"), _bitmap_cells(sketch_bits), sketch_bits) > 0)
+        """Whole sets of some vertices; of their texts, all but a few others are left out by a bitmap sized by their number."""
+        wanted = materialise(named_vertices.join(wanted, "v", "left_semi"))
+        wide = table_bits(2 * wanted.count(), 16)
+        bitmap = spark.sparkContext.broadcast(cell_totals(wanted.select("doc_id"), _bitmap_cells(wide), wide) > 0)
         # rows that repeat both id and text repeat a vertex, which only repeats verified pairs
-        sets = own.mapInArrow(_wanted_sets(width, sketch_bits, bitmap), "id long, digest binary, elements binary")
-        return materialise(sets.join(wanted, "digest").filter(F.col("id").eqNullSafe(F.col("doc_id"))).select("v", "elements"))
+        sets = own.mapInArrow(_wanted_sets(width, wide, bitmap), "id long, digest binary, elements binary")
+        return replace_table(wanted, sets.join(wanted, "digest").filter(F.col("id").eqNullSafe(F.col("doc_id"))).select("v", "elements"))
 
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     # first round: the partner with the smallest bound, of each vertex
-    both = bounded.union(bounded.select("b", "a", "apart"))
+    both = bounded.union(stars)
+    both = both.union(both.select("b", "a", "apart"))
     chosen = materialise(both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct())
     sets = sets_of(ends(chosen))
     links = materialise(verify(chosen, sets, percent))
     labels = connected_components(links)
     # next rounds: of what is still apart, the nearest partner in each region; the last round: all
     for best in (True, True, False):
-        apart = region_pairs(regions, labels, vertices, percent, block, best)
+        apart = region_pairs(leaves, dense, labels, percent, block, best)
         if not best:
             apart = apart.union(bounded.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
         apart = apart.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)")
         apart = materialise(apart.select("a", "b").join(chosen, ["a", "b"], "left_anti"))
         if apart.isEmpty():
             continue
-        more = materialise(ends(apart).join(sets.select("v"), "v", "left_anti"))
+        needed = materialise(ends(apart))
+        more = needed.join(sets.select("v"), "v", "left_anti")
         if not more.isEmpty():
             sets = sets.union(sets_of(more))
-        fresh = materialise(verify(apart, sets, percent))
+        fresh = materialise(verify(apart, sets.join(needed, "v", "left_semi"), percent))
         chosen = chosen.union(apart)
         if not fresh.isEmpty():
             links = links.union(fresh)
             labels = connected_components(links)
-    rows = named.join(vertices.select("digest", F.col("v")), "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v"), *["text_key"] * keyed)
-    return rows, links, labels
+    # rows of empty sets have no vertex; a digest may be that of a third of all rows
+    vertex = named_vertices.select("digest", "v", "copies")
+    text_keys = ["text_key"] * keyed
+    rows = join_counted(named.filter("n > 0"), vertex, "digest", "copies").select("doc_id", "n", "v", *text_keys)
+    empty = named.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("v"), *text_keys)
+    return rows.union(empty), links, labels
+
+
+def _with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the component ``c`` of their vertex; a vertex may be that of a third of all rows."""
+    sizes = rows.filter("v is not null").groupBy("v").agg(F.count("*").alias("copies"))
+    known = materialise(sizes.join(labels, "v", "left").select("v", F.coalesce("c", "v").alias("c"), "copies"))
+    return join_counted(rows.filter("v is not null"), known, "v", "copies").unionByName(rows.filter("v is null").withColumn("c", F.lit(None).cast("long")))
 
 
 def jaccard_rows(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """``doc_id, text_key, c`` of every row: its text's digest and its component (null for an empty set)."""
     rows, _, labels = jaccard_links(docs, percent, id_col=id_col, text_col=text_col, keyed=True, **bounds)
-    return rows.join(labels, "v", "left").select("doc_id", "text_key", F.coalesce("c", "v").alias("c"))
+    return _with_component(materialise(rows), labels).select("doc_id", "text_key", "c")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; the component's id is its smallest doc_id."""
     rows, _, labels = jaccard_links(docs, percent, id_col=id_col, text_col=text_col, **bounds)
-    rows = materialise(rows.join(labels, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "v").alias("c")))
-    smallest = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("smallest"))
-    return rows.join(smallest, "c", "left").select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    rows = materialise(_with_component(materialise(rows), labels).select("doc_id", F.col("n").alias("n_shingles"), "c"))
+    smallest = materialise(rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")))
+    linked = join_counted(rows.filter("c is not null"), smallest, "c", "m").select("doc_id", "n_shingles", "component_id")
+    return linked.union(rows.filter("c is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -3,9 +3,10 @@
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]`` with ``A-Z`` lower-cased.
 A text with at least ``width`` words yields its distinct ``width``-word shingles; a text
 with fewer words yields one element for the whole sequence; a text without words (null,
-empty or blank) yields the empty set.  Elements are 64-bit hashes: a word is a polynomial
-over its bytes modulo 2**64, a shingle a mixed linear form of its words, so at N distinct
-shingles the chance that any two share a value is about N**2 / 2**65.
+empty or blank) yields the empty set.  Elements are 64-bit hashes: a word is the sum of one
+pseudo-random number per byte and place (no polynomial, so words built to cancel do not), a shingle
+a mixed linear form of its words; at N distinct shingles the chance that any two share a value
+is about N**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_LOWER[0x41:0x5B] += np.uint64(32)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+#: Places of a word with a number of their own per byte; later places mix theirs.
+_PLACES = 64
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,24 +37,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        size = max(n, CHUNK_BYTES + 2)
-        table = np.full(size, base, dtype=np.uint64)
-        table[0] = 1
-        np.multiply.accumulate(table, out=table)
-        if size <= 8 * CHUNK_BYTES:
-            _powers[base] = table
-    return table[:n]
+_NUMBERS = mix((np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(1)) * _GOLDEN)
+
+
+def _places(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of disjoint, ordered, non-empty spans: the index of each element, its place in its span, and where spans begin among them."""
+    lengths = ends - starts
+    begins = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(begins, lengths)
+    return place + np.repeat(starts, lengths), place, begins
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``codes[start:end]``, equal for equal spans wherever they lie."""
-    total = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(codes * _power_table(_BASE, len(codes)), out=total[1:])
-    h = (total[ends] - total[starts]) * _power_table(_INVERSE, len(codes))[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of ``codes[start:end]`` (code points), equal for equal spans wherever they lie."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    at, place, begins = _places(starts, ends)
+    numbers = mix((codes[at].astype(np.uint64) + np.uint64(1)) * _GOLDEN + (place.astype(np.uint64) << np.uint64(21)))
+    return mix(np.add.reduceat(numbers, begins) + (ends - starts).astype(np.uint64))
 
 
 def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +65,14 @@ def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(buf) and inside[0]:
         starts = np.concatenate(([0], starts))
     ends = np.flatnonzero(space[1:] & inside[:-1]) + 1
-    return starts, span_hashes(_LOWER[buf], starts, ends)
+    if not len(starts):
+        return starts, np.zeros(0, dtype=np.uint64)
+    at, place, begins = _places(starts, ends)
+    numbers = _NUMBERS[((place & (_PLACES - 1)) << 8) | _LOWER[buf[at]]]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        numbers[far] = mix(numbers[far] + (place[far] >> 6).astype(np.uint64) * _GOLDEN)
+    return starts, mix(np.add.reduceat(numbers, begins) + (ends - starts).astype(np.uint64))
 
 
 def _combine(words: list[np.ndarray], width: int) -> np.ndarray:
