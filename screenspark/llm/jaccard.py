@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, documents, join_counted, materialise, replace_table, slices, utf8
 from .components import connected_components
-from .shingles import WIDTH, shingle_sets
+from .shingles import WIDTH, mix, shingle_sets
 
 #: Links have 100 * |x & y| >= PERCENT * |x | y|.
 PERCENT = 75
@@ -80,7 +80,7 @@ def _count_cells(width: int, bits: int):
 
 
 def _strips(total: np.ndarray):
-    parts = total.astype(np.uint64).reshape(STRIPS, -1)
+    parts = total.reshape(STRIPS, -1)
     yield pa.record_batch([pa.array(range(STRIPS), pa.int32()), pa.array([zlib.compress(_narrow(p), 1) for p in parts], pa.binary())], names=["strip", "cells"])
 
 
@@ -114,9 +114,14 @@ def cell_totals(rows: DataFrame, run, bits: int) -> np.ndarray:
 
 
 def rank_classes(totals: np.ndarray) -> np.ndarray:
-    """Frequency class of each cell: 0 up to about twice the mean load, then one per doubling."""
-    base = 2 * totals.mean() + 16
-    return np.floor(np.log2(np.maximum(totals / base, 0.5)) + 1).astype(np.uint8)
+    """Frequency class of each cell: 0 up to three deviations above the usual load, then one per doubling of what exceeds it.
+
+    The usual load is the median, the deviation that of a Poisson number, so what a rare shingle may
+    have beside it in its cell grows with the root of the corpus only.
+    """
+    usual = float(np.median(totals))
+    excess = (totals - usual) / (3 * np.sqrt(usual) + 2)
+    return np.floor(np.log2(np.maximum(excess, 0.5)) + 1).astype(np.uint8)
 
 
 # --- 2. vertices and cells -------------------------------------------------------------
@@ -297,25 +302,36 @@ def may_link(apart, n, m, percent: int = PERCENT):
     return (100 * (n + m - apart) >= percent * (n + m + apart)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
-_BOUNDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int64()), ("may", pa.bool_())])
+_BOUNDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int64())])
 
 
 def _bounds(percent: int):
+    """Pairs of a vertex ``a`` and the rows ``v`` after its own row that their finest counts let link, and their distance in ``BUCKETS`` counts."""
+
     def run(batches):
+        last = None  # number, size and counts of the last row of its own
         for batch in batches:
-            if batch.num_rows:
-                n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
-                x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-                apart, far = _apart(x, y), _apart(x, y, BUCKETS)
-                yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(far), pa.array(may_link(apart, n, m, percent))], schema=_BOUNDS)
+            a, v, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "v", "n"))
+            counts = batch.column("counts").to_pylist()
+            if last is not None:
+                a, v, n, counts = np.append(last[0], a), np.append(last[0], v), np.append(last[1], n), [last[2], *counts]
+            if not len(a):
+                continue
+            own = np.maximum.accumulate(np.where(a == v, np.arange(len(a)), 0))
+            last = a[own[-1]], n[own[-1]], counts[own[-1]]
+            rest = np.flatnonzero(a != v)
+            x, y = [counts[k] for k in own[rest]], [counts[k] for k in rest]
+            ok = may_link(_apart(x, y), n[own[rest]], n[rest], percent)
+            far = _apart(x, y, BUCKETS)
+            yield pa.record_batch([pa.array(a[rest][ok]), pa.array(v[rest][ok]), pa.array(far[ok])], schema=_BOUNDS)
 
     return run
 
 
-def bounds(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
-    """Each pair ``a, b`` with its distance in ``BUCKETS`` counts and whether its finest counts let it link."""
-    joined = pairs.join(shape.toDF("b", "m", "y"), "b").join(shape.toDF("a", "n", "x"), "a")
-    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(_bounds(percent), "a long, b long, apart long, may boolean")
+def bounds(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a, b`` of ``rows(a, v, n, counts)``, which hold each ``a`` also as a ``v`` of its own, that may link."""
+    placed = rows.repartition("a").sortWithinPartitions("a", F.col("a") != F.col("v"))
+    return placed.select("a", "v", "n", "counts").mapInArrow(_bounds(percent), "a long, b long, apart long")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -342,9 +358,19 @@ def _verify(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets link."""
-    joined = pairs.select("a", "b").join(sets.select(F.col("v").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("v").alias("a"), F.col("elements").alias("x")), "a")
+def verify(pairs: DataFrame, named: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets link; ``named(v, doc_id, digest)`` finds the sets of vertices in ``sets(id, digest, elements)``."""
+
+    def of(end: str, elements: str) -> tuple[DataFrame, DataFrame]:
+        name = named.select(F.col("v").alias(end), F.coalesce("doc_id", F.lit(0)).alias(f"id_{end}"), F.col("doc_id").isNull().alias(f"no_{end}"), F.col("digest").alias(f"digest_{end}"))
+        found = sets.select(F.coalesce("id", F.lit(0)).alias(f"id_{end}"), F.col("id").isNull().alias(f"no_{end}"), F.col("digest").alias(f"digest_{end}"), F.col("elements").alias(elements))
+        return name, found
+
+    joined = pairs.select("a", "b")
+    for name, _ in (of("b", "y"), of("a", "x")):
+        joined = joined.join(name, name.columns[0])
+    for _, found in (of("b", "y"), of("a", "x")):
+        joined = joined.join(found, found.columns[:3])
     return joined.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -535,24 +561,26 @@ def _bitmap_cells(bits: int):
     def run(batches):
         total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            total[_bitmap_place(ids, bits)] = 1
+            for place in _bitmap_places(batch.column("doc_id").to_numpy(zero_copy_only=False), bits):
+                total[place] = 1
         if total.any():
             yield from _strips(total)
 
     return run
 
 
-def _bitmap_place(ids, bits: int) -> np.ndarray:
-    return (np.nan_to_num(np.asarray(ids, dtype=np.float64), nan=-1).astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+def _bitmap_places(ids, bits: int) -> list[np.ndarray]:
+    """Two cells per id; an id is in the bitmap if both are set."""
+    ids = np.nan_to_num(np.asarray(ids, dtype=np.float64), nan=-1).astype(np.int64).astype(np.uint64)
+    return [(mix(ids + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in (1, 1 << 40)]
 
 
 def _wanted_sets(width: int, bits: int, shared):
     def run(batches):
         bitmap = shared.value
         for batch in batches:
-            own = pa.array(bitmap[_bitmap_place(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)])
-            for part in slices([batch.filter(own)]):
+            one, two = _bitmap_places(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)
+            for part in slices([batch.filter(pa.array(bitmap[one] & bitmap[two]))]):
                 sets = list(shingle_sets(utf8(part), width))
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "digest", "elements"])
 
@@ -594,36 +622,40 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
     discard(hot, pivot)
     # each large column is kept only as long as a later step reads it
     vertices = replace_table(vertices, vertices.drop("first"))
-    shape = vertices.select("v", "n", "counts")
-
+    # sizes and counts of all vertices are joined once: to the members of regions, and to pairs with a row of its own for each first vertex
     sizes = materialise(found.filter("star").groupBy("a").agg(F.count("*").alias("m")).filter("m > 1"))
-    members = join_counted(found.filter("star").select("a", F.col("b").alias("v")), sizes.withColumn("size", F.col("m")), "a", "size")
-    members = materialise(members.join(shape, "v").select("a", "v", "n", "counts", "m"))
-    bounded = materialise(bounds(found.filter("not star").select("a", "b"), shape, percent).filter("may").select("a", "b", "apart"))
-    named_vertices = vertices.select("v", "doc_id", "digest", "copies")
-    named_vertices = replace_table(vertices, named_vertices)
+    members = join_counted(found.filter("star").select("a", F.col("b").alias("v")), sizes.withColumn("size", F.col("m")), "a", "size").select("a", "v", "m")
+    pairs = found.filter("not star").select("a", F.col("b").alias("v"))
+    pairs = pairs.union(pairs.select("a").distinct().select("a", F.col("a").alias("v"))).withColumn("m", F.lit(None).cast("long"))
+    shaped = materialise(members.union(pairs).join(vertices.select("v", "n", "counts"), "v").select("a", "v", "n", "counts", "m"))
     discard(found, sizes)
-    leaves, dense = split_regions(members, percent, block)
+    vertices = replace_table(vertices, vertices.select("v", "doc_id", "digest", "copies"))
+    bounded = materialise(bounds(shaped.filter("m is null"), percent))
+    shaped = replace_table(shaped, shaped.filter("m is not null"))
+    leaves, dense = split_regions(shaped, percent, block)
     stars = leaves.select("a", "v", "n", "counts").groupBy("a").applyInArrow(_stars(percent), "a long, b long, apart long")
     if dense is not None:
         stars = stars.union(dense.filter("may").select(F.col("p").alias("a"), F.col("v").alias("b"), "apart"))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """Whole sets of some vertices; of their texts, all but a few others are left out by a bitmap sized by their number."""
-        wanted = materialise(named_vertices.join(wanted, "v", "left_semi"))
-        wide = table_bits(2 * wanted.count(), 16)
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose whole sets link.
+
+        The sets are computed again from the texts; all but a few other texts are left out by a bitmap sized by their number.
+        """
+        wanted = materialise(vertices.select("v", "doc_id", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", "left_semi"))
+        wide = table_bits(4 * wanted.count(), 16)
         bitmap = spark.sparkContext.broadcast(cell_totals(wanted.select("doc_id"), _bitmap_cells(wide), wide) > 0)
-        # rows that repeat both id and text repeat a vertex, which only repeats verified pairs
-        sets = own.mapInArrow(_wanted_sets(width, wide, bitmap), "id long, digest binary, elements binary")
-        return replace_table(wanted, sets.join(wanted, "digest").filter(F.col("id").eqNullSafe(F.col("doc_id"))).select("v", "elements"))
+        # rows that repeat both id and text repeat a set, which only repeats verified pairs
+        sets = materialise(own.mapInArrow(_wanted_sets(width, wide, bitmap), "id long, digest binary, elements binary"))
+        out = materialise(verify(pairs, wanted, sets, percent))
+        discard(wanted, sets)
+        return out
 
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     # first round: the partner with the smallest bound, of each vertex
     both = bounded.union(stars)
     both = both.union(both.select("b", "a", "apart"))
     chosen = materialise(both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct())
-    sets = sets_of(ends(chosen))
-    links = materialise(verify(chosen, sets, percent))
+    links = linked(chosen)
     labels = connected_components(links)
     # next rounds: of what is still apart, the nearest partner in each region; the last round: all
     for best in (True, True, False):
@@ -634,17 +666,13 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
         apart = materialise(apart.select("a", "b").join(chosen, ["a", "b"], "left_anti"))
         if apart.isEmpty():
             continue
-        needed = materialise(ends(apart))
-        more = needed.join(sets.select("v"), "v", "left_anti")
-        if not more.isEmpty():
-            sets = sets.union(sets_of(more))
-        fresh = materialise(verify(apart, sets.join(needed, "v", "left_semi"), percent))
+        fresh = linked(apart)
         chosen = chosen.union(apart)
         if not fresh.isEmpty():
             links = links.union(fresh)
             labels = connected_components(links)
     # rows of empty sets have no vertex; a digest may be that of a third of all rows
-    vertex = named_vertices.select("digest", "v", "copies")
+    vertex = vertices.select("digest", "v", "copies")
     text_keys = ["text_key"] * keyed
     rows = join_counted(named.filter("n > 0"), vertex, "digest", "copies").select("doc_id", "n", "v", *text_keys)
     empty = named.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("v"), *text_keys)
