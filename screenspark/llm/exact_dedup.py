@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, free_names, join_counted, materialise
 
 FAN_BITS = 3
 BUCKETS = 4096
@@ -76,8 +76,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``doc_id, keep_id, group_size, kept, text_sha256, n_bytes`` for every row of ``docs``."""
     rows = materialise(digests(docs, id_col, text_col))
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    winners = merge_runs(rows, runs)
-    return rows.join(winners, "sha").select(
+    winners = materialise(merge_runs(rows, runs).withColumn("m", F.col("rows")))
+    return join_counted(rows, winners, "sha", "m").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         F.col("rows").alias("group_size"),
@@ -94,12 +94,13 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     row that stays are told apart by their normalised text, and one row of each is kept.
     """
     found = materialise(exact_duplicates(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"))
-    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept_id, kept_sha, own_sha = free_names(docs, "kept_id", "kept_sha", "own_sha")
+    kept = found.filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), _SPACES, " ").cast("binary"), 256)
-    same_id = F.col("_id").eqNullSafe(F.col(id_col).cast("long"))
+    same_id = F.col(kept_id).eqNullSafe(F.col(id_col).cast("long"))
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).filter("n > 1 and k > 0").limit(1).count() > 0
     if not repeated:
         return docs.join(kept, same_id, "left_semi")
-    marked = docs.withColumn("_own_sha", sha)
-    out = marked.join(kept, same_id & (F.col("_sha") == F.col("_own_sha")), "left_semi")
-    return out.dropDuplicates([id_col, "_own_sha"]).drop("_own_sha")
+    marked = docs.withColumn(own_sha, sha)
+    out = marked.join(kept, same_id & (F.col(kept_sha) == F.col(own_sha)), "left_semi")
+    return out.dropDuplicates([id_col, own_sha]).drop(own_sha)

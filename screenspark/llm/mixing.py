@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_names, materialise
 
 REPEAT_LIMIT = 2.0
 BLOCK_TOKENS = 65_536
@@ -141,23 +141,29 @@ def _small(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else plan
 
 
-def copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``_passes``, ``_block`` and ``_copies``, the times each row is in the mix."""
-    plan = plan.select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), F.col("blocks").alias("_blocks"), F.col("last_place").alias("_lp"), F.col("last_block").alias("_lb"), F.col("last_doc").alias("_ld"), F.col("passes").alias("_passes"))
-    out = docs.withColumn("_key", _key(F.col(source_col))).join(_small(plan), "_key")
+def copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", names: list[str] | None = None) -> DataFrame:
+    """``docs`` with four more columns: the passes over its source, each row's block, the block's place in the permutation, and the row's copies in the mix.
+
+    They are called ``passes, block, block_place, copies``, with underscores before a name that ``docs`` has; or by ``names``.
+    """
+    passes, block, place, count = names or free_names(docs, "passes", "block", "block_place", "copies")
+    key, whole, blocks, last_place, last_block, last_doc = free_names(docs.select("*", *(F.lit(0).alias(n) for n in (passes, block, place, count))), "key", "whole", "blocks", "last_place", "last_block", "last_doc")
+    plan = plan.select(F.col("key").alias(key), F.col("whole").alias(whole), F.col("blocks").alias(blocks), F.col("last_place").alias(last_place), F.col("last_block").alias(last_block), F.col("last_doc").alias(last_doc), F.col("passes").alias(passes))
+    out = docs.withColumn(key, _key(F.col(source_col))).join(_small(plan), key)
     ident = _id(F.col(id_col))
-    out = out.withColumn("_block", F.pmod(_place(F.lit("doc"), ident), F.col("_blocks")))
-    place = _place(F.lit("block"), F.col("_key"), F.col("_block").cast("string"))
+    out = out.withColumn(block, F.pmod(_place(F.lit("doc"), ident), F.col(blocks)))
+    out = out.withColumn(place, _place(F.lit("block"), F.col(key), F.col(block).cast("string")))
     at = F.md5(F.concat_ws("|", F.lit(str(SEED)), F.lit("in"), ident).cast("binary"))
     # blocks before the last one in the permutation are in; in the last one, documents up to the last that fits
-    taken = F.when(F.col("_block") == F.col("_lb"), at <= F.col("_ld")).otherwise(F.struct(place, F.col("_block")) < F.struct("_lp", "_lb"))
-    return out.withColumn("_copies", F.col("_whole") + F.coalesce(taken, F.lit(False)).cast("int")).drop("_key", "_whole", "_blocks", "_lp", "_lb", "_ld")
+    taken = F.when(F.col(block) == F.col(last_block), at <= F.col(last_doc)).otherwise(F.struct(F.col(place).alias("p"), F.col(block).alias("b")) < F.struct(F.col(last_place).alias("p"), F.col(last_block).alias("b")))
+    return out.withColumn(count, F.col(whole) + F.coalesce(taken, F.lit(False)).cast("int")).drop(key, whole, blocks, last_place, last_block, last_doc)
 
 
 def mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the plan says, with its own columns."""
-    out = copies(docs, plan, id_col, source_col).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    *names, copy = free_names(docs, "passes", "block", "block_place", "copies", "copy")
+    out = copies(docs, plan, id_col, source_col, names).filter(F.col(names[3]) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names[3])))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The same mix in DuckDB SQL, for distinct ids and the default limit (there the exponent has a closed form).
@@ -191,7 +197,7 @@ r AS (
          sum(n) OVER (PARTITION BY key, block ORDER BY spot) AS doc_end
   FROM (SELECT * FROM c) x),
 m AS (SELECT *, block_end - block_n AS block_start FROM r)
-SELECT doc_id, source, n AS n_tokens, passes, CAST(block AS BIGINT) AS block,
+SELECT doc_id, source, n AS n_tokens, passes, CAST(block AS BIGINT) AS block, place AS block_place,
        whole + CAST(CASE WHEN tokens = 0 THEN FALSE
                          WHEN block_end <= rest THEN TRUE
                          WHEN block_start <= rest THEN block_start + doc_end <= rest

@@ -41,15 +41,17 @@ _WHITE[[0x20, *range(0x09, 0x0E), 0x85, 0xA0, 0x2028, 0x2029, 0x3000]] = True
 
 
 def features(text: str, bits: int = BITS) -> Iterator[np.ndarray]:
-    """Bucket numbers of all words and n-grams of a whole text, step by step."""
+    """Bucket numbers of all words, word pairs and n-grams of a whole text, step by step.
+
+    A word that a step cuts is carried on as the sum of its code points' numbers, so steps change nothing.
+    """
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     shift, longest = np.uint64(64 - bits), max(GRAMS)
-    a, n = 0, len(points)
-    while a < n:
+    n = len(points)
+    open_sum, open_size = np.zeros(1, dtype=np.uint64), 0
+    before = np.zeros(0, dtype=np.uint64)  # the last word of the steps so far
+    for a in range(0, n, STEP):
         b = min(n, a + STEP)
-        if b < n:  # cut behind a space where there is one
-            gaps = np.flatnonzero(_WHITE[points[a:b]])
-            b = a + int(gaps[-1]) + 1 if len(gaps) else b
         codes = points[a : min(n, b + longest - 1)].astype(np.uint64) + np.uint64(1)
         own = b - a
         parts = []
@@ -64,23 +66,34 @@ def features(text: str, bits: int = BITS) -> Iterator[np.ndarray]:
         edge = np.flatnonzero(white)
         starts, ends = np.concatenate(([0], edge + 1)), np.concatenate((edge, [own]))
         full = ends > starts
-        if full.any():
-            starts, ends = starts[full], ends[full]
-            words = np.add.reduceat(_placed(codes[:own], starts) * ~white, starts)
+        starts, ends = starts[full], ends[full]
+        place = np.arange(own)
+        words = open_sum[:0]
+        goes_on = open_size > 0 and not white[0]
+        if len(starts):
+            first = np.zeros(own, dtype=np.int64)
+            first[starts] = starts
+            place -= np.maximum.accumulate(first)
+            if goes_on:
+                place[: ends[0]] += open_size
+            words = np.add.reduceat(mix(codes[:own] + (place.astype(np.uint64) << np.uint64(21))) * ~white, starts)
+        if goes_on:
+            words[:1] += open_sum
+        elif open_size:
+            words = np.concatenate((open_sum, words))
+        if b < n and not white[-1]:
+            open_size = int(place[-1]) + 1
+            open_sum, words = words[-1:], words[:-1]
+        else:
+            open_size = 0
+        if len(words):
             parts.append(mix(words) >> shift)
-            if len(words) > 1:  # word pairs; a word that follows itself is one shared feature
-                pair = mix(words[:-1] * _MIX + words[1:])
-                parts.append(np.where(words[:-1] == words[1:], _REPEAT, pair) >> shift)
+            chain = np.concatenate((before, words))
+            if len(chain) > 1:  # word pairs; a word that follows itself is one shared feature
+                pair = mix(chain[:-1] * _MIX + chain[1:])
+                parts.append(np.where(chain[:-1] == chain[1:], _REPEAT, pair) >> shift)
+            before = words[-1:]
         yield np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
-        a = b
-
-
-def _placed(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Code points mixed with their place in their word."""
-    first = np.zeros(len(codes), dtype=np.int64)
-    first[starts] = starts
-    place = np.arange(len(codes)) - np.maximum.accumulate(first)
-    return mix(codes + (place.astype(np.uint64) << np.uint64(21)))
 
 
 class SubwordModel:
@@ -142,7 +155,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, labe
     labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     labelled = labelled.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other")
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "y")
-    found = documents(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()
+    found = documents(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: r.doc_id)
     model = SubwordModel().fit([r.text for r in found], [r.y for r in found])
     return model.folded()

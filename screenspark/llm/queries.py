@@ -18,8 +18,8 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    placed = mixing.copies(docs.withColumn("n_tokens", mixing.n_tokens(F.col("text"))), mixing.mixing_plan(docs))
-    return placed.select("doc_id", "source", "n_tokens", F.col("_passes").alias("passes"), F.col("_block").alias("block"), F.col("_copies").alias("copies"))
+    rows = docs.select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("n_tokens"))
+    return mixing.copies(rows, mixing.mixing_plan(docs)).select("doc_id", "source", "n_tokens", "passes", "block", "block_place", "copies")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
