@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenspark.llm import bpe, exact_dedup, jaccard, mixing, quality
-from screenspark.llm.common import discard, join_counted, materialise, table
+from screenspark.llm.common import discard, join_counted, materialise, small_side, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BPE_FILE = "byte_bpe_50k.json"
@@ -47,7 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     some = found.filter("gone").join(whole, "doc_id", "left_anti").select("doc_id", "text_key").distinct().withColumn("stays", F.lit(False))
     again = found.filter("linked and not gone").groupBy("doc_id", "text_key").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id", "text_key", F.lit(True).alias("stays"))
     keys = materialise(some.union(again))
-    left = docs.join(whole, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(small_side(whole), "doc_id", "left_anti").select(*COLUMNS)
     if keys.isEmpty():
         return left
     left = left.withColumn("own_key", jaccard.text_key(F.col("text")))

@@ -79,6 +79,11 @@ HOT_ROWS = 20_000
 FEW_ROWS = 100_000
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """A narrow table, marked for broadcast if its counted rows are few, else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
     """Inner join of ``rows`` with the table ``keyed``, one narrow row per ``key`` with the number of its rows in ``count``.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, free_names, join_counted, materialise
+from .common import documents, free_names, join_counted, materialise, small_side
 
 FAN_BITS = 3
 BUCKETS = 4096
@@ -90,8 +90,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Where ids are unique this is a semi-join on the kept ids.  Rows that share an id with a
-    row that stays are told apart by their normalised text, and one row of each is kept.
+    Where ids are unique and not null this is an anti-join on the ids that go, mostly the fewer.  Rows that share an
+    id with a row that stays are told apart by their normalised text, and one row of each is kept.
     """
     found = materialise(exact_duplicates(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"))
     kept_id, kept_sha, own_sha = free_names(docs, "kept_id", "kept_sha", "own_sha")
@@ -100,6 +100,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same_id = F.col(kept_id).eqNullSafe(F.col(id_col).cast("long"))
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).filter("n > 1 and k > 0").limit(1).count() > 0
     if not repeated:
+        gone = materialise(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(kept_id)))
+        if found.filter("doc_id is null").isEmpty():
+            return docs.join(small_side(gone), same_id, "left_anti")
         return docs.join(kept, same_id, "left_semi")
     marked = docs.withColumn(own_sha, sha)
     out = marked.join(kept, same_id & (F.col(kept_sha) == F.col(own_sha)), "left_semi")

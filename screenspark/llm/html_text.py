@@ -12,7 +12,9 @@ invented words, each block with its label.  No corpus text is involved.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed, and article blocks are joined by two line feeds.  Scripts, styles, comments and
-the head are never blocks; ``br`` is white space.  Defined results: null html is empty;
+the head are never blocks; ``br`` is white space.  A page is scanned once, in time linear in its length:
+a ``<`` that begins no tag is text, a quote that is never closed is no quote, and of elements whose
+content is skipped all but scripts and styles are skipped only if they are closed.  Defined results: null html is empty;
 pages without article blocks give the empty text; rows with null or repeated ids are rows of
 their own; no pages give no rows; other columns are ignored.
 """
@@ -22,7 +24,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -34,28 +36,75 @@ from .common import slices
 #: Elements of HTML by their role here; fixed values.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style template noscript iframe object svg math title textarea canvas audio video".split())
+#: Elements whose content is no text of the page; the rest of a page is theirs where a raw one is not closed.
+RAW = frozenset("script style".split())
+SKIPPED = RAW | frozenset("head template noscript iframe object svg title textarea canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html".split())
 #: Training: pages, passes, step.
-PAGES, EPOCHS, RATE, SEED = 400, 6, 0.1, 11
+PAGES, EPOCHS, RATE, SEED = 600, 6, 0.1, 11
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/><]*+)")
+_VALUE = re.compile(r"=\s*+([\"'])|>")
 _CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class _Scanner:
+    """Tags of a page, found left to right; what was once not found is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.absent = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at`` (the place of its ``>``), or -1."""
+        if self.find(">", at) < 0:
+            return -1
+        while True:
+            m = _VALUE.search(self.page, at)
+            if m is None:
+                return -1
+            if m[1] is None:
+                return m.start()
+            close = self.find(m[1], m.end())
+            inner = self.page.find(">", m.end(), close) if close >= 0 else -1
+            if close < 0 or inner >= 0 and self.page.find("<", inner, close) >= 0:
+                # the quote is not closed, or only by one of a later tag
+                return self.find(">", m.end())
+            at = close + 1
+
+    def element_end(self, tag: str, at: int) -> int:
+        """Behind the closing tag of a skipped element, or -1."""
+        if "</" + tag in self.absent:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.page, at)
+        end = self.find(">", m.end()) if m else -1
+        if end < 0:
+            self.absent.add("</" + tag)
+        return end + 1 if end >= 0 else -1
+
+
 def blocks(page: str, known=None) -> list[tuple[str, frozenset, str, int]]:
     """``(own tag, ancestor features, text, characters inside links)`` of each leaf block.
 
     ``known`` restricts the ancestor features, which bounds them whatever the nesting.
     """
     out: list[tuple[str, frozenset, str, int]] = []
-    stack: list[tuple[str, frozenset]] = [("", frozenset())]
-    opened: Counter = Counter()
+    #: of each open element: its tag, features of it and its ancestors, the nearest block-level tag, the depth of the nearest scope
+    stack: list[tuple[str, frozenset, str, int]] = [("", frozenset(), "", 0)]
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # depths of the open elements of a tag
     parts: list[str] = []
     linked, at, n = 0, 0, len(page)
+    scan = _Scanner(page)
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -70,40 +119,51 @@ def blocks(page: str, known=None) -> list[tuple[str, frozenset, str, int]]:
         if parts:
             joined = _SPACE.sub(" ", "".join(parts)).strip()
             if joined:
-                own = next((tag for tag, _ in reversed(stack) if tag not in INLINE), "")
-                out.append((own, stack[-1][1], joined, linked))
+                out.append((stack[-1][2], stack[-1][1], joined, linked))
             parts.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
-        for tag, _ in stack[k:]:
-            opened[tag] -= 1
+        for tag, *_ in stack[k:]:
+            opened[tag].pop()
         del stack[k:]
 
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+        start = scan.find("<", at)
+        if start < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        text(page[at:start])
+        mark = page[start + 1 : start + 2]
+        if mark in ("!", "?") and mark:
+            note = page.startswith("<!--", start)
+            end = scan.find("-->" if note else ">", start + 2)
+            at = n if note and end < 0 else end + (3 if note else 1) if end >= 0 else start + 1
+            if at == start + 1:
+                text("<")
+            continue
+        m = _NAME.match(page, start + 1)
+        end = scan.tag_end(m.end()) if m else -1
+        if end < 0:
+            text("<")
+            at = start + 1
             continue
+        at = end + 1
         tag = m[2].lower()
+        inline = tag in INLINE or bool(opened["math"]) or tag == "math"
         if m[1]:
-            if tag not in INLINE:
+            if not inline and tag not in SKIPPED:
                 flush()
-            if opened[tag] > 0:
-                k = len(stack) - 1
-                while stack[k][0] != tag:
-                    k -= 1
-                pop_to(k)
+            if opened[tag]:
+                pop_to(opened[tag][-1])
             continue
+        inside = page[m.end() : end]
         if tag in SKIPPED:
-            flush()
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
-                at = end.end() if end else n if tag != "head" else at
+            if tag == "head":
+                flush()
+            if not inside.endswith("/"):
+                behind = scan.element_end(tag, at)
+                at = behind if behind >= 0 else n if tag in RAW else at
             continue
         if tag in VOID:
             if tag == "br":
@@ -111,27 +171,22 @@ def blocks(page: str, known=None) -> list[tuple[str, frozenset, str, int]]:
             elif tag == "hr":
                 flush()
             continue
-        if tag not in INLINE:
+        if not inline:
             flush()
-            if opened["p"] > 0 and tag not in SCOPES.difference(("ul", "ol", "dl", "table")):
-                k = len(stack) - 1
-                while stack[k][0] != "p":
-                    k -= 1
-                pop_to(k)
-            if tag in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in CLOSES[tag]:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in SCOPES:
-                        break
+            if opened["p"] and tag not in SCOPES.difference(("ul", "ol", "dl", "table")):
+                pop_to(opened["p"][-1])
+            nearest = max((opened[t][-1] for t in CLOSES.get(tag, ()) if opened[t]), default=0)
+            if nearest > stack[-1][3]:
+                pop_to(nearest)
         own = {f"in={tag}"}
-        for a in _CLASS.finditer(m[3]) if "=" in m[3] else ():
+        for a in _CLASS.finditer(inside) if "=" in inside else ():
             own.update(f"cls={w}" for w in _WORD.findall((a[1] or a[2] or a[3] or "").lower()))
         if known is not None:
             own &= known
-        stack.append((tag, stack[-1][1] | own if not own <= stack[-1][1] else stack[-1][1]))
-        opened[tag] += 1
+        _, above, block, scope = stack[-1]
+        depth = len(stack)
+        opened[tag].append(depth)
+        stack.append((tag, above | own if not own <= above else above, block if inline else tag, depth if tag in SCOPES else scope))
     flush()
     return out
 
@@ -249,6 +304,8 @@ _OPEN, _CLOSE = "\x02", "\x03"  # around article blocks, so that labels are read
 class _Writer:
     def __init__(self, rng: random.Random):
         self.rng = rng
+        #: How a page names its parts: "known" words, "random" ones, or "bare" elements without names.
+        self.style = "known"
 
     def word(self) -> str:
         return "".join(self.rng.choice("abcdefghilmnoprstuvé") for _ in range(self.rng.randint(2, 9)))
@@ -259,10 +316,18 @@ class _Writer:
     def sentences(self, low: int, high: int) -> str:
         return " ".join(self.words(1, 14).replace(" ", ", ", self.rng.random() < 0.3) + self.rng.choice("..!?") for _ in range(self.rng.randint(low, high)))
 
+    def odd(self) -> str:
+        """Article text that is no sentence: words with signs behind or between them, or alone, few or many."""
+        rng = self.rng
+        sign = rng.choice((" |", "&amp;&amp;&amp;", "***", "", "", " -", ":", ";", ",", " 1 2", "@@@"))
+        return " ".join(self.word() + (sign if rng.random() < 0.8 else "") for _ in range(rng.choice((1, 3, 8, 20, 60)))) + rng.choice(("", sign, "."))
+
     def box(self, part: str, tags: str, inner: str) -> str:
         tag = self.rng.choice(tags.split())
         how = self.rng.random()
-        name = self.rng.choice(CLASSES[part].split())
+        name = self.rng.choice(CLASSES[part].split()) if self.style == "known" else self.word()
+        if self.style == "bare":
+            return f"<div>{inner}</div>"
         plain = tag not in ("div", "ul", "section", "span", "p") and how < 0.5
         return f"<{tag}{'' if plain else f' {self.rng.choice(("class", "class", "id"))}="{name}"'}>{inner}</{tag}>"
 
@@ -296,7 +361,7 @@ class _Writer:
         for _ in range(rng.randint(1, 12)):
             kind = rng.random()
             if kind < 0.75:
-                text = self.sentences(1, rng.choice((1, 3, 12)))
+                text = self.sentences(1, rng.choice((1, 3, 12))) if rng.random() < 0.75 else self.odd()
                 if rng.random() < 0.15:
                     text = f"<b>{text}" if rng.random() < 0.5 else f'<a href="/x">{self.word()}</a> {text}'
                 out.append(mark("p", text))
@@ -310,7 +375,7 @@ class _Writer:
                 out.append(mark("pre", self.words(3, 20)))
             elif kind < 0.96:
                 out.append(f"<table><tr>{mark('td', self.words(1, 4))}{mark('td', self.words(1, 4))}</tr></table>")
-            else:
+            elif self.style != "bare":
                 out.append(self.part(rng.choice(("advert", "sidebar", "notice", "form"))))
         inner = "".join(out)
         how = rng.random()
@@ -320,11 +385,29 @@ class _Writer:
             inner = self.box("article", "div div section main article", inner)
         return f"<main>{inner}</main>" if rng.random() < 0.25 else inner
 
+    def plain(self) -> str:
+        """A page of article text alone: without tags, or in nested elements without names."""
+        text = [f"{_OPEN}{self.sentences(1, 6) if self.rng.random() < 0.8 else self.odd()}{_CLOSE}" for _ in range(self.rng.randint(1, 4))]
+        how = self.rng.random()
+        if how < 0.3:
+            return text[0]
+        inner = "".join(f"<{t}>{x}</{t}>" for x in text for t in (self.rng.choice(("div", "p")),))
+        for _ in range(self.rng.randint(0, 3)):
+            inner = f"<div>{inner}</div>" if how < 0.7 else f'<div id="{self.word()}">{inner}</div>'
+        return inner if how < 0.5 else f"<html><body>{inner}</body></html>"
+
     def page(self) -> str:
         rng = self.rng
+        how = rng.random()
+        self.style = "known" if how < 0.7 else "random" if how < 0.82 else "bare"
+        if how > 0.9:
+            return self.plain()
         some = lambda p, *kinds: "".join(self.part(k) for k in kinds if rng.random() < p)
-        top = some(0.5, "notice") + some(0.6, "header", "menu") + some(0.4, "advert", "sidebar", "form")
-        tail = some(0.4, "sidebar", "comments", "form", "advert", "notice") + some(0.8, "footer")
+        if self.style == "bare":  # only what a reader tells apart by its text: lists of links
+            top, tail = some(0.6, "menu"), some(0.5, "menu")
+        else:
+            top = some(0.5, "notice") + some(0.6, "header", "menu") + some(0.4, "advert", "sidebar", "form")
+            tail = some(0.4, "sidebar", "comments", "form", "advert", "notice") + some(0.8, "footer")
         return f"<html><head><title>{self.words(2, 6)}</title></head><body>{top}{self.article()}{tail}</body></html>"
 
 
