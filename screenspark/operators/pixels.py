@@ -81,3 +81,27 @@ def dice_loss(both: DataFrame, eps: float = 1e-7) -> DataFrame:
     """``1 - mean over channels of 2 sum(p q) / (sum p + sum q + eps)`` of columns ``ch, p, q``."""
     each = both.groupBy("ch").agg((2 * F.sum(F.col("p") * F.col("q")) / (F.sum("p") + F.sum("q") + eps)).alias("d"))
     return each.agg((1 - F.avg("d")).alias("loss"))
+
+
+def fill_range(pixels: DataFrame, low: float, high: float, seed: str = "0") -> DataFrame:
+    """Values outside two percentiles of their frame replaced by uniform noise between these, drawn by a hash of the pixel."""
+    ends = pixels.groupBy("img", "ch").agg(F.percentile("v", F.array(F.lit(low / 100), F.lit(high / 100))).alias("q"))
+    name = F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in ("img", "ch", "y", "x")))
+    u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    lo, hi = F.col("q")[0], F.col("q")[1]
+    return pixels.join(ends, ["img", "ch"]).withColumn("v", F.when(F.col("v").between(lo, hi), F.col("v")).otherwise(lo + (hi - lo) * u)).select(*pixels.columns)
+
+
+def shift(pixels: DataFrame, dy: int, dx: int) -> DataFrame:
+    """Frames moved by whole pixels; what comes from outside is 0, and no offset leaves them as they are."""
+    if not dy and not dx:
+        return pixels
+    moved = pixels.select("img", "ch", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("v").alias("w"))
+    return pixels.drop("v").join(moved, ["img", "ch", "y", "x"], "left").select("img", "ch", "y", "x", F.coalesce("w", F.lit(0.0)).alias("v"))
+
+
+def half_turn(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """Frames turned by 180 degrees; pixels outside the stated size raise."""
+    inside = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
+    turned = lambda c, n: F.when(inside, n - 1 - F.col(c)).otherwise(F.raise_error(F.lit("the image has another size")).cast("long"))
+    return pixels.select("img", "ch", turned("y", height).alias("y"), turned("x", width).alias("x"), "v")

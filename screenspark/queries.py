@@ -156,9 +156,10 @@ def offdiag_baseline(spark, sf_dir):
     return similarity.offdiag_baseline(_gene_pairs(spark, sf_dir), 10).withColumn("baseline", r6(F.col("baseline")))
 
 
-@query("SELECT event_id, coalesce(v, min(v) OVER ()) AS score FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS v FROM events)")
+@query("""WITH h AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'Infinity'::DOUBLE WHEN event_id % 17 = 0 THEN '-Infinity'::DOUBLE WHEN event_id % 19 = 0 THEN 'NaN'::DOUBLE ELSE value END AS v FROM events)
+SELECT event_id, CASE WHEN v IS NULL OR isinf(v) OR isnan(v) THEN (SELECT min(v) FROM h WHERE isfinite(v)) ELSE v END AS score FROM h""")
 def score_fill_worst(spark, sf_dir):
-    holes = fx.table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN value ELSE value END AS score")
+    holes = fx.table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN double('Infinity') WHEN event_id % 17 = 0 THEN double('-Infinity') WHEN event_id % 19 = 0 THEN double('NaN') ELSE value END AS score")
     return similarity.fill_worst(holes)
 
 
@@ -326,4 +327,4 @@ def balanced_sample(spark, sf_dir):
     return series.balanced_sample(rows, ["plate_well"], "y", "ID", "42")
 
 
-from . import queries_network, queries_space  # noqa: E402, F401  register their queries too
+from . import queries_network, queries_selection, queries_space  # noqa: E402, F401  register their queries too

@@ -133,10 +133,10 @@ def composite_rgb(spark, sf_dir):
     return out.select("img", "y", "x", *(r6(F.col(c) + 1e-8).alias(c) for c in "rgb"))
 
 
-@query("""WITH sp AS (SELECT event_id % 3 AS img, substr('CATG', (event_id % 4) + 1, 1) AS base, event_id * 7 % 256 AS y, event_id * 13 % 256 AS x FROM events WHERE event_id < 500)
+@query("""WITH sp AS (SELECT event_id % 3 AS img, substr('CATG', (event_id % 4) + 1, 1) AS base, event_id * 7 % 256 AS y, event_id * 13 % 256 AS x FROM events)
 SELECT DISTINCT img, base, y + dy AS y, x + dx AS x FROM sp, (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE y + dy >= 0 AND y + dy < 255 AND x + dx >= 0 AND x + dx < 255""")
 def label_raster(spark, sf_dir):
-    spots = fx.table(spark, sf_dir, "events").filter("event_id < 500").selectExpr("event_id % 3 AS img", "substring('CATG', CAST(event_id % 4 AS INT) + 1, 1) AS base", "event_id * 7 % 256 AS y", "event_id * 13 % 256 AS x")
+    spots = fx.table(spark, sf_dir, "events").selectExpr("event_id % 3 AS img", "substring('CATG', CAST(event_id % 4 AS INT) + 1, 1) AS base", "event_id * 7 % 256 AS y", "event_id * 13 % 256 AS x")
     return pixels.label_raster(spots, 256, 2)
 
 
