@@ -10,6 +10,9 @@ Vocabulary and merges are read from a public tokenizer file; nothing is trained.
 those of the tokenizers library for the same file: added tokens are cut out of the text
 first, the rest is split by the byte-level pattern and every piece is merged by itself.
 Null text is empty and encodes to no ids.
+
+Defined results: rows with null or repeated ids are rows of their own; an empty table gives no rows; other
+columns are ignored; a long text without spaces is one piece with one tree.
 """
 
 from __future__ import annotations

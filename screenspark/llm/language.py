@@ -11,7 +11,8 @@ language, drawn by a hash of the id (the documented bound of the fit).
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and no spans;
 without training rows every document is ``und``; null languages and ids do not train; ties go
-to the alphabetically first language; rows with a null id are labelled, not held out.
+to the alphabetically first language; rows with a null id are labelled, not held out; rows that repeat an
+id are rows of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import sys
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, slices
@@ -243,7 +244,9 @@ def fit_language(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str =
     # the hash picks about per_lang rows of a language, so that no language gathers in one task
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rate = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(per_lang / r["count"])) for r in sizes), F.lit(0.0)) if sizes else F.lit(0.0)
-    sample = rows.filter(draw < rate).select("text", "lang").limit(2 * per_lang * max(1, len(sizes))).collect()
+    # the draw gives about per_lang rows of a language; twice as many are the most, the first by the hash
+    along = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    sample = rows.filter(draw < rate).withColumn("place", F.row_number().over(along)).filter(F.col("place") <= 2 * per_lang).select("text", "lang").collect()
     return LanguageModel.fit(sorted((r.text, r.lang) for r in sample))
 
 

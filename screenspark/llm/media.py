@@ -8,6 +8,9 @@ of key frames without touching the payload.
 
 Payloads are the UTF-8 text followed by bytes 32 up to a positive multiple of 192; null text
 is empty, so it and the empty text give one blank frame.  Equal texts give equal files.
+
+Defined results: rows with null or repeated ids are rows of their own; long texts are stored whole, with
+64-bit sizes and offsets where needed; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,12 +116,27 @@ def _table(data: memoryview, at: int, columns: int, kind: str = ">u4", skip: int
     return np.frombuffer(data, dtype=kind, count=n * columns, offset=at + skip + 4).astype(np.int64).reshape(n, columns)
 
 
+def tracks(data: memoryview) -> list[dict[str, tuple[int, int]]]:
+    """The boxes of each track by path, the first of a path."""
+    out: list[dict[str, tuple[int, int]]] = []
+    for path, a, b in walk(data):
+        if path == "/moov/trak":
+            out.append({})
+        elif path.startswith("/moov/trak/"):
+            out[-1].setdefault(path, (a, b))
+    return out
+
+
 def probe(media: bytes) -> dict:
-    """Codec, duration, sample and key-frame byte ranges of the first video track."""
+    """Codec, duration, sample and key-frame byte ranges of the first track whose handler is ``vide``.
+
+    A file without such a track raises; samples of movie fragments are not part of the tables and not listed.
+    """
     data = memoryview(media)
-    boxes: dict[str, tuple[int, int]] = {}
-    for path, a, b in walk(data):
-        boxes.setdefault(path, (a, b))
+    video = [t for t in tracks(data) if "/moov/trak/mdia/hdlr" in t and bytes(data[t["/moov/trak/mdia/hdlr"][0] + 8 :][:4]) == b"vide"]
+    if not video:
+        raise ValueError("the file has no video track")
+    boxes = video[0]
     stbl = "/moov/trak/mdia/minf/stbl/"
     a, _ = boxes[stbl + "stsd"]
     codec = bytes(data[a + 12 : a + 16]).decode("latin-1")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_dir
+from .common import FEW_ROWS, HOT_ROWS, materialise, scratch_dir
 
 MIN_BYTES = 0
 #: Records of one archive file.
@@ -53,8 +53,16 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, path: str | Non
     path = path or scratch_dir(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    first = rows.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    rows = rows.join(first, "digest", "left")
+    # only payloads that occur more than once are looked up, so that pages are not shuffled where such payloads are counted few
+    named = rows.select("page_id", "n", "digest").filter(F.col("n") >= min_bytes)
+    again = materialise(named.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1"))
+    if again.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        rows = rows.join(F.broadcast(again.drop("copies")), "digest", "left")
+    else:  # payloads of many pages by broadcast, so that none fills a task; there are at most one per HOT_ROWS pages
+        heavy, light = again.filter(F.col("copies") > HOT_ROWS).drop("copies"), again.filter(F.col("copies") <= HOT_ROWS).drop("copies")
+        rows = rows.join(F.broadcast(heavy), "digest").unionByName(rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(light, "digest", "left"))
+    # a null first id of a payload that occurs once, or whose ids are all null, names the row itself
+    rows = rows.withColumn("first_id", F.coalesce("first_id", "page_id"))
     revisit = (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(_END))

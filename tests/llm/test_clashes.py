@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from screenspark.llm import exact_dedup, mixing, quality
+from screenspark.llm import exact_dedup, media, mixing, quality, warc
 from screenspark.llm.shingles import shingle_sets, span_hashes
 
 
@@ -36,3 +36,28 @@ def test_columns_named_like_those_of_the_operators(spark):
     mixed = mixing.mix(docs, mixing.mixing_plan(docs))
     assert mixed.columns == docs.columns
     assert {tuple(r) for r in mixed.collect()} == {tuple(r) for r in docs.collect()}
+
+
+def test_probe_reads_the_video_track_where_another_track_is_first():
+    payload = bytes(range(192)) * 40
+    file = media.mux(payload)
+    head = file.index(b"moov") - 4
+    size = int.from_bytes(file[head : head + 4], "big")
+    at = file.index(b"trak", head) - 4
+    track = file[at : at + int.from_bytes(file[at : at + 4], "big")]
+    sound = track.replace(b"vide", b"soun").replace(b"raw ", b"mp4a")
+    both = file[:at] + sound + file[at:]
+    both = both[:head] + (size + len(sound)).to_bytes(4, "big") + both[head + 4 :]
+    info = media.probe(both)
+    assert info["codec"] == "raw " and len(info["sizes"]) == 40
+    with pytest.raises(ValueError):
+        media.probe(file.replace(b"vide", b"soun"))
+
+
+def test_repeated_payloads_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FEW_ROWS", 1)
+    monkeypatch.setattr(warc, "HOT_ROWS", 3)
+    rows = [(i, f"http://a.b/{i}", "one") for i in range(5, 0, -1)] + [(8, "u", "two"), (7, "u", "two"), (9, None, "own"), (None, "v", None), (None, "v", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()}
+    assert got == {(1, "response", None), *((i, "revisit", 1) for i in range(2, 6)), (7, "response", None), (8, "revisit", 7), (9, "response", None), (None, "response", None)}
