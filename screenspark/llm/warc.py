@@ -35,6 +35,8 @@ from .common import FEW_ROWS, HOT_ROWS, materialise, scratch_dir
 MIN_BYTES = 0
 #: Records of one archive file.
 PER_ARCHIVE = 2000
+#: Captures of one key range, which one task merges.
+RANGE_ROWS = 50_000
 EPOCH = 1_704_067_200
 _END = "\r\n\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -284,7 +286,8 @@ def _merge(batches):
 def capture_history(index: DataFrame, ranges: int | None = None) -> DataFrame:
     """Globally ordered captures: ranges of keys, in each the loser-tree merge of the sorted runs."""
     spark = index.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as keep the rows of one, which its merge holds, at about RANGE_ROWS whatever the input
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // RANGE_ROWS))
     dealt = index.repartitionByRange(ranges, "url_key", "captured_at", F.col("page_id").asc_nulls_first())
     # rows of one run arrive together and in order; the sort spills, the merge holds one range
     dealt = dealt.sortWithinPartitions("archive", "url_key", "captured_at", F.col("page_id").asc_nulls_first())
