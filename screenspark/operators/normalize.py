@@ -39,6 +39,23 @@ def center_scale(long: DataFrame, control: str = CONTROL, batch: str = "plate_we
     return long.join(stats, [batch, "dim"], "left").withColumn("z", ratio(F.col("x") - F.col("mu"), F.col("sd"))).drop("mu", "sd")
 
 
+def scale_vectors(df: DataFrame, robust: bool = True, features: str = "features", control: str = CONTROL, batch: str = "plate_well") -> DataFrame:
+    """``df`` with its feature vectors scaled like ``robust_center_scale`` (or ``center_scale``) does, row by row.
+
+    Only controls are exploded; statistics come back as one array row per batch, so what is joined to the
+    cells is their vectors as they are (or nothing is shuffled, where Spark finds the statistics small).
+    """
+    own = _controls(to_long(df.select("gene_id", batch, features), features), control, batch)
+    if robust:
+        centre = own.groupBy(batch, "dim").agg(F.median("x").alias("c"))
+        spread = own.join(centre, [batch, "dim"]).groupBy(batch, "dim").agg(F.first("c").alias("c"), (F.median(F.abs(F.col("x") - F.col("c"))) / MAD_SCALE).alias("s"))
+    else:
+        spread = own.groupBy(batch, "dim").agg(F.avg("x").alias("c"), F.stddev_samp("x").alias("s"))
+    stats = spread.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct("dim", "c", "s"))).alias("stats"))
+    scaled = F.transform(features, lambda x, i: ratio(x - F.get("stats", i)["c"], F.get("stats", i)["s"]))
+    return df.join(stats, batch, "left").withColumn(features, scaled).select(*df.columns)
+
+
 def normalize(long: DataFrame, method=robust_center_scale, control: str = CONTROL, batch: str = "plate_well") -> DataFrame:
     return method(long, control, batch)
 

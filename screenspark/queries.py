@@ -15,8 +15,12 @@ def _long(spark, sf_dir) -> DataFrame:
     return normalize.to_long(fx.cells(spark, sf_dir))
 
 
+def _scaled(spark, sf_dir, robust: bool = True) -> DataFrame:
+    return normalize.to_long(normalize.scale_vectors(fx.cells(spark, sf_dir), robust)).withColumnRenamed("x", "z")
+
+
 def _guides(spark, sf_dir) -> DataFrame:
-    return normalize.by_guide(normalize.robust_center_scale(_long(spark, sf_dir)))
+    return normalize.by_guide(_scaled(spark, sf_dir))
 
 
 # --- keys ------------------------------------------------------------------------------
@@ -78,12 +82,12 @@ def channel_parse(spark, sf_dir):
 
 @query(f"WITH {fx.CELLS} SELECT ID, dim, round(z, 6) + 0.0 AS z FROM robust")
 def robust_scale(spark, sf_dir):
-    return normalize.robust_center_scale(_long(spark, sf_dir)).select("ID", "dim", r6(F.col("z")).alias("z"))
+    return _scaled(spark, sf_dir).select("ID", "dim", r6(F.col("z")).alias("z"))
 
 
 @query(f"WITH {fx.CELLS} SELECT ID, dim, round((x - mu) / nullif(sd, 0), 6) + 0.0 AS z FROM long LEFT JOIN med USING (plate_well, dim)")
 def std_scale(spark, sf_dir):
-    return normalize.normalize(_long(spark, sf_dir), normalize.center_scale).select("ID", "dim", r6(F.col("z")).alias("z"))
+    return _scaled(spark, sf_dir, robust=False).select("ID", "dim", r6(F.col("z")).alias("z"))
 
 
 @query(f"WITH {fx.CELLS}, h AS (SELECT ID, dim, CASE WHEN dim % 7 = 3 AND ID LIKE '%_C8' THEN NULL ELSE x END AS z FROM long) SELECT ID, dim, z FROM h WHERE dim NOT IN (SELECT dim FROM h WHERE z IS NULL)")
@@ -99,7 +103,7 @@ def agg_guide_mean(spark, sf_dir):
 
 @query(f"WITH {fx.CELLS} SELECT barcode, gene_id, dim, round(median(z), 6) + 0.0 AS z FROM robust GROUP BY ALL")
 def agg_guide_median(spark, sf_dir):
-    return normalize.by_guide(normalize.robust_center_scale(_long(spark, sf_dir)), "median").withColumn("z", r6(F.col("z")))
+    return normalize.by_guide(_scaled(spark, sf_dir), "median").withColumn("z", r6(F.col("z")))
 
 
 @query(f"WITH {fx.CELLS} SELECT gene_id, dim, round(z, 6) + 0.0 AS z FROM gene")

@@ -15,7 +15,7 @@ sc AS (SELECT i, j, sim, coalesce(score, 0) AS score FROM genesim LEFT JOIN edge
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    guides = normalize.by_guide(normalize.robust_center_scale(normalize.to_long(fx.cells(spark, sf_dir))))
+    guides = normalize.by_guide(normalize.to_long(normalize.scale_vectors(fx.cells(spark, sf_dir))).withColumnRenamed("x", "z"))
     pairs = similarity.cosine_pairs(normalize.to_vectors(normalize.by_gene(guides), ["gene_id"]), "gene_id")
     return network.scored_pairs(pairs, fx.edges(spark, sf_dir))
 

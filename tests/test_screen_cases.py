@@ -165,3 +165,12 @@ def test_union_of_tables_fills_missing_columns(spark, tmp_path):
     spark.createDataFrame([(2.5, 2)], "c double, a int").write.parquet(f"{tmp_path}/two")
     got = {(r.a, r.b, r.c) for r in files.read_tables(spark, [f"{tmp_path}/one", f"{tmp_path}/two"]).collect()}
     assert got == {(1, "x", None), (2, None, 2.5)}
+
+
+def test_scaled_vectors_equal_the_long_form(spark):
+    rows = [("a", "nontargeting", "w1", [1.0, 5.0]), ("b", "nontargeting", "w1", [3.0, 5.0]), ("c", "nontargeting", "w1", [8.0, 5.0]), ("d", "G", "w1", [9.0, 1.0]), ("e", "G", "w2", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "ID string, gene_id string, plate_well string, features array<double>")
+    for robust, long_form in ((True, normalize.robust_center_scale), (False, normalize.center_scale)):
+        mine = normalize.to_long(normalize.scale_vectors(df, robust)).collect()
+        other = long_form(normalize.to_long(df)).collect()
+        assert sorted(((r.ID, r.dim, r.x) for r in mine), key=str) == sorted(((r.ID, r.dim, r.z) for r in other), key=str)
