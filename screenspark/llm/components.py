@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, materialise, replace_table
+from .common import FEW_ROWS, discard, join_counted, materialise, replace_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,17 +22,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = edges.select("a", "b").filter("a is not null and b is not null")
     both = materialise(pairs.union(pairs.select("b", "a")).toDF("v", "u").distinct())
     labels = materialise(both.groupBy("v").agg(F.min("u").alias("c")).select("v", F.least("v", "c").alias("c")))
+    few = labels.count() <= FEW_ROWS
+    small = F.broadcast if few else lambda df: df
     while True:
-        near = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("m"))
+        near = both.join(small(labels.select(F.col("v").alias("u"), "c")), "u").groupBy("v").agg(F.min("c").alias("m"))
         lowered = materialise(labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "m").alias("c")))
         # a vertex whose label falls takes its old label along, or long chains settle a hop a round
         roots = lowered.filter("c < was").groupBy(F.col("was").alias("v")).agg(F.min("c").alias("r"))
-        hooked = replace_table(lowered, lowered.join(roots, "v", "left").select("v", "was", F.least("c", "r").alias("c")))
+        hooked = lowered.join(small(roots), "v", "left").select("v", "was", F.least("c", "r").alias("c"))
         # the label's own label, one hop further
-        counts = hooked.groupBy("c").agg(F.count("*").alias("rows"))
-        up = materialise(counts.join(labels.select(F.col("v").alias("c"), F.col("c").alias("up")), "c"))
-        jumped = materialise(join_counted(hooked, up, "c", "rows").select("v", "was", F.least("c", "up").alias("c")))
-        discard(labels, hooked, up)
+        above = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
+        if few:
+            jumped = materialise(hooked.join(small(above), "c").select("v", "was", F.least("c", "up").alias("c")))
+            discard(labels, lowered)
+        else:
+            hooked = replace_table(lowered, hooked)
+            up = materialise(hooked.groupBy("c").agg(F.count("*").alias("rows")).join(above, "c"))
+            jumped = materialise(join_counted(hooked, up, "c", "rows").select("v", "was", F.least("c", "up").alias("c")))
+            discard(labels, hooked, up)
         labels = jumped
         if labels.filter("c <> was").isEmpty():
             discard(both)

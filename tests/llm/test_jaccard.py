@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from screenspark.llm import common, components
 from screenspark.llm.components import connected_components
 from screenspark.llm.jaccard import jaccard_components, may_link
 
@@ -70,7 +71,11 @@ def test_bound_never_excludes_a_link():
     assert may_link(0, 10, 10) and may_link(2, 7, 7) and not may_link(4, 7, 7) and not may_link(0, 10, 20)
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_a_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_ROWS", few)
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99)], "a long, b long")
     got = dict(map(tuple, connected_components(edges).collect()))
     assert got == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99}
