@@ -59,30 +59,59 @@ def project_pixels(spark, sf_dir):
 _WELLS = f"""{fx.FOV}, wells AS (SELECT DISTINCT user_id AS well FROM events), cyc AS (SELECT unnest(range(1, 4)) AS cycle),
 fields AS (SELECT well, cycle, field_id, x0 + well % 7 * 10 + cycle * 2 AS x0, y0 - cycle AS y0 FROM wells, cyc, fov),
 motions AS (SELECT well, cycle, 0.998::DOUBLE AS a, 0.02::DOUBLE * (cycle - 1) AS b, 1.5::DOUBLE * cycle AS tx, -2.25::DOUBLE * cycle AS ty FROM wells, cyc),
-calls AS (SELECT user_id AS well, event_id % 3 + 1 AS cycle, event_id AS pid, event_id % 8 AS source_field_id, event_id * 31 % 100 AS x, event_id * 17 % 100 AS y FROM events)"""
+calls AS (SELECT user_id AS well, event_id % 3 + 1 AS cycle, event_id AS pid, event_id % 8 AS source_field_id, event_id * 31 % 100 AS x, event_id * 17 % 100 AS y, substr('CATG', event_id // 3 % 4 + 1, 1) AS base FROM events)"""
 
 
-@query(f"""WITH {_WELLS}, src AS (SELECT well, cycle, min(x0) AS wx, min(y0) AS wy, (max(y0) - min(y0)) / 0.5::DOUBLE + 100 AS wh FROM fields GROUP BY ALL),
+_LANDED = f"""{_WELLS}, src AS (SELECT well, cycle, min(x0) AS wx, min(y0) AS wy, (max(y0) - min(y0)) / 0.5::DOUBLE + 100 AS wh FROM fields GROUP BY ALL),
 o AS (SELECT c.*, (f.x0 + 0.5::DOUBLE * (99 - x) - s.wx) / 0.5::DOUBLE AS u, s.wh - 1 - (f.y0 + 0.5::DOUBLE * y - s.wy) / 0.5::DOUBLE AS v, t.wx AS vx, t.wy AS vy, t.wh AS vh, a, b, tx, ty
   FROM calls c JOIN fields f ON f.well = c.well AND f.cycle = c.cycle AND field_id = source_field_id JOIN src s ON s.well = c.well AND s.cycle = c.cycle
   JOIN motions m ON m.well = c.well AND m.cycle = c.cycle JOIN src t ON t.well = c.well AND t.cycle = 1),
-p AS (SELECT well, cycle, pid, source_field_id, x, y, vx + 0.5::DOUBLE * ((a * (u - tx) + b * (v - ty)) / (a * a + b * b)) AS px, vy + 0.5::DOUBLE * (vh - 1 - (a * (v - ty) - b * (u - tx)) / (a * a + b * b)) AS py FROM o),
+p AS (SELECT well, cycle, pid, source_field_id, x, y, base, vx + 0.5::DOUBLE * ((a * (u - tx) + b * (v - ty)) / (a * a + b * b)) AS px, vy + 0.5::DOUBLE * (vh - 1 - (a * (v - ty) - b * (u - tx)) / (a * a + b * b)) AS py FROM o),
 h AS (SELECT p.*, field_id, x0, y0, px >= x0 + 2.5 AND px < x0 + 50 - 2.5 AND py >= y0 + 2.5 AND py < y0 + 50 - 2.5 AS core
   FROM p JOIN fields f ON f.well = p.well AND f.cycle = 1 AND px >= x0 AND px < x0 + 50 AND py >= y0 AND py < y0 + 50),
-k AS (SELECT *, count(*) FILTER (core) OVER w AS n1, count(*) OVER w AS n2 FROM h WINDOW w AS (PARTITION BY pid))
-SELECT well, cycle, pid, source_field_id, x AS source_x, y AS source_y, field_id, round(99 - (px - x0) / 0.5::DOUBLE, 6) + 0.0 AS x, round((py - y0) / 0.5::DOUBLE, 6) + 0.0 AS y
-FROM k WHERE n1 = 1 AND core OR n1 = 0 AND n2 = 1""")
-def project_first_cycle(spark, sf_dir):
+k AS (SELECT *, count(*) FILTER (core) OVER w AS n1, count(*) OVER w AS n2 FROM h WINDOW w AS (PARTITION BY pid)),
+landed AS (SELECT well, cycle, pid, source_field_id, x AS source_x, y AS source_y, field_id, 99 - (px - x0) / 0.5::DOUBLE AS x, (py - y0) / 0.5::DOUBLE AS y, base
+FROM k WHERE n1 = 1 AND core OR n1 = 0 AND n2 = 1)"""
+
+
+def _wells(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events")
     cycles = events.select(F.col("user_id").alias("well")).distinct().withColumn("cycle", F.explode(F.expr("sequence(1L, 3L)")))
     fields = cycles.withColumn("field_id", F.explode(F.expr("sequence(0L, 7L)"))).join(F.broadcast(fx.fov(spark)), "field_id")
     fields = fields.selectExpr("well", "cycle", "field_id", "x0 + well % 7 * 10 + cycle * 2 AS x0", "y0 - cycle AS y0").selectExpr("*", "x0 + 50 AS x1", "y0 + 50 AS y1")
     motions = cycles.selectExpr("well", "cycle", "0.998D AS a", "0.02D * (cycle - 1) AS b", "1.5D * cycle AS tx", "-2.25D * cycle AS ty")
-    calls = events.selectExpr("user_id AS well", "event_id % 3 + 1 AS cycle", "event_id AS pid", "event_id % 8 AS source_field_id", "event_id * 31 % 100 AS x", "event_id * 17 % 100 AS y")
-    out = projection.project_calls(calls, fields, motions, (SIDE, SIDE), S, HALF)
+    calls = events.selectExpr("user_id AS well", "event_id % 3 + 1 AS cycle", "event_id AS pid", "event_id % 8 AS source_field_id", "event_id * 31 % 100 AS x", "event_id * 17 % 100 AS y", "substring('CATG', CAST(event_id div 3 % 4 AS INT) + 1, 1) AS base")
+    return calls, fields, motions
+
+
+@query(f"WITH {_LANDED} SELECT well, cycle, pid, source_field_id, source_x, source_y, field_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM landed")
+def project_first_cycle(spark, sf_dir):
+    calls, fields, motions = _wells(spark, sf_dir)
+    out = projection.project_calls(calls.drop("base"), fields, motions, (SIDE, SIDE), S, HALF)
     return out.withColumn("x", r6(F.col("x"))).withColumn("y", r6(F.col("y")))
 
 
+_CALLED = f"""{_LANDED}, has AS (SELECT well, field_id, min(cycle) AS c0 FROM landed GROUP BY ALL), present AS (SELECT DISTINCT well, field_id, cycle FROM landed),
+ref AS (SELECT l.* FROM landed l JOIN has USING (well, field_id) WHERE cycle = c0),
+hit AS (SELECT r.well, r.field_id, r.pid, l.cycle, arg_min(l.base, (r.x - l.x) ** 2 + (r.y - l.y) ** 2) AS b FROM ref r JOIN landed l ON l.well = r.well AND l.field_id = r.field_id AND l.cycle > r.cycle AND (r.x - l.x) ** 2 + (r.y - l.y) ** 2 < 625 GROUP BY ALL),
+every AS (SELECT r.well, r.field_id, r.pid AS id, r.base || coalesce(string_agg(coalesce(b, 'N'), '' ORDER BY p.cycle) FILTER (p.cycle > r.cycle), '') AS barcode
+  FROM ref r JOIN present p ON p.well = r.well AND p.field_id = r.field_id LEFT JOIN hit h ON h.well = r.well AND h.field_id = r.field_id AND h.pid = r.pid AND h.cycle = p.cycle GROUP BY r.well, r.field_id, r.pid, r.base)"""
+
+
+def _called(spark, sf_dir):
+    return projection.map_barcodes(*_wells(spark, sf_dir), fx.guides_library(spark, sf_dir), (SIDE, SIDE), S, HALF, 25.0, 3)
+
+
+@query(f"WITH {_CALLED} SELECT * FROM every")
+def all_barcodes(spark, sf_dir):
+    return _called(spark, sf_dir)[1]
+
+
+@query(f"WITH {_CALLED}, {fx.LIBRARY} SELECT well, field_id, id, barcode, lib.gene_id FROM every JOIN lib ON substr(sgRNA, 1, 3) = barcode WHERE barcode NOT LIKE '%N%'")
+def valid_barcodes(spark, sf_dir):
+    return _called(spark, sf_dir)[0]
+
+
 @query("SELECT unnest(['x', 'y']) AS axis, 0.1::DOUBLE AS overlap")
 def field_overlap(spark, sf_dir):
     return geometry.overlap(fx.fov(spark), SIDE, S, 1.0).withColumn("overlap", r6(F.col("overlap")))

@@ -174,3 +174,31 @@ def test_scaled_vectors_equal_the_long_form(spark):
         mine = normalize.to_long(normalize.scale_vectors(df, robust)).collect()
         other = long_form(normalize.to_long(df)).collect()
         assert sorted(((r.ID, r.dim, r.x) for r in mine), key=str) == sorted(((r.ID, r.dim, r.z) for r in other), key=str)
+
+
+def test_project_calls_drops_what_has_no_field(spark):
+    from screenspark.operators import projection
+
+    fields = spark.createDataFrame([(w, c, 0, 10.0 * c, 0.0, 10.0 * c + 50, 50.0) for w in (1, 2) for c in (1, 2)], "well long, cycle long, field_id long, x0 double, y0 double, x1 double, y1 double")
+    motions = spark.createDataFrame([(1, 1, 1.0, 0.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 500.0, 0.0)], "well long, cycle long, a double, b double, tx double, ty double")
+    schema = "well long, cycle long, pid long, source_field_id long, x long, y long, base string"
+    calls = [(1, 1, 7, 0, 40, 60, "C"), (1, 1, 8, 5, 40, 60, "A"), (1, 2, 9, 0, 40, 60, "T"), (2, 1, 7, 0, 40, 60, "G"), (1, None, 3, 0, 1, 1, "C")]
+
+    def run(rows):
+        return [tuple(r) for r in projection.project_calls(spark.createDataFrame(rows, schema), fields, motions, (100, 100), 0.5, 2.5).collect()]
+
+    # an unknown field, a motion off the mosaic, a well without motions and a null cycle go
+    assert run(calls) == [(1, 1, 7, 0, 40, 60, 0, 40.0, 60.0, "C")]
+    assert run([]) == []
+
+
+def test_map_barcodes_keeps_wells_apart(spark):
+    from screenspark.operators import projection
+
+    fields = spark.createDataFrame([(w, c, 0, 0.0, 0.0, 50.0, 50.0) for w in (1, 2) for c in (1, 2)], "well long, cycle long, field_id long, x0 double, y0 double, x1 double, y1 double")
+    motions = spark.createDataFrame([(w, c, 1.0, 0.0, 0.0, 0.0) for w in (1, 2) for c in (1, 2)], "well long, cycle long, a double, b double, tx double, ty double")
+    calls = spark.createDataFrame([(1, 1, 1, 0, 40, 60, "C"), (1, 2, 5, 0, 41, 60, "A"), (2, 1, 1, 0, 40, 60, "T"), (2, 2, 5, 0, 60, 60, "A")], "well long, cycle long, pid long, source_field_id long, x long, y long, base string")
+    library = spark.createDataFrame([("CAGG", "G1"), ("TNGG", "G2")], "sgRNA string, gene_id string")
+    valid, every = projection.map_barcodes(calls, fields, motions, library, (100, 100), 0.5, 2.5, 5.0, 2)
+    assert sorted((r.well, r.id, r.barcode) for r in every.collect()) == [(1, 1, "CA"), (2, 1, "TN")]
+    assert [(r.well, r.barcode, r.gene_id) for r in valid.collect()] == [(1, "CA", "G1")]
