@@ -43,4 +43,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = jumped
         if labels.filter("c <> was").isEmpty():
             discard(both)
-            return labels.select("v", "c")
+            out = labels.select("v", "c")
+            out.scratch_path = labels.scratch_path
+            return out
+
+
+def join_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``v, c``: the labels after ``edges(a, b)`` are added to the graph that ``labels(v, c)`` describes.
+
+    Only the components that the new edges touch are labelled again: the edges are contracted to the
+    labels of their ends (an end without a label is its own), so the work follows the new edges.
+    """
+    ends = edges
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("v").alias(end), F.col("c").alias(f"c{end}")), end, "left")
+    merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    # a label may be that of a third of all vertices: counted by label before the join
+    sizes = labels.groupBy("c").agg(F.count("*").alias("rows"))
+    after = materialise(sizes.join(merged.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("c", F.coalesce("to", "c").alias("to"), "rows"))
+    old = join_counted(labels, after, "c", "rows").select("v", F.col("to").alias("c"))
+    new = merged.join(labels.select("v"), "v", "left_anti").select("v", "c")
+    out = materialise(old.union(new))
+    discard(merged, after)
+    return out

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, documents, join_counted, materialise, replace_table, slices, utf8
-from .components import connected_components
+from .components import connected_components, join_components
 from .shingles import WIDTH, mix, shingle_sets
 
 #: Links have 100 * |x & y| >= PERCENT * |x | y|.
@@ -670,7 +670,8 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, i
         chosen = chosen.union(apart)
         if not fresh.isEmpty():
             links = links.union(fresh)
-            labels = connected_components(links)
+            before, labels = labels, join_components(labels, fresh)
+            discard(before)
     # rows of empty sets have no vertex; a digest may be that of a third of all rows
     vertex = vertices.select("digest", "v", "copies")
     text_keys = ["text_key"] * keyed

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from screenspark.llm import common, components
-from screenspark.llm.components import connected_components
+from screenspark.llm.components import connected_components, join_components
 from screenspark.llm.jaccard import jaccard_components, may_link
 
 
@@ -87,3 +87,15 @@ def test_components_of_a_long_shuffled_chain(spark):
     edges = spark.createDataFrame(list(zip(chain, chain[1:])) + [(5000, 5001)], "a long, b long").repartition(4)
     got = dict(map(tuple, connected_components(edges).collect()))
     assert got == {**dict.fromkeys(range(1000), 0), 5000: 5000, 5001: 5000}
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_grown_by_edges(spark, monkeypatch, few):
+    for module, name, value in ((components, "FEW_ROWS", few), (common, "FEW_ROWS", few), (common, "HOT_ROWS", 5)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(6)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    table = lambda part: spark.createDataFrame(part, "a long, b long")
+    grown = join_components(connected_components(table(edges[:25])), table(edges[25:]))
+    got = sorted(map(tuple, grown.collect()))
+    assert got == sorted(map(tuple, connected_components(table(edges)).collect()))
