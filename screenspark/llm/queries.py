@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, jaccard, language, media, mixing, pii, quality, warc
+from . import alignment, bpe, exact_dedup, html_text, importance, jaccard, language, media, mixing, packing, pii, quality, warc
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
+WORD_FILE = "word_bpe_49k.json"
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +59,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_media, op4_bpe, op5_language, op6_warc, op7_jaccard, op8_exact_dedup, op9_pii, op10_quality)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.corpus_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), public_tokenizers.path(PIECE_FILE))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE))
+
+
+_ALL = (op1_html, op2_mixing, op3_media, op4_bpe, op5_language, op6_warc, op7_jaccard, op8_exact_dedup, op9_pii, op10_quality, op11_importance, op12_alignment, op13_packing)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE_SQL,
+    "op11_importance": importance.ORACLE_SQL,
     "op8_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
