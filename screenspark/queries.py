@@ -331,4 +331,4 @@ def balanced_sample(spark, sf_dir):
     return series.balanced_sample(rows, ["plate_well"], "y", "ID", "42")
 
 
-from . import queries_network, queries_selection, queries_space  # noqa: E402, F401  register their queries too
+from . import queries_images, queries_network, queries_selection, queries_space, queries_vectors  # noqa: E402, F401  register their queries too
