@@ -30,7 +30,9 @@ from .common import documents, slices, utf8
 #: Split pattern of byte-level BPE vocabularies; fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids one task remembers at most, in two generations.
-CACHE = 300_000
+CACHE = 200_000
+#: Leaves of the segment trees that are advanced together; bounds the temporary arrays.
+MERGED_CELLS = 1 << 17
 #: Longer pieces (in UTF-8 bytes) have a tree of their own each and are not remembered.
 SHORT_BYTES = 64
 
@@ -143,9 +145,10 @@ class BytePairs:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         low = 0
         for size in (1, 2, 4, 8, 16, 32, SHORT_BYTES):
-            group = np.flatnonzero((lengths > low) & (lengths <= size))
+            whole = np.flatnonzero((lengths > low) & (lengths <= size))
             low = size
-            if len(group):
+            for at in range(0, len(whole), MERGED_CELLS // size):
+                group = whole[at : at + MERGED_CELLS // size]
                 raw = np.frombuffer(b"".join(words[g].ljust(size, b"\0") for g in group), dtype=np.uint8).reshape(len(group), size)
                 ids = self._merge_rows(self.first_ids[raw], lengths[group])
                 counts = (ids >= 0).sum(axis=1)
