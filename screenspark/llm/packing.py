@@ -22,9 +22,12 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from bisect import insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,15 +38,28 @@ CAPACITY = 4096
 END_ID = 2
 #: Documents in the pool of a task, at least as many as ``CAPACITY``: so many always fill a window.
 POOL = 4096
-#: Words whose ids a Python worker remembers, up to ``LONG`` bytes each.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers, about, up to ``LONG`` bytes each.
+REMEMBERED = 1_200_000
 LONG = 48
+#: Words of letters that are encoded as one text.
+JOINED = 2_000
 #: Bytes of a text that are cut into words at a time.
 PIECE = 1 << 20
 
 
 # --- token ids -------------------------------------------------------------------------
 
+#: ASCII punctuation without the apostrophe: behind letters it is a pre-token of its own.
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27)
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
 
 class WordIds:
     """Ids of white-space separated words, as little-endian unsigned 32-bit numbers."""
@@ -56,11 +72,31 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        # two generations: words that are used again stay, the others go
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words; those of ASCII letters alone are one pre-token each, so many are encoded as one text and cut where a token ends a word."""
+        plain = [w for w in words if w.isalpha()]
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("a word of letters is not one pre-token of this tokenizer")
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        return out | self._each([w for w in words if not w.isalpha()])
+
+    def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(e.ids)] for w, e in zip(words, found, strict=True)}
+        return {w: pack_ids(e.ids) for w, e in zip(words, found, strict=True)}
 
     def words(self, raw: bytes) -> list[bytes]:
         """Words of a text; case does not count, except in the strings of special tokens, which are matched first."""
@@ -69,14 +105,29 @@ class WordIds:
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         """The ids of some lists of words."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*texts) - self.known.keys())
-        self.known.update(self._learn([w for w in new if len(w) <= LONG]))
-        long = self._learn([w for w in new if len(w) > LONG])
-        known = self.known
+        if len(self.known) > REMEMBERED // 2:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        short, rest, made = set(), [], []
+        for word in set().union(*texts).difference(known):
+            found = before.get(word)
+            if found is not None:
+                known[word] = found
+                continue
+            if len(word) > LONG:
+                rest.append(word)
+                continue
+            body = word.rstrip(_MARKS)
+            if len(body) == len(word) or not body.isalpha():
+                short.add(word)
+                continue
+            made.append((word, body, word[len(body) :]))
+            short.update(p for p in made[-1][1:] if p not in known)
+        known.update(self._learn(list(short)))
+        known.update((word, known[body] + known[marks]) for word, body, marks in made)
+        long = self._learn(rest)
         if not long:
-            return [b"".join([known[w] for w in words]) for words in texts]
+            return [b"".join(map(known.__getitem__, words)) for words in texts]
         return [b"".join([known[w] if len(w) <= LONG else long[w] for w in words]) for words in texts]
 
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from screenspark.llm import packing
 
 ODD = [None, "", " ", "a", "a", "A  b", "a\tb", "Grüße 𝔘 \u0000 x", "lorem ipsum " * 3000, "z" * 5000, "   \n\n  tail ", "'s 12345 don't"]
-ODD += ["x<|endoftext|>Y <|ENDOFTEXT|> Q", "é ́a ΟΔΟΣ. İ ", "a b c\x1cd\x85e", "DON'T'S,,. ...", "<|startoftext|>" * 3]
+ODD += ["x<|endoftext|>Y <|ENDOFTEXT|> Q", "é ́a ΟΔΟΣ. İ ", "a b c\x1cd\x85e", "DON'T'S,,. ...", "<|startoftext|>" * 3, "ÊÈ!! LE!! a.,, b'., 12,. é,. x).. word, word. word!! (word) ,, .a"]
 
 
 def ids_of(text):
