@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ratio
+from .prefix import running
 
 
 def ks_statistic(df: DataFrame, keys: list[str], value: str = "x", first: str = "is_first") -> DataFrame:
@@ -18,9 +19,7 @@ def ks_statistic(df: DataFrame, keys: list[str], value: str = "x", first: str =
     Rows are pre-aggregated to distinct values; ``first`` marks the first sample.
     """
     each = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.count_if(F.col(first)).alias("a"), F.count_if(~F.col(first)).alias("b"))
-    along = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    rows = each.select(*keys, F.sum("a").over(along).alias("ca"), F.sum("b").over(along).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
+    rows = running(each, keys, [(value, False)], {"ca": ("sum", "a"), "cb": ("sum", "b")}, {"na": ("sum", "a"), "nb": ("sum", "b")})
     return rows.groupBy(*keys).agg(F.max(F.abs(ratio(F.col("ca"), F.col("na")) - ratio(F.col("cb"), F.col("nb")))).alias("ks"), F.max("na").alias("n1"), F.max("nb").alias("n2"))
 
 
@@ -62,12 +61,19 @@ def ks_p_auto(ks: Column, n1: Column, n2: Column, most: int = 10_000) -> Column:
 
 
 def bh_fdr(df: DataFrame, p: str = "p", keys: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg: running minimum of ``p n / rank`` from the largest p down."""
+    """Benjamini-Hochberg: running minimum of ``p n / rank`` from the largest p down; a null p has a null result and does not count.
+
+    Equal values share the largest rank, so both passes run over distinct values.
+    """
     keys = keys or []
-    up = Window.partitionBy(*keys).orderBy(p)
-    rows = df.withColumn("_r", F.rank().over(up) + F.count("*").over(Window.partitionBy(*keys, p)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    down = Window.partitionBy(*keys).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("fdr", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(down))).drop("_r", "_n")
+    each = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_m"))
+    ranked = running(each, keys, [(p, False)], {"_r": ("sum", "_m")}, {"_n": ("sum", "_m")})
+    ranked = ranked.withColumn("_v", F.col(p) * F.col("_n") / F.col("_r"))
+    low = running(ranked, keys, [(p, True)], {"_low": ("min", "_v")}).select(*keys, p, F.least(F.lit(1.0), F.col("_low")).alias("fdr"))
+    same = F.lit(True)
+    for c in (*keys, p):
+        same &= df[c].eqNullSafe(low[c])
+    return df.join(low, same, "left").select(*(df[c] for c in df.columns), "fdr")
 
 
 def above_kth(df: DataFrame, value: str, k: int) -> DataFrame:
@@ -76,10 +82,6 @@ def above_kth(df: DataFrame, value: str, k: int) -> DataFrame:
     return df.join(F.broadcast(cut)).filter((F.col("_n") > k) & (F.col(value) > F.col("_cut"))).drop("_cut", "_n")
 
 
-def sign(mean: Column) -> Column:
-    return F.when((mean > 0) & ~F.isnan(mean), 1).otherwise(-1)
-
-
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """``bin, n, density`` over equal widths between minimum and maximum, the last bin closed."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("total"))

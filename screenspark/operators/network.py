@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hypothesis import bh_fdr, ks_p_value, ks_statistic
+from ..plans.lineage import cut
+from .hypothesis import bh_fdr, ks_p_auto, ks_statistic
 
 
 def mean_edges(edges: DataFrame) -> DataFrame:
@@ -57,12 +58,12 @@ def band_tests(scored: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def volcano(samples: DataFrame, key: str, value: str = "x") -> DataFrame:
-    """Per key: KS against control, its asymptotic p, FDR over keys, median and direction of the first sample.
+    """Per key: KS against control, its p (``hypothesis.ks_p_auto``), FDR over keys, median and direction of the first sample.
 
     ``samples`` holds ``key, value, is_first``; control rows have ``is_first`` false.
     """
     tests = ks_statistic(samples, [key], value).filter("n1 > 0 and n2 > 0")
-    tests = tests.withColumn("p", ks_p_value(F.col("ks"), F.col("n1"), F.col("n2")))
+    tests = cut(tests.withColumn("p", ks_p_auto(F.col("ks"), F.col("n1"), F.col("n2"))))
     mine, control = F.when(F.col("is_first"), F.col(value)), F.when(~F.col("is_first"), F.col(value))
     centre = samples.groupBy(key).agg(F.median(mine).alias("median"), F.when(F.avg(mine) - F.avg(control) > 0, 1).otherwise(-1).alias("direction"))
     return bh_fdr(tests).join(centre, key)

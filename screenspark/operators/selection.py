@@ -71,7 +71,8 @@ def final_average(df: DataFrame, key: str, order: list[str], value: str, momentu
 
     A value r places before the end has the weight ``(1 - m) m**r``, the first one ``m**r``, so the fold is a sum with a partial combine.
     """
-    back = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))
-    ranked = df.select(key, F.col(value).cast("double").alias("v"), (F.row_number().over(back) - 1).alias("r"), (F.count("*").over(Window.partitionBy(key)) - 1).alias("first"))
+    rows = df.select(key, *order, F.col(value).cast("double").alias("v"), F.lit(1).cast("long").alias("_one"))
+    placed = running(rows, [key], [(c, False) for c in order], {"_at": ("sum", "_one")}, {"_all": ("sum", "_one")})
+    ranked = placed.select(key, "v", (F.col("_all") - F.col("_at")).alias("r"), (F.col("_all") - 1).alias("first"))
     weight = F.pow(F.lit(momentum), "r") * F.when(F.col("r") == F.col("first"), 1.0).otherwise(1 - momentum)
     return ranked.groupBy(key).agg(F.sum(F.col("v") * weight).alias("ema"))

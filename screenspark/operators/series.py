@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
+from .prefix import last_values, row_numbers, running
 
 
 def smoothed(df: DataFrame, key: str, order: list[str], value: str, width: int = 20) -> DataFrame:
-    """Lower median, mean, maximum of the last ``width`` values, and the running mean."""
-    last = Window.partitionBy(key).orderBy(*order).rowsBetween(-(width - 1), 0)
-    whole = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    values = F.sort_array(F.collect_list(value).over(last))
-    return df.select("*", F.element_at(values, F.ceil(F.size(values) / 2).cast("int")).alias("median"), F.avg(value).over(last).alias("mean"), F.max(value).over(last).alias("top"), F.avg(value).over(whole).alias("global_mean"))
+    """Lower median, mean, maximum of the last ``width`` values, and the running mean; a key may be a third of all rows."""
+    along = [(c, False) for c in order]
+    sums = running(df.withColumn("_one", F.when(F.col(value).isNotNull(), 1)), [key], along, {"_s": ("sum", value), "_c": ("sum", "_one")})
+    near = last_values(sums, [key], along, value, width, "_near")
+    values = F.sort_array(F.array_compact("_near"))
+    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda s, v: s + v), F.size(values))
+    median = F.get(values, F.ceil(F.size(values) / 2).cast("int") - 1)
+    return near.select(*df.columns, median.alias("median"), mean.alias("mean"), F.array_max(values).alias("top"), F.try_divide("_s", "_c").alias("global_mean"))
 
 
 def run_lengths(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -26,23 +30,16 @@ def run_lengths(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return runs.withColumn("end", F.sum("n").over(Window.partitionBy(key).orderBy("run")))
 
 
-def ema(df: DataFrame, key: str, order: list[str], value: str, momentum: float) -> DataFrame:
-    """Final ``m a + (1 - m) b`` of each key's series, starting at its first value."""
-    pairs = df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, value))), lambda s: s[value].cast("double")).alias("v"))
-    return pairs.select(key, F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.element_at("v", 1), lambda a, b: momentum * a + (1 - momentum) * b).alias("ema"))
+def cosine_schedule(step: Column, base: float, final: float, steps: int, warmup: int, start: float = 0.0) -> Column:
+    """The value at a step: a linear warm-up (end point included), then half a cosine."""
+    ramp = F.lit(start) + (base - start) * step / max(1, warmup - 1)
+    wave = F.lit(final) + 0.5 * (base - final) * (1 + F.cos(F.lit(math.pi) * (step - warmup) / (steps - warmup)))
+    return F.when(step < warmup, ramp).otherwise(wave)
 
 
-def cosine_schedule(spark: SparkSession, base: float, final: float, steps: int, warmup: int, start: float = 0.0) -> DataFrame:
-    """Linear warm-up (end point included), then half a cosine."""
-    i, rest = F.col("id"), steps - warmup
-    ramp = F.lit(start) + (base - start) * i / max(1, warmup - 1)
-    wave = F.lit(final) + 0.5 * (base - final) * (1 + F.cos(F.lit(math.pi) * (i - warmup) / rest))
-    return spark.range(steps).select(i.alias("step"), F.when(i < warmup, ramp).otherwise(wave).alias("value"))
-
-
-def temperature_schedule(spark: SparkSession, start: float, final: float, warmup: int, epochs: int) -> DataFrame:
-    i = F.col("id")
-    return spark.range(epochs).select(i.alias("step"), F.when(i < warmup, F.lit(start) + (final - start) * i / max(1, warmup - 1)).otherwise(F.lit(final)).alias("value"))
+def temperature_schedule(epoch: Column, start: float, final: float, warmup: int) -> Column:
+    """The value at an epoch: a linear warm-up, then constant."""
+    return F.when(epoch < warmup, F.lit(start) + (final - start) * epoch / max(1, warmup - 1)).otherwise(F.lit(final))
 
 
 def clip_coefficient(vector: Column, clip: float) -> Column:
@@ -50,7 +47,11 @@ def clip_coefficient(vector: Column, clip: float) -> Column:
 
 
 def balanced_sample(df: DataFrame, keys: list[str], label: str, ident: str, seed: str) -> DataFrame:
-    """As many rows of each class of a key as its smaller class has, in the order of a hash of the id."""
-    sizes = df.groupBy(*keys, label).count().groupBy(*keys).agg(F.min("count").alias("_n"))
-    along = Window.partitionBy(*keys, label).orderBy(F.md5(F.concat(F.col(ident).cast("string"), F.lit(seed)).cast("binary")))
-    return df.join(sizes, keys).withColumn("_r", F.row_number().over(along)).filter("_r <= _n").drop("_r", "_n")
+    """As many rows of either class of a key (``label`` true or false) as the smaller one has, in the order of a hash of the id.
+
+    A key without rows of one class keeps none.
+    """
+    sizes = df.groupBy(*keys).agg(F.least(F.count_if(F.col(label)), F.count_if(~F.col(label))).alias("_n"))
+    hashed = df.filter(F.col(label).isNotNull()).withColumn("_h", F.md5(F.concat(F.col(ident).cast("string"), F.lit(seed)).cast("binary")))
+    ranked = row_numbers(hashed, [*keys, label], [("_h", False), (ident, False)], "_r")
+    return ranked.join(sizes, keys).filter("_r <= _n").select(*df.columns)

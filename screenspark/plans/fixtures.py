@@ -114,16 +114,34 @@ near AS (
 """
 
 
-def pixels(spark: SparkSession) -> DataFrame:
-    """``img, ch, y, x, v``: three images of four 32 x 32 channels; channel 3 of image 0 is flat."""
-    at = spark.range(3 * 4 * 32 * 32).selectExpr("id", "id div 4096 AS img", "id div 1024 % 4 AS ch", "id div 32 % 32 AS y", "id % 32 AS x")
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``well, field_id, x0, y0, x1, y1``: the fields of ``fov`` in one well per user, each well with its own corner and spacing."""
+    wells = table(spark, sf_dir, "events").select(F.col("user_id").alias("well")).distinct()
+    placed = wells.withColumn("field_id", F.explode(F.expr("sequence(0L, 7L)")))
+    x, y = F.floor(F.col("field_id") / 3) * (44.0 + F.col("well") % 4) + F.col("well") % 7 * 10, (F.col("field_id") % 3) * (46.0 - F.col("well") % 3 * 0.5) - F.col("well") % 5
+    return placed.select("well", "field_id", x.alias("x0"), y.alias("y0"), (x + 50.0).alias("x1"), (y + 50.0).alias("y1"))
+
+
+FIELDS = """
+fields AS (
+  SELECT well, field_id, x0, y0, x0 + 50 AS x1, y0 + 50 AS y1
+  FROM (SELECT well, field_id, (field_id // 3) * (44.0::DOUBLE + well % 4) + well % 7 * 10 AS x0, (field_id % 3) * (46.0::DOUBLE - well % 3 * 0.5::DOUBLE) - well % 5 AS y0
+        FROM (SELECT DISTINCT user_id AS well FROM events), (SELECT unnest(range(8)) AS field_id)))
+"""
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``img, ch, y, x, v``: an image of four 32 x 32 channels per user; channel 3 of image 0 is flat."""
+    images = table(spark, sf_dir, "events").select(F.col("user_id").alias("img")).distinct()
+    at = images.withColumn("k", F.explode(F.expr("sequence(0L, 4095L)"))).selectExpr("img * 4096 + k AS id", "img", "k div 1024 AS ch", "k div 32 % 32 AS y", "k % 32 AS x")
     return at.selectExpr("img", "ch", "y", "x", "CASE WHEN img = 0 AND ch = 3 THEN 5D ELSE (id * 7919 % 10007) / 100D + 0.5D END AS v")
 
 
 PIXELS = """
 px AS (
   SELECT img, ch, y, x, CASE WHEN img = 0 AND ch = 3 THEN 5.0::DOUBLE ELSE (id * 7919 % 10007) / 100.0::DOUBLE + 0.5::DOUBLE END AS v
-  FROM (SELECT range AS id, range // 4096 AS img, range // 1024 % 4 AS ch, range // 32 % 32 AS y, range % 32 AS x FROM range(12288)))
+  FROM (SELECT img * 4096 + k AS id, img, k // 1024 AS ch, k // 32 % 32 AS y, k % 32 AS x
+        FROM (SELECT DISTINCT user_id AS img FROM events), (SELECT unnest(range(4096)) AS k)))
 """
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.vectors import r6
 from .operators import barcodes, curves, hypothesis, keys, normalize, series, similarity, spatial
 from .plans import fixtures as fx
-from .registry import ORACLE_SQL, QUERIES, query
+from .registry import ORACLE_SQL, QUERIES, ks_exact_sql, query
 
 
 def _long(spark, sf_dir) -> DataFrame:
@@ -155,9 +155,10 @@ def gene_score_rollup(spark, sf_dir):
     return similarity.gene_scores(_scores(spark, sf_dir)).select("gene_id", r6(F.col("mean_score")).alias("mean_score"), r6(F.col("median_score")).alias("median_score"))
 
 
-@query(f"WITH {fx.CELLS} SELECT round(2 * sum(sim) / 100.0, 6) + 0.0 AS baseline FROM genesim")
+@query(f"WITH {fx.CELLS} SELECT round(2 * sum(sim) / (SELECT count(DISTINCT gene_id) ** 2 FROM cells), 6) + 0.0 AS baseline FROM genesim")
 def offdiag_baseline(spark, sf_dir):
-    return similarity.offdiag_baseline(_gene_pairs(spark, sf_dir), 10).withColumn("baseline", r6(F.col("baseline")))
+    genes = fx.cells(spark, sf_dir).select("gene_id").distinct().count()
+    return similarity.offdiag_baseline(_gene_pairs(spark, sf_dir), genes).withColumn("baseline", r6(F.col("baseline")))
 
 
 @query("""WITH h AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'Infinity'::DOUBLE WHEN event_id % 17 = 0 THEN '-Infinity'::DOUBLE WHEN event_id % 19 = 0 THEN 'NaN'::DOUBLE ELSE value END AS v FROM events)
@@ -170,7 +171,9 @@ def score_fill_worst(spark, sf_dir):
 # --- curves ----------------------------------------------------------------------------
 
 
-@query(f"WITH {fx.SCORED} SELECT round(score, 6) AS threshold, round(fp::DOUBLE / neg, 6) AS fpr, round(tp::DOUBLE / pos, 6) AS tpr FROM cum")
+@query(f"""WITH {fx.SCORED}, st AS (SELECT *, lead(p) OVER w AS p2, lead(n) OVER w AS n2 FROM cum WINDOW w AS (ORDER BY score DESC))
+SELECT round(score, 6) AS threshold, round(fp::DOUBLE / neg, 6) AS fpr, round(tp::DOUBLE / pos, 6) AS tpr FROM st WHERE tp = p AND fp = n OR p2 IS NULL OR p <> p2 OR n <> n2
+UNION ALL SELECT 'Infinity'::DOUBLE, 0, 0""")
 def roc_curve(spark, sf_dir):
     return curves.roc_curve(fx.scored(spark, sf_dir)).select(*(r6(F.col(c)).alias(c) for c in ("threshold", "fpr", "tpr")))
 
@@ -188,7 +191,7 @@ def roc_auc(spark, sf_dir):
     return curves.roc_auc(fx.scored(spark, sf_dir)).withColumn("auc", r6(F.col("auc")))
 
 
-@query(f"WITH {fx.SCORED} SELECT round(score, 6) AS threshold, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / pos, 6) AS recall FROM cum")
+@query(f"WITH {fx.SCORED} SELECT round(score, 6) AS threshold, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / pos, 6) AS recall FROM cum UNION ALL SELECT NULL, 1, 0")
 def pr_curve(spark, sf_dir):
     return curves.pr_curve(fx.scored(spark, sf_dir)).select(*(r6(F.col(c)).alias(c) for c in ("threshold", "precision", "recall")))
 
@@ -208,6 +211,9 @@ c AS (SELECT event_type, abs(sum(a) OVER w::DOUBLE / sum(a) OVER t - sum(b) OVER
 k AS (SELECT event_type, max(gap) AS ks, max(n1) AS n1, max(n2) AS n2 FROM c GROUP BY event_type)""".replace("sum(a) OVER w::DOUBLE", "(sum(a) OVER w)::DOUBLE").replace("sum(b) OVER w::DOUBLE", "(sum(b) OVER w)::DOUBLE")
 
 
+_EXACT = ks_exact_sql("SELECT event_type AS key, ks, n1, n2 FROM k")
+
+
 def _ks(spark, sf_dir) -> DataFrame:
     events = fx.table(spark, sf_dir, "events")
     kinds = events.filter("event_type <> 'view'").select("event_type").distinct()
@@ -221,9 +227,9 @@ def ks_by_gene(spark, sf_dir):
     return _ks(spark, sf_dir).withColumn("ks", r6(F.col("ks")))
 
 
-@query()
+@query(f"WITH RECURSIVE {_KS}, {_EXACT} SELECT event_type, round(ks, 6) AS ks, CAST(k.n1 AS BIGINT) AS n1, CAST(k.n2 AS BIGINT) AS n2, round(p, 6) AS p FROM k JOIN exact ON key = event_type")
 def ks_pvalue(spark, sf_dir):
-    return _ks(spark, sf_dir).withColumn("p", hypothesis.ks_p_auto(F.col("ks"), F.col("n1"), F.col("n2")))
+    return _ks(spark, sf_dir).select("event_type", r6(F.col("ks")).alias("ks"), "n1", "n2", F.round(hypothesis.ks_p_auto(F.col("ks"), F.col("n1"), F.col("n2")), 6).alias("p"))
 
 
 _P = "p AS (SELECT event_id AS id, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS p FROM events)"
@@ -270,12 +276,12 @@ def point_in_field(spark, sf_dir):
     return found.withColumn("field_id", F.coalesce("field_id", F.lit(-1)))
 
 
-@query(f"""WITH {fx.FOV}, n AS (SELECT a.field_id, b.field_id AS other, b.x0 - a.x0 AS dx, b.y0 - a.y0 AS dy FROM fov a JOIN fov b ON a.field_id <> b.field_id),
+@query(f"""WITH {fx.FIELDS}, n AS (SELECT a.well, a.field_id, b.field_id AS other, b.x0 - a.x0 AS dx, b.y0 - a.y0 AS dy FROM fields a JOIN fields b ON a.well = b.well AND a.field_id <> b.field_id),
 s AS (SELECT *, CASE WHEN abs(dx) < 1 AND dy > 0 AND dy < 51 THEN 'top' WHEN abs(dx) < 1 AND dy < 0 AND dy > -51 THEN 'bottom'
   WHEN abs(dy) < 1 AND dx > 0 AND dx < 51 THEN 'right' WHEN abs(dy) < 1 AND dx < 0 AND dx > -51 THEN 'left' END AS side FROM n)
-SELECT field_id, side, arg_min(other, sqrt(dx * dx + dy * dy)) AS other, min(sqrt(dx * dx + dy * dy)) AS dist FROM s WHERE side IS NOT NULL GROUP BY field_id, side""")
+SELECT well, field_id, side, arg_min(other, sqrt(dx * dx + dy * dy)) AS other, min(sqrt(dx * dx + dy * dy)) AS dist FROM s WHERE side IS NOT NULL GROUP BY well, field_id, side""")
 def field_neighbours(spark, sf_dir):
-    return spatial.neighbours(fx.fov(spark), 50.0, 1.0)
+    return spatial.neighbours(fx.fields(spark, sf_dir), 50.0, 1.0, ["well"])
 
 
 @query(f"""WITH {fx.SPOTS} SELECT field_id, id, r.base || coalesce(string_agg(coalesce(b.base, 'N'), '' ORDER BY w.cycle), '') AS barcode
@@ -308,14 +314,18 @@ def run_lengths(spark, sf_dir):
     return series.run_lengths(fx.table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
-@query("SELECT range AS step, round(CASE WHEN range < 10 THEN 0.5 * range / 9.0 ELSE 0.01 + 0.5 * 0.49 * (1 + cos(pi() * (range - 10) / 90.0)) END, 6) AS value FROM range(100)")
+@query("""SELECT event_id AS step, round(CASE WHEN event_id < 10 THEN 0.5 * event_id / 9.0 ELSE 0.01 + 0.5 * 0.49 * (1 + cos(pi() * (event_id - 10) / ((SELECT count(*) FROM events) - 10.0))) END, 6) AS value FROM events""")
 def cosine_schedule(spark, sf_dir):
-    return series.cosine_schedule(spark, 0.5, 0.01, 100, 10).withColumn("value", r6(F.col("value")))
+    """The learning rate of each event, taken as a step of a run over all events."""
+    events = fx.table(spark, sf_dir, "events")
+    return events.select(F.col("event_id").alias("step"), r6(series.cosine_schedule(F.col("event_id"), 0.5, 0.01, events.count(), 10)).alias("value"))
 
 
-@query("SELECT range AS step, round(CASE WHEN range < 10 THEN 0.04 + 0.03 * range / 9.0 ELSE 0.07 END, 6) AS value FROM range(40)")
+@query("SELECT DISTINCT event_id // 20 AS step, round(CASE WHEN event_id // 20 < 10 THEN 0.04 + 0.03 * (event_id // 20) / 9.0 ELSE 0.07 END, 6) AS value FROM events")
 def temperature_schedule(spark, sf_dir):
-    return series.temperature_schedule(spark, 0.04, 0.07, 10, 40).withColumn("value", r6(F.col("value")))
+    """The temperature of each epoch of twenty events."""
+    epochs = fx.table(spark, sf_dir, "events").selectExpr("event_id div 20 AS step").distinct()
+    return epochs.withColumn("value", r6(series.temperature_schedule(F.col("step"), 0.04, 0.07, 10)))
 
 
 @query("SELECT vec_id, round(least(1.0, 3.0 / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-6)), 6) AS coefficient FROM embeddings")
@@ -323,11 +333,11 @@ def l2_clip(spark, sf_dir):
     return fx.table(spark, sf_dir, "embeddings").select("vec_id", r6(series.clip_coefficient(F.transform("embedding", lambda x: x.cast("double")), 3.0)).alias("coefficient"))
 
 
-@query(f"""WITH {fx.CELLS}, s AS (SELECT plate_well, ID, gene_id = 'intergenic' AS y FROM cells WHERE gene_id IN ('intergenic', 'G2')),
-n AS (SELECT plate_well, min(c) AS n FROM (SELECT plate_well, y, count(*) AS c FROM s GROUP BY ALL) GROUP BY plate_well)
+@query(f"""WITH {fx.CELLS}, s AS (SELECT plate_well, ID, gene_id = 'intergenic' AS y FROM cells WHERE gene_id = 'intergenic' OR gene_id = 'G2' AND plate_well <> 'P1_W1'),
+n AS (SELECT plate_well, least(count(*) FILTER (y), count(*) FILTER (NOT y)) AS n FROM s GROUP BY plate_well)
 SELECT plate_well, ID, y FROM (SELECT s.*, n.n, row_number() OVER (PARTITION BY plate_well, y ORDER BY md5(ID || '42')) AS r FROM s JOIN n USING (plate_well)) WHERE r <= n""")
 def balanced_sample(spark, sf_dir):
-    rows = fx.cells(spark, sf_dir).filter("gene_id in ('intergenic', 'G2')").selectExpr("plate_well", "ID", "gene_id = 'intergenic' AS y")
+    rows = fx.cells(spark, sf_dir).filter("gene_id = 'intergenic' OR gene_id = 'G2' AND plate_well <> 'P1_W1'").selectExpr("plate_well", "ID", "gene_id = 'intergenic' AS y")
     return series.balanced_sample(rows, ["plate_well"], "y", "ID", "42")
 
 

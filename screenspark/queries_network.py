@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.vectors import norm, r6
-from .operators import curves, network, normalize, similarity
+from .operators import curves, network, normalize, prefix, similarity
 from .plans import fixtures as fx
-from .registry import query
+from .registry import ks_exact_sql, query
 
 _PAIRS = f"""{fx.CELLS}, {fx.EDGES}, genes AS (SELECT g1 AS g FROM edges UNION SELECT g2 FROM edges),
 sc AS (SELECT i, j, sim, coalesce(score, 0) AS score FROM genesim LEFT JOIN edges ON g1 = i AND g2 = j WHERE i IN (FROM genes) AND j IN (FROM genes))"""
@@ -32,7 +32,7 @@ def network_auc(spark, sf_dir):
     return curves.roc_auc(rows).withColumn("auc", r6(F.col("auc")))
 
 
-@query(f"""WITH {_PAIRS}, b AS (SELECT sim, CASE WHEN score < 0.3 THEN 'low' WHEN score < 0.7 THEN 'mid' ELSE 'high' END AS band FROM sc)
+@query(f"""WITH RECURSIVE {_PAIRS}, b AS (SELECT sim, CASE WHEN score < 0.3 THEN 'low' WHEN score < 0.7 THEN 'mid' ELSE 'high' END AS band FROM sc)
 SELECT band, count(*) AS n, round(min(sim), 6) AS q0, round(quantile_cont(sim, 0.25), 6) AS q1, round(median(sim), 6) AS q2, round(quantile_cont(sim, 0.75), 6) AS q3, round(max(sim), 6) AS q4 FROM b GROUP BY band""")
 def band_quartiles(spark, sf_dir):
     out = network.band_quartiles(_scored(spark, sf_dir), 0.3, 0.7)
@@ -44,8 +44,8 @@ def _ks(key: str) -> str:
 cdf AS (SELECT {key}, abs((sum(a) OVER w)::DOUBLE / sum(a) OVER t - (sum(b) OVER w)::DOUBLE / sum(b) OVER t) AS gap, sum(a) OVER t AS n1, sum(b) OVER t AS n2
         FROM grid WINDOW w AS (PARTITION BY {key} ORDER BY x), t AS (PARTITION BY {key})),
 ks AS (SELECT {key}, max(gap) AS ks, CAST(max(n1) AS BIGINT) AS n1, CAST(max(n2) AS BIGINT) AS n2 FROM cdf GROUP BY {key}),
-pv AS (SELECT *, ks * ks * n1 * n2 / (n1 + n2) AS t2 FROM ks),
-pp AS (SELECT *, CASE WHEN t2 < 0.04 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * t2))))) END AS p FROM pv),
+{ks_exact_sql(f"SELECT {key} AS key, ks, n1, n2 FROM ks WHERE n1 > 0 AND n2 > 0")},
+pp AS (SELECT ks.*, p FROM ks JOIN exact ON exact.key = ks.{key}),
 rk AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r, count(*) OVER () AS n FROM pp),
 bh AS (SELECT {key}, ks, n1, n2, least(1.0, min(p * n / r) OVER (ORDER BY p DESC)) AS fdr FROM rk),
 ctr AS (SELECT {key}, median(CASE WHEN a = 1 THEN x END) AS med, CASE WHEN avg(CASE WHEN a = 1 THEN x END) > avg(CASE WHEN b = 1 THEN x END) THEN 1 ELSE -1 END AS direction FROM smp GROUP BY {key})"""
@@ -55,21 +55,21 @@ def _volcano(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, r6(F.col("ks")).alias("ks"), "n1", "n2", r6(F.col("fdr")).alias("fdr"), r6(F.col("median")).alias("med"), "direction")
 
 
-@query(f"""WITH {_PAIRS}, bands AS (SELECT sim AS x, CASE WHEN score < 0.3 THEN 'low' WHEN score < 0.7 THEN 'mid' ELSE 'high' END AS band FROM sc),
+@query(f"""WITH RECURSIVE {_PAIRS}, bands AS (SELECT sim AS x, CASE WHEN score < 0.3 THEN 'low' WHEN score < 0.7 THEN 'mid' ELSE 'high' END AS band FROM sc),
 smp AS (SELECT test, x, CAST(band = f AS INTEGER) AS a, CAST(band = s AS INTEGER) AS b FROM bands JOIN (VALUES ('high-low', 'high', 'low'), ('mid-low', 'mid', 'low'), ('high-mid', 'high', 'mid')) v(test, f, s) ON band IN (f, s)), {_ks("test")}
 SELECT test, round(ks, 6) AS ks, n1, n2 FROM ks""")
 def band_tests(spark, sf_dir):
     return network.band_tests(_scored(spark, sf_dir), 0.3, 0.7).withColumn("ks", r6(F.col("ks")))
 
 
-@query(f"""WITH {fx.CELLS}, smp AS (SELECT dim, x, CAST(gene_id = 'G3' AS INTEGER) AS a, CAST(gene_id = 'nontargeting' AS INTEGER) AS b FROM long WHERE gene_id IN ('G3', 'nontargeting')), {_ks("dim")}
+@query(f"""WITH RECURSIVE {fx.CELLS}, smp AS (SELECT dim, x, CAST(gene_id = 'G3' AS INTEGER) AS a, CAST(gene_id = 'nontargeting' AS INTEGER) AS b FROM long WHERE gene_id IN ('G3', 'nontargeting')), {_ks("dim")}
 SELECT dim, round(ks, 6) AS ks, n1, n2, round(fdr, 6) + 0.0 AS fdr, round(med, 6) + 0.0 AS med, direction FROM bh JOIN ctr USING (dim)""")
 def feature_volcano(spark, sf_dir):
     long = normalize.to_long(fx.cells(spark, sf_dir))
     return _volcano(network.volcano(network.feature_samples(long, "G3", "nontargeting"), "dim"), "dim")
 
 
-@query(f"""WITH {fx.CELLS}, one AS (SELECT gene_id, x FROM long WHERE dim = 0),
+@query(f"""WITH RECURSIVE {fx.CELLS}, one AS (SELECT gene_id, x FROM long WHERE dim = 0),
 smp AS (SELECT gene_id, x, 1 AS a, 0 AS b FROM one UNION ALL SELECT g.gene_id, x, 0, 1 FROM one, (SELECT DISTINCT gene_id FROM one) g WHERE one.gene_id = 'nontargeting'), {_ks("gene_id")}
 SELECT gene_id, round(ks, 6) AS ks, n1, n2, round(fdr, 6) + 0.0 AS fdr, round(med, 6) + 0.0 AS med, direction FROM bh JOIN ctr USING (gene_id)""")
 def gene_volcano(spark, sf_dir):
@@ -123,8 +123,9 @@ ps AS (SELECT query, rank - junk AS rank FROM jk WHERE kind = 'ok')"""
 
 
 def _positives(spark, sf_dir) -> DataFrame:
-    along = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
-    rows = fx.table(spark, sf_dir, "documents").filter("lang is not null").select(F.col("lang").alias("query"), (F.row_number().over(along) - 1).alias("rank"), F.expr("CASE WHEN doc_id % 7 = 0 THEN 'ok' WHEN doc_id % 5 = 0 THEN 'junk' ELSE 'other' END").alias("kind"))
+    docs = fx.table(spark, sf_dir, "documents").filter("lang is not null").select(F.col("lang").alias("query"), "n_chars", "doc_id")
+    ranked = prefix.row_numbers(docs, ["query"], [("n_chars", True), ("doc_id", False)], "place")
+    rows = ranked.select("query", (F.col("place") - 1).alias("rank"), F.expr("CASE WHEN doc_id % 7 = 0 THEN 'ok' WHEN doc_id % 5 = 0 THEN 'junk' ELSE 'other' END").alias("kind"))
     return curves.without_junk(rows)
 
 
@@ -140,11 +141,23 @@ def precision_at_10(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE + x::DOUBLE * 0.5 + 1) / 2) AS m FROM embeddings),
-u AS (SELECT vec_id, sqrt(list_sum(list_transform(m, lambda x: x * x))) AS n, m FROM v) SELECT vec_id, round(m[1] / n, 6) + 0.0 AS first, round(m[64] / n, 6) + 0.0 AS last FROM u""")
+u AS (SELECT vec_id, sqrt(list_sum(list_transform(m, lambda x: x * x))) AS n, m FROM v) SELECT vec_id, CAST(unnest(range(len(m))) AS INTEGER) AS dim, round(unnest(m) / n, 6) + 0.0 AS x FROM u""")
 def multiscale_feature(spark, sf_dir):
     """Mean of the vectors of several scales, then unit length."""
     double = F.transform("embedding", lambda x: x.cast("double"))
     scales = F.zip_with(double, F.transform(double, lambda x: x * 0.5 + 1), lambda a, b: (a + b) / 2)
     rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", scales.alias("m"))
     unit = F.transform("m", lambda x: x / norm(F.col("m")))
-    return rows.select("vec_id", r6(F.get(unit, F.lit(0))).alias("first"), r6(F.get(unit, F.lit(63))).alias("last"))
+    return rows.select("vec_id", F.posexplode(unit).alias("dim", "x")).withColumn("x", r6(F.col("x")))
+
+
+@query(f"""WITH {_RANKED}, n AS (SELECT query, rank, row_number() OVER (PARTITION BY query ORDER BY rank) - 1 AS j FROM ps),
+q AS (SELECT lang AS query, count(*) FILTER (doc_id % 7 = 0) AS relevant FROM documents GROUP BY lang), a AS (SELECT query, sum((CASE WHEN rank = 0 THEN 1.0 ELSE j::DOUBLE / rank END + (j + 1)::DOUBLE / (rank + 1)) / (2.0 * relevant)) AS ap FROM n JOIN q USING (query) GROUP BY query)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents UNION SELECT 'xx')) AS queries, count(ap) AS judged, round(avg(ap), 6) AS mean FROM a""")
+def mean_retrieval_ap(spark, sf_dir):
+    """Mean average precision over languages, one of which has no positives and is left out of the mean."""
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("lang").alias("query"), (F.col("doc_id") % 7 == 0).alias("ok"))
+    relevant = docs.groupBy("query").agg(F.count_if("ok").alias("relevant"))
+    found = curves.retrieval_ap(_positives(spark, sf_dir).join(relevant, "query"), relevant="relevant")
+    queries = docs.select("query").union(spark.createDataFrame([("xx",)], "query string"))
+    return curves.mean_over_queries(found, queries, "ap").withColumn("mean", r6(F.col("mean")))

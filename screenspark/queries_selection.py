@@ -33,10 +33,10 @@ def dot_size(spark, sf_dir):
 
 
 @query("""SELECT vec_id, CAST(i AS INTEGER) AS ch, round((embedding[i + 1]::DOUBLE - (0.1::DOUBLE * i)) / (0.5::DOUBLE + i), 6) + 0.0 AS v
-FROM embeddings, (SELECT unnest(range(3)) AS i)""")
+FROM embeddings, (SELECT unnest(range(64)) AS i)""")
 def normalise_channels(spark, sf_dir):
-    first = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(selection.normalise_channels(first, [0.1 * i for i in range(3)], [0.5 + i for i in range(3)])).alias("ch", "v"))
+    whole = F.transform("embedding", lambda x: x.cast("double"))
+    rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(selection.normalise_channels(whole, [0.1 * i for i in range(64)], [0.5 + i for i in range(64)])).alias("ch", "v"))
     return rows.withColumn("v", r6(F.col("v")))
 
 

@@ -27,7 +27,7 @@ def field_to_stage(spark, sf_dir):
     return on.select("pid", X.alias("sx"), Y.alias("sy"))
 
 
-@query(f"WITH {_SRC} SELECT pid, x::DOUBLE AS x, y::DOUBLE AS y FROM src")
+@query(f"WITH {_SRC}, st AS (SELECT pid, x0, y0, x0 + 0.5::DOUBLE * (99 - x) AS sx, y0 + 0.5::DOUBLE * y AS sy FROM src JOIN fov ON field_id = source_field_id) SELECT pid, round(99 - (sx - x0) / 0.5::DOUBLE, 6) + 0.0 AS x, round((sy - y0) / 0.5::DOUBLE, 6) + 0.0 AS y FROM st")
 def field_stage_round_trip(spark, sf_dir):
     on = _pixels_in_fields(spark, sf_dir).join(fx.fov(spark), F.col("field_id") == F.col("source_field_id"))
     there = geometry.field_to_stage(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), SIDE, S)
@@ -35,9 +35,9 @@ def field_stage_round_trip(spark, sf_dir):
     return on.select("pid", r6(x).alias("x"), r6(y).alias("y"))
 
 
-@query(f"WITH {fx.FOV} SELECT min(x0) AS wx, min(y0) AS wy, CAST(round_even((max(x0) - min(x0)) / 0.5::DOUBLE, 0) + 100 AS INTEGER) AS ww, CAST(round_even((max(y0) - min(y0)) / 0.5::DOUBLE, 0) + 100 AS INTEGER) AS wh FROM fov")
+@query(f"WITH {fx.FIELDS} SELECT well, min(x0) AS wx, min(y0) AS wy, CAST(round_even((max(x0) - min(x0)) / 0.5::DOUBLE, 0) + 100 AS INTEGER) AS ww, CAST(round_even((max(y0) - min(y0)) / 0.5::DOUBLE, 0) + 100 AS INTEGER) AS wh FROM fields GROUP BY well")
 def well_extent(spark, sf_dir):
-    return geometry.well_extent(fx.fov(spark), SIDE, SIDE, S)
+    return geometry.well_extent(fx.fields(spark, sf_dir), SIDE, SIDE, S, ["well"])
 
 
 @query(f"""WITH {_SRC}, w AS (SELECT min(x0) AS wx, min(y0) AS wy, (max(y0) - min(y0)) / 0.5::DOUBLE + 100 AS wh FROM fov),
@@ -112,16 +112,64 @@ def valid_barcodes(spark, sf_dir):
     return _called(spark, sf_dir)[0]
 
 
-@query("SELECT unnest(['x', 'y']) AS axis, 0.1::DOUBLE AS overlap")
+_GAPS = f"""{fx.FIELDS}, n AS (SELECT a.well, a.field_id, b.x0 - a.x0 AS dx, b.y0 - a.y0 AS dy FROM fields a JOIN fields b ON a.well = b.well AND a.field_id <> b.field_id),
+sides AS (SELECT *, CASE WHEN abs(dx) < 1 AND dy > 0 AND dy < 51 THEN 'top' WHEN abs(dx) < 1 AND dy < 0 AND dy > -51 THEN 'bottom'
+  WHEN abs(dy) < 1 AND dx > 0 AND dx < 51 THEN 'right' WHEN abs(dy) < 1 AND dx < 0 AND dx > -51 THEN 'left' END AS side FROM n),
+closest AS (SELECT well, field_id, side, arg_min(abs(dx), dx * dx + dy * dy) AS dx, arg_min(abs(dy), dx * dx + dy * dy) AS dy FROM sides WHERE side IS NOT NULL GROUP BY ALL),
+gaps AS (SELECT well, median(dx) FILTER (side IN ('left', 'right')) AS dx, median(dy) FILTER (side IN ('top', 'bottom')) AS dy FROM closest GROUP BY well)"""
+
+
+@query(f"WITH {_GAPS} SELECT well, axis, round(CASE WHEN dx IS NULL OR dy IS NULL THEN 0 ELSE 1 - CASE axis WHEN 'x' THEN dx ELSE dy END / 50 END, 6) + 0.0 AS overlap FROM gaps, (VALUES ('x'), ('y')) a(axis)")
 def field_overlap(spark, sf_dir):
-    return geometry.overlap(fx.fov(spark), SIDE, S, 1.0).withColumn("overlap", r6(F.col("overlap")))
+    return geometry.overlap(fx.fields(spark, sf_dir), SIDE, S, 1.0, ["well"]).withColumn("overlap", r6(F.col("overlap")))
+
+
+_CROPS = f"""{fx.FIELDS}, views AS (SELECT well, (max(x0) + 50 + min(x0) + 50) / 2 - 25 - 37.5 AS vx, (max(y0) + 50 + min(y0) + 50) / 2 - 25 - 37.5 AS vy FROM fields GROUP BY well),
+met AS (SELECT fields.*, vx, vy FROM fields JOIN views USING (well) WHERE x0 > vx - 50 AND x0 < vx + 75 AND y0 > vy - 50 AND y0 < vy + 75),
+placed AS (SELECT well, field_id, CAST(trunc((x0 - vx) / 0.5::DOUBLE) AS INTEGER) AS l, 150 - 100 - CAST(trunc((y0 - vy) / 0.5::DOUBLE) AS INTEGER) AS t FROM met),
+crops AS (SELECT well, field_id, greatest(0, l) AS col0, least(150, l + 100) AS col1, greatest(0, t) AS row0, least(150, t + 100) AS row1, greatest(0, l) - l AS crop_left, greatest(0, t) - t AS crop_top
+  FROM placed WHERE l + 100 > 0 AND l < 150 AND t + 100 > 0 AND t < 150)"""
+
+
+def _views(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    fields = fx.fields(spark, sf_dir)
+    return fields, geometry.central_views(fields, 150, (SIDE, SIDE), S, ["well"])
 
 
-@query(f"""WITH {fx.FOV}, p AS (SELECT field_id, CAST(trunc((x0 - 20) / 0.5::DOUBLE) AS INTEGER) AS l, 150 - 100 - CAST(trunc((y0 - 20) / 0.5::DOUBLE) AS INTEGER) AS t FROM fov)
-SELECT field_id, greatest(0, l) AS col0, least(150, l + 100) AS col1, greatest(0, t) AS row0, least(150, t + 100) AS row1, greatest(0, l) - l AS crop_left, greatest(0, t) - t AS crop_top
-FROM p WHERE l + 100 > 0 AND l < 150 AND t + 100 > 0 AND t < 150""")
+@query(f"WITH {_CROPS} SELECT * FROM crops")
 def mosaic_crops(spark, sf_dir):
-    return geometry.mosaic_crops(fx.fov(spark), (20.0, 20.0, 150, 150), (SIDE, SIDE), S)
+    fields, views = _views(spark, sf_dir)
+    return geometry.mosaic_crops(geometry.mosaic_fields(fields, views, (SIDE, SIDE), S, ["well"]), views, (SIDE, SIDE), S, ["well"])
+
+
+@query(f"""WITH {_CROPS}, px AS (SELECT user_id AS well, event_id % 8 AS field_id, event_id % 2 AS ch, event_id * 31 % 100 AS y, event_id * 17 % 100 AS x, value AS v FROM events)
+SELECT well, ch, row0 + y - crop_top AS "row", col0 + x - crop_left AS col, max(v) AS v FROM px JOIN crops USING (well, field_id)
+WHERE y >= crop_top AND y < crop_top + row1 - row0 AND x >= crop_left AND x < crop_left + col1 - col0 GROUP BY ALL""")
+def well_mosaic(spark, sf_dir):
+    """The middle of each well's image, from field pixels that events mark."""
+    fields, views = _views(spark, sf_dir)
+    marked = fx.table(spark, sf_dir, "events").selectExpr("user_id AS well", "event_id % 8 AS field_id", "event_id % 2 AS ch", "event_id * 31 % 100 AS y", "event_id * 17 % 100 AS x", "value AS v")
+    return geometry.mosaic(marked, fields, views, (SIDE, SIDE), S, ["well"])
+
+
+_CHAIN = """reg AS (SELECT event_id AS pid, event_id % 500 AS x, event_id * 7 % 400 AS y, event_id % 11 - 5 AS dx, event_id % 7 - 3 AS dy, radians((event_id % 13 - 6) * 0.5::DOUBLE) AS angle, 1 + (event_id % 5 - 2) / 100.0::DOUBLE AS scale FROM events),
+s1 AS (SELECT *, x - 600.0::DOUBLE AS u, y - 500.0::DOUBLE AS w FROM reg),
+s2 AS (SELECT * REPLACE (u / 1.25::DOUBLE AS u, w / 1.25::DOUBLE AS w) FROM s1),
+s3 AS (SELECT * REPLACE (u - dx AS u, w - dy AS w) FROM s2),
+s4 AS (SELECT * REPLACE ((cos(angle) * u - sin(angle) * w) / scale AS u, (sin(angle) * u + cos(angle) * w) / scale AS w) FROM s3),
+s5 AS (SELECT * REPLACE (u * 0.75::DOUBLE AS u, w * 0.75::DOUBLE AS w) FROM s4),
+s6 AS (SELECT *, u + 450.0::DOUBLE AS px, w + 375.0::DOUBLE AS py FROM s5)"""
+
+
+@query(f"WITH {_CHAIN} SELECT pid, round(px, 6) + 0.0 AS px, round(py, 6) + 0.0 AS py, round(x, 6) + 0.0 AS back_x, round(y, 6) + 0.0 AS back_y FROM s6")
+def registration_chain(spark, sf_dir):
+    """Points carried from target to source pixels by one motion made of six, and back by its inverse."""
+    lit = lambda *v: tuple(F.lit(float(x)) for x in v)
+    points = fx.table(spark, sf_dir, "events").selectExpr("event_id AS pid", "event_id % 500 AS x", "event_id * 7 % 400 AS y", "named_struct('dx', event_id % 11 - 5, 'dy', event_id % 7 - 3, 'angle', (event_id % 13 - 6) * 0.5D, 'scale', 1 + (event_id % 5 - 2) / 100D) AS found")
+    points = points.withColumn("m", geometry.registration(lit(900, 750), lit(1200, 1000), *lit(0.75, 1.25), F.col("found")))
+    px, py = geometry.moved(F.col("m"), F.col("x"), F.col("y"))
+    back = geometry.moved(geometry.undone(F.col("m")), px, py)
+    return points.select("pid", r6(px).alias("px"), r6(py).alias("py"), r6(back[0]).alias("back_x"), r6(back[1]).alias("back_y"))
 
 
 @query(f"WITH {fx.FOV} SELECT a.pid AS src, b.pid AS dst FROM pts a JOIN pts b ON a.pid <> b.pid AND (a.px - b.px) ** 2 + (a.py - b.py) ** 2 <= 4")
@@ -140,31 +188,31 @@ fixed AS (SELECT img, ch, CASE WHEN lo = hi THEN 0 ELSE lo END AS lo, CASE WHEN
 
 @query(f"WITH {fx.PIXELS}, {_Q} SELECT img, ch, y, x, round(greatest(0, least(1, (v - lo) / (hi - lo))), 6) + 0.0 AS v FROM px JOIN fixed USING (img, ch)")
 def rescale_channels(spark, sf_dir):
-    return pixels.rescale(fx.pixels(spark)).withColumn("v", r6(F.col("v")))
+    return pixels.rescale(fx.pixels(spark, sf_dir)).withColumn("v", r6(F.col("v")))
 
 
 @query(f"WITH {fx.PIXELS} SELECT img, ch, y, x, round(v / q, 6) + 0.0 AS v FROM px JOIN (SELECT img, ch, quantile_cont(v, 0.7) AS q FROM px GROUP BY ALL) USING (img, ch)")
 def percentile_frames(spark, sf_dir):
-    return pixels.divide_by_percentile(fx.pixels(spark)).withColumn("v", r6(F.col("v")))
+    return pixels.divide_by_percentile(fx.pixels(spark, sf_dir)).withColumn("v", r6(F.col("v")))
 
 
 @query(f"WITH {fx.PIXELS} SELECT * FROM px WHERE x BETWEEN 8 AND 23 AND y BETWEEN 8 AND 23")
 def center_window(spark, sf_dir):
-    return pixels.center_window(fx.pixels(spark), 32, 32, 2.0)
+    return pixels.center_window(fx.pixels(spark, sf_dir), 32, 32, 2.0)
 
 
 @query(f"WITH {fx.PIXELS} SELECT ch, y, x + img * 20 AS x, max(v) AS v FROM px GROUP BY ALL")
 def max_composite(spark, sf_dir):
-    return pixels.max_composite(fx.pixels(spark).withColumn("x", (F.col("x") + F.col("img") * 20)))
+    return pixels.max_composite(fx.pixels(spark, sf_dir).withColumn("x", (F.col("x") + F.col("img") * 20)))
 
 
-_LEVELS = f"""{fx.PIXELS}, sp AS (SELECT event_id AS id, event_id % 3 AS img, event_id * 7 % 32 AS y, event_id * 13 % 32 AS x FROM events),
+_LEVELS = f"""{fx.PIXELS}, sp AS (SELECT event_id AS id, user_id AS img, event_id * 7 % 32 AS y, event_id * 13 % 32 AS x FROM events),
 lv AS (SELECT sp.img, id, ch, max(v) AS v FROM sp JOIN px ON px.img = sp.img AND px.y >= sp.y - 3 AND px.y < sp.y + 3 AND px.x >= sp.x - 3 AND px.x < sp.x + 3 GROUP BY ALL)"""
 
 
 def _levels(spark, sf_dir) -> DataFrame:
-    spots = fx.table(spark, sf_dir, "events").selectExpr("event_id AS id", "event_id % 3 AS img", "event_id * 7 % 32 AS y", "event_id * 13 % 32 AS x")
-    return pixels.max_around(spots, fx.pixels(spark), 3, 3)
+    spots = fx.table(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id AS img", "event_id * 7 % 32 AS y", "event_id * 13 % 32 AS x")
+    return pixels.max_around(spots, fx.pixels(spark, sf_dir), 3, 3)
 
 
 @query(f"WITH {_LEVELS} SELECT * FROM lv")
@@ -179,23 +227,23 @@ def brightest_base(spark, sf_dir):
 
 @query(f"WITH {fx.PIXELS} SELECT img, ch, (px.y // 8) * 4 + px.x // 8 AS region, round_even(sum(v * px.y) / sum(v), 0) AS y, round_even(sum(v * px.x) / sum(v), 0) AS x FROM px GROUP BY img, ch, (px.y // 8) * 4 + px.x // 8")
 def region_centroids(spark, sf_dir):
-    return pixels.weighted_centroid(fx.pixels(spark), F.expr("(y div 8) * 4 + x div 8"))
+    return pixels.weighted_centroid(fx.pixels(spark, sf_dir), F.expr("(y div 8) * 4 + x div 8"))
 
 
 @query(f"WITH {fx.PIXELS}, c AS (SELECT unnest([0, 1, 2, 3]) AS ch, unnest([1.0, 0.0, 0.0, 0.5]) AS r, unnest([0.0, 1.0, 0.25, 0.5]) AS g, unnest([0.0, 0.0, 1.0, 0.5]) AS b) SELECT img, y, x, round(least(1, sum(v / 200 * r)) + 1e-8, 6) AS r, round(least(1, sum(v / 200 * g)) + 1e-8, 6) AS g, round(least(1, sum(v / 200 * b)) + 1e-8, 6) AS b FROM px JOIN c USING (ch) GROUP BY img, y, x")
 def composite_rgb(spark, sf_dir):
     colours = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.25, 1.0), (0.5, 0.5, 0.5)]
-    out = pixels.composite_rgb(fx.pixels(spark).withColumn("v", F.col("v") / 200), colours)
+    out = pixels.composite_rgb(fx.pixels(spark, sf_dir).withColumn("v", F.col("v") / 200), colours)
     return out.select("img", "y", "x", *(r6(F.col(c) + 1e-8).alias(c) for c in "rgb"))
 
 
-@query("""WITH sp AS (SELECT event_id % 3 AS img, substr('CATG', (event_id % 4) + 1, 1) AS base, event_id * 7 % 256 AS y, event_id * 13 % 256 AS x FROM events)
+@query("""WITH sp AS (SELECT user_id AS img, substr('CATG', (event_id % 4) + 1, 1) AS base, event_id * 7 % 256 AS y, event_id * 13 % 256 AS x FROM events)
 SELECT DISTINCT img, base, y + dy AS y, x + dx AS x FROM sp, (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE y + dy >= 0 AND y + dy < 255 AND x + dx >= 0 AND x + dx < 255""")
 def label_raster(spark, sf_dir):
-    spots = fx.table(spark, sf_dir, "events").selectExpr("event_id % 3 AS img", "substring('CATG', CAST(event_id % 4 AS INT) + 1, 1) AS base", "event_id * 7 % 256 AS y", "event_id * 13 % 256 AS x")
+    spots = fx.table(spark, sf_dir, "events").selectExpr("user_id AS img", "substring('CATG', CAST(event_id % 4 AS INT) + 1, 1) AS base", "event_id * 7 % 256 AS y", "event_id * 13 % 256 AS x")
     return pixels.label_raster(spots, 256, 2)
 
 
 @query(f"WITH {fx.PIXELS} SELECT round(1 - avg(d), 6) AS loss FROM (SELECT ch, 2 * sum(v / 101 * (x % 2)) / (sum(v / 101) + sum(x % 2) + 1e-7) AS d FROM px GROUP BY ch)")
 def dice_loss(spark, sf_dir):
-    return pixels.dice_loss(fx.pixels(spark).select("ch", (F.col("v") / 101).alias("p"), (F.col("x") % 2).alias("q"))).withColumn("loss", r6(F.col("loss")))
+    return pixels.dice_loss(fx.pixels(spark, sf_dir).select("ch", (F.col("v") / 101).alias("p"), (F.col("x") % 2).alias("q"))).withColumn("loss", r6(F.col("loss")))

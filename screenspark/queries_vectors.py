@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.vectors import r6
-from .operators import graph, whitening
+from .operators import graph, probe, whitening
 from .plans import fixtures as fx
+from .plans.lineage import cut
 from .registry import query
 
 
@@ -55,3 +56,21 @@ def knn_graph(spark, sf_dir):
 def neighbour_communities(spark, sf_dir):
     """Communities of the graph of ten nearest neighbours, of at most 100 vectors each."""
     return graph.communities(_knn(spark, sf_dir).select(F.col("id").alias("a"), F.col("other").alias("b")), 1.0, 100)
+
+
+def _probed(spark, sf_dir):
+    cells = cut(fx.cells(spark, sf_dir).select("ID", "gene_id", "plate_well", "features"))
+    return cells, cut(probe.fit_probes(cells, "intergenic"))
+
+
+@query()
+def linear_probes(spark, sf_dir):
+    """Chosen penalty and accuracy of each fold mean, per gene and held-out well."""
+    _, probes = _probed(spark, sf_dir)
+    return probes.select("gene", "split", "n", "penalty", "scores", "intercept")
+
+
+@query()
+def probe_metrics(spark, sf_dir):
+    cells, probes = _probed(spark, sf_dir)
+    return probe.probe_metrics(cut(probe.score_held_out(cells, probes, "intergenic")))

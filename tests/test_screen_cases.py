@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from screenspark.operators import barcodes, curves, geometry, hypothesis, keys, network, normalize, pixels, series, similarity, spatial
+from screenspark.operators import barcodes, curves, geometry, hypothesis, keys, network, normalize, pixels, selection, series, similarity, spatial
 from screenspark.sources import files
 from screenspark.streaming import windows
 
@@ -67,7 +67,7 @@ def test_missing_cycle_is_skipped_and_missing_spot_is_n(spark):
 
 def test_crops_cover_the_view_once_cut(spark):
     fov = spark.createDataFrame([(0, 0.0, 0.0), (1, 90.0, 0.0), (2, 500.0, 0.0)], "field_id int, x0 double, y0 double")
-    got = {r.field_id: tuple(r)[1:] for r in geometry.mosaic_crops(fov, (10.0, 10.0, 120, 80), (100, 100), 1.0).collect()}
+    got = {r.field_id: tuple(r)[1:] for r in geometry.mosaic_crops(fov.withColumn("w", F.lit(0)), spark.createDataFrame([(0, 10.0, 10.0, 120, 80)], "w int, vx double, vy double, vw int, vh int"), (100, 100), 1.0, ["w"]).drop("w").collect()}
     assert got == {0: (0, 90, 0, 80, 10, 10), 1: (80, 120, 0, 80, 0, 10)}
 
 
@@ -157,7 +157,7 @@ def test_shared_library_prefix_multiplies_rows(spark):
 
 def test_ema_folds_in_order(spark):
     rows = spark.createDataFrame([("a", 2, 3.0), ("a", 1, 1.0), ("a", 3, 5.0), ("b", 1, 7.0)], "k string, t int, v double")
-    assert {r.k: r.ema for r in series.ema(rows, "k", ["t"], "v", 0.5).collect()} == {"a": 3.5, "b": 7.0}
+    assert {r.k: r.ema for r in selection.final_average(rows, "k", ["t"], "v", 0.5).collect()} == {"a": 3.5, "b": 7.0}
 
 
 def test_union_of_tables_fills_missing_columns(spark, tmp_path):
