@@ -39,15 +39,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no text of the page; the rest of a page is theirs where a raw one is not closed.
 RAW = frozenset("script style".split())
 SKIPPED = RAW | frozenset("head template noscript iframe object svg title textarea canvas audio video".split())
+#: Skipped elements that may hold others of their kind, and block-level elements that end an open formula.
+NESTED = frozenset("template object svg canvas audio video".split())
+BREAKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section table td th tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html".split())
 #: Training: pages, passes, step.
-PAGES, EPOCHS, RATE, SEED = 600, 6, 0.1, 11
+PAGES, EPOCHS, RATE, SEED = 1500, 6, 0.1, 11
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/><]*+)")
 _VALUE = re.compile(r"=\s*+([\"'])|>")
 _CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+#: Words of a name: parted by other signs and by a change to capitals.
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -56,6 +60,7 @@ class _Scanner:
 
     def __init__(self, page: str):
         self.page, self.absent = page, set()
+        self.ends: dict[str, dict[int, int]] = {}
 
     def find(self, what: str, at: int) -> int:
         if what in self.absent:
@@ -82,8 +87,12 @@ class _Scanner:
                 return self.find(">", m.end())
             at = close + 1
 
-    def element_end(self, tag: str, at: int) -> int:
-        """Behind the closing tag of a skipped element, or -1."""
+    def element_end(self, tag: str, start: int, at: int) -> int:
+        """Behind the closing tag of a skipped element that begins at ``start`` and whose tag ends before ``at``, or -1."""
+        if tag in NESTED and tag not in self.ends:
+            self.ends[tag] = self._matched(tag)
+        if start in self.ends.get(tag, ()):
+            return self.ends[tag][start]
         if "</" + tag in self.absent:
             return -1
         m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.page, at)
@@ -92,6 +101,20 @@ class _Scanner:
             self.absent.add("</" + tag)
         return end + 1 if end >= 0 else -1
 
+    def _matched(self, tag: str) -> dict[int, int]:
+        """Of each element of a kind that is closed: where it begins, and behind its own closing tag."""
+        open_, ends = [], {}
+        for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])", re.I).finditer(self.page):
+            end = self.page.find(">", m.end())
+            if end < 0:
+                break
+            if not m[1]:
+                if self.page[end - 1] != "/":
+                    open_.append(m.start())
+            elif open_:
+                ends[open_.pop()] = end + 1
+        return ends
+
 
 def blocks(page: str, known=None) -> list[tuple[str, frozenset, str, int]]:
     """``(own tag, ancestor features, text, characters inside links)`` of each leaf block.
@@ -150,19 +173,25 @@ def blocks(page: str, known=None) -> list[tuple[str, frozenset, str, int]]:
             continue
         at = end + 1
         tag = m[2].lower()
-        inline = tag in INLINE or bool(opened["math"]) or tag == "math"
+        formula = opened["math"][0] if opened["math"] else 0
         if m[1]:
+            # an end tag belongs to a formula only if its element began inside
+            inline = tag in INLINE or tag == "math" or formula > 0 and (not opened[tag] or opened[tag][-1] > formula) and tag not in BREAKS
             if not inline and tag not in SKIPPED:
                 flush()
             if opened[tag]:
                 pop_to(opened[tag][-1])
             continue
+        if formula and tag in BREAKS:
+            pop_to(formula)
+            formula = 0
+        inline = tag in INLINE or tag == "math" or formula > 0
         inside = page[m.end() : end]
         if tag in SKIPPED:
             if tag == "head":
                 flush()
             if not inside.endswith("/"):
-                behind = scan.element_end(tag, at)
+                behind = scan.element_end(tag, start, at)
                 at = behind if behind >= 0 else n if tag in RAW else at
             continue
         if tag in VOID:
@@ -180,7 +209,7 @@ def blocks(page: str, known=None) -> list[tuple[str, frozenset, str, int]]:
                 pop_to(nearest)
         own = {f"in={tag}"}
         for a in _CLASS.finditer(inside) if "=" in inside else ():
-            own.update(f"cls={w}" for w in _WORD.findall((a[1] or a[2] or a[3] or "").lower()))
+            own.update(f"cls={w.lower()}" for w in _WORD.findall(a[1] or a[2] or a[3] or ""))
         if known is not None:
             own &= known
         _, above, block, scope = stack[-1]
@@ -293,7 +322,7 @@ CLASSES = {
     "notice": "notice cookie consent banner alert gdpr warning popup modal",
     "advert": "ad ads advert advertisement sponsor sponsored promo promotion adsense",
     "sidebar": "sidebar related widget recommended popular trending more share social newsletter subscribe toc",
-    "comments": "comments comment discussion replies reply disqus responses feedback",
+    "comments": "comments comment discussion replies reply respond disqus responses feedback kommentare commentaires comentarios",
     "footer": "footer copyright legal colophon credits bottom",
     "form": "search login signup contact-form subscribe-form",
     "article": "content article post entry story main text article-body post-content body",
@@ -326,6 +355,8 @@ class _Writer:
         tag = self.rng.choice(tags.split())
         how = self.rng.random()
         name = self.rng.choice(CLASSES[part].split()) if self.style == "known" else self.word()
+        if self.style == "known" and part != "article" and self.rng.random() < 0.3:  # names made of several words
+            name = self.rng.choice((f"{self.rng.choice('clmu')}-{name}__{self.word()}", f"{self.word()}{name.title()}", f"{name}-{self.word()}"))
         if self.style == "bare":
             return f"<div>{inner}</div>"
         plain = tag not in ("div", "ul", "section", "span", "p") and how < 0.5
@@ -351,6 +382,8 @@ class _Writer:
             each = "".join(f"<{t}><b>{self.words(1, 2)}</b><p>{self.sentences(1, 4)}</p></{t}>" for t in (rng.choice(("div", "li", "article")),) * rng.randint(1, 4))
             return self.box(part, "section div ol", f"<h3>{self.words(1, 2)}</h3>{each}")
         if part == "form":
+            if rng.random() < 0.4:  # parts of forms without one
+                return rng.choice((f"<button>{self.words(1, 4)}</button>", f"<select><option>{self.words(1, 2)}</option><option>{self.words(1, 2)}</option></select>", f"<fieldset><legend>{self.words(1, 3)}</legend>{self.sentences(1, 1)}</fieldset>"))
             return f"<form action='/'><label>{self.words(1, 3)}</label><p>{self.sentences(1, 1)}</p><button>{self.words(1, 2)}</button><select><option>{self.word()}</option></select></form>"
         return self.box("footer", "footer footer div", rng.choice(("&copy; ", "© ", "")) + f"{self.word()}.example &middot; {self.sentences(1, 2)}" if rng.random() < 0.6 else f"<p>{self.sentences(1, 2)}</p><ul>{self.links()}</ul>")
 
@@ -376,7 +409,7 @@ class _Writer:
             elif kind < 0.96:
                 out.append(f"<table><tr>{mark('td', self.words(1, 4))}{mark('td', self.words(1, 4))}</tr></table>")
             elif self.style != "bare":
-                out.append(self.part(rng.choice(("advert", "sidebar", "notice", "form"))))
+                out.append(self.part(rng.choice(("advert", "sidebar", "notice", "form", "form"))))
         inner = "".join(out)
         how = rng.random()
         if how < 0.5:

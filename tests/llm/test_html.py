@@ -25,13 +25,20 @@ def model():
         ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be &amp; stay one.</p><script>no()</script></article>", "Let x=1 be & stay one."),
         ("<article><p>Before <script>if (a < b) x()</script>and after.</p><style>p{}</style></article>", "Before and after."),
         ("", ""),
+        ("<div><math><p>The sun rose at dawn.</p><p>Second is a sentence.</p></div>", "The sun rose at dawn.\n\nSecond is a sentence."),
+        ("<article><p>Let <math><mi>x</mi></p><p>Two is a sentence of its own.</p></article>", "Let x\n\nTwo is a sentence of its own."),
+        ("<article><p>One is a sentence.</p><svg><svg></svg><text>lbl</text></svg></article>", "One is a sentence."),
+        ("<article><p>One is a sentence.</p><object><object></object>x</object><canvas/><p>Two is a sentence.</p></article>", "One is a sentence.\n\nTwo is a sentence."),
+        ('<div class="cookieBanner"><p>We use cookies on this page.</p></div><article><p>One is a sentence.</p></article>', "One is a sentence."),
+        ('<article><p>One is a sentence.</p></article><div class="c-siteFooter__inner"><p>Some words of the house.</p></div>', "One is a sentence."),
+        ("<article><p>One is a sentence, and more.</p><button>Share this</button><p>Two is another one.</p></article>", "One is a sentence, and more.\n\nTwo is another one."),
     ],
 )
 def test_pages_without_known_names_and_with_broken_markup(model, page, text):
     assert html_text.main_text(page, model)[0] == text
 
 
-@pytest.mark.parametrize("unit", ["<a", "a < b <c ", '"<a" x', "</svg", "<svg>", "<p a='x", "<b>x<hr>", "<li><table>", "<!-- "])
+@pytest.mark.parametrize("unit", ["<a", "a < b <c ", '"<a" x', "</svg", "<svg>", "<p a='x", "<b>x<hr>", "<li><table>", "<!-- ", "<svg><svg></svg>", "<math><p>"])
 def test_time_grows_with_length_only(model, unit):
     times = []
     for size in (200_000, 800_000):
