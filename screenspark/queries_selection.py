@@ -174,17 +174,17 @@ def decode_rounds(spark, sf_dir):
 SELECT img, ch, y, x, round(CASE WHEN v BETWEEN lo AND hi THEN v ELSE lo + (hi - lo) * (CAST('0x' || substr(md5('0|' || img || '|' || ch || '|' || y || '|' || x), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) END, 6) AS v
 FROM px JOIN q USING (img, ch)""")
 def fill_range(spark, sf_dir):
-    return pixels.fill_range(fx.pixels(spark), 5, 95).withColumn("v", r6(F.col("v")))
+    return pixels.fill_range(fx.pixels(spark, sf_dir), 5, 95).withColumn("v", r6(F.col("v")))
 
 
 @query(f"WITH {fx.PIXELS} SELECT a.img, a.ch, a.y, a.x, coalesce(b.v, 0) AS v FROM px a LEFT JOIN px b ON a.img = b.img AND a.ch = b.ch AND a.y = b.y + 3 AND a.x = b.x - 2")
 def shift_pixels(spark, sf_dir):
-    return pixels.shift(fx.pixels(spark), 3, -2)
+    return pixels.shift(fx.pixels(spark, sf_dir), 3, -2)
 
 
 @query(f"WITH {fx.PIXELS} SELECT img, ch, 31 - y AS y, 31 - x AS x, v FROM px")
 def half_turn(spark, sf_dir):
-    return pixels.half_turn(fx.pixels(spark), 32, 32)
+    return pixels.half_turn(fx.pixels(spark, sf_dir), 32, 32)
 
 
 @query("""SELECT event_id, CAST(round_even(48 * abs(sin(a)) + 64 * abs(cos(a)), 0) AS BIGINT) AS width, CAST(round_even(64 * abs(sin(a)) + 48 * abs(cos(a)), 0) AS BIGINT) AS height

@@ -91,6 +91,26 @@ def project_first_cycle(spark, sf_dir):
     return out.withColumn("x", r6(F.col("x"))).withColumn("y", r6(F.col("y")))
 
 
+@query(f"""WITH {_WELLS}, src AS (SELECT well, cycle, min(x0) AS wx, min(y0) AS wy, (max(y0) - min(y0)) / 0.5::DOUBLE + 100 AS wh, (max(y0) - min(y0)) / 0.25::DOUBLE + 200 AS th FROM fields GROUP BY ALL),
+o AS (SELECT c.well, c.pid AS id, (f.x0 + 0.5::DOUBLE * (99 - x) - s.wx) / 0.5::DOUBLE AS u, s.wh - 1 - (f.y0 + 0.5::DOUBLE * y - s.wy) / 0.5::DOUBLE AS v, t.wx AS vx, t.wy AS vy, t.th AS vh, 0.5::DOUBLE * a AS a, 0.5::DOUBLE * b AS b, tx, ty
+  FROM calls c JOIN fields f ON f.well = c.well AND f.cycle = 1 AND field_id = source_field_id JOIN src s ON s.well = c.well AND s.cycle = 1 JOIN motions m ON m.well = c.well AND m.cycle = 2 JOIN src t ON t.well = c.well AND t.cycle = 2),
+p AS (SELECT well, id, vx + 0.25::DOUBLE * ((a * (u - tx) + b * (v - ty)) / (a * a + b * b)) AS px, vy + 0.25::DOUBLE * (vh - 1 - (a * (v - ty) - b * (u - tx)) / (a * a + b * b)) AS py FROM o),
+h AS (SELECT p.*, field_id, x0, y0, px >= x0 + 2.5 AND px < x0 + 50 - 2.5 AND py >= y0 + 2.5 AND py < y0 + 50 - 2.5 AS core FROM p JOIN fields f ON f.well = p.well AND f.cycle = 2 AND px >= x0 AND px < x0 + 50 AND py >= y0 AND py < y0 + 50),
+k AS (SELECT *, count(*) FILTER (core) OVER w AS n1, count(*) OVER w AS n2 FROM h WINDOW w AS (PARTITION BY well, id)),
+g AS (SELECT well, id, field_id, 199 - (px - x0) / 0.25::DOUBLE AS tx, (py - y0) / 0.25::DOUBLE AS ty FROM k WHERE n1 = 1 AND core OR n1 = 0 AND n2 = 1)
+SELECT c.well, c.pid AS id, c.source_field_id, c.x AS source_x, c.y AS source_y, coalesce(g.field_id, -1) AS target_field_id, coalesce(round(g.tx, 6) + 0.0, -1) AS target_x, coalesce(round(g.ty, 6) + 0.0, -1) AS target_y
+FROM calls c LEFT JOIN g ON g.well = c.well AND g.id = c.pid""")
+def barcodes_on_target(spark, sf_dir):
+    """Places in the first cycle's fields carried to target images of half the pixel size; -1 where no field holds them."""
+    calls, fields, motions = _wells(spark, sf_dir)
+    places = calls.select("well", F.col("pid").alias("id"), F.col("source_field_id").alias("field_id"), "x", "y")
+    source, target = (fields.filter(F.col("cycle") == c).drop("cycle") for c in (1, 2))
+    motion = motions.filter("cycle = 2").select("well", (F.col("a") * 0.5).alias("a"), (F.col("b") * 0.5).alias("b"), "tx", "ty")
+    out = projection.project_barcodes(places, source, target, motion, (SIDE, SIDE, S), (2 * SIDE, 2 * SIDE, S / 2), HALF)
+    none = F.lit(-1)
+    return out.select("well", "id", "source_field_id", "source_x", "source_y", F.coalesce("target_field_id", none).alias("target_field_id"), F.coalesce(r6(F.col("target_x")), none).alias("target_x"), F.coalesce(r6(F.col("target_y")), none).alias("target_y"))
+
+
 _CALLED = f"""{_LANDED}, has AS (SELECT well, field_id, min(cycle) AS c0 FROM landed GROUP BY ALL), present AS (SELECT DISTINCT well, field_id, cycle FROM landed),
 ref AS (SELECT l.* FROM landed l JOIN has USING (well, field_id) WHERE cycle = c0),
 hit AS (SELECT r.well, r.field_id, r.pid, l.cycle, arg_min(l.base, (r.x - l.x) ** 2 + (r.y - l.y) ** 2) AS b FROM ref r JOIN landed l ON l.well = r.well AND l.field_id = r.field_id AND l.cycle > r.cycle AND (r.x - l.x) ** 2 + (r.y - l.y) ** 2 < 625 GROUP BY ALL),

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .functions.vectors import r6
 from .operators import graph, probe, whitening
 from .plans import fixtures as fx
-from .plans.lineage import cut
+from .plans.lineage import cut, shared_folder
 from .registry import query
+from .sources import images
 
 
 @query(f"WITH {fx.CELLS} SELECT a.dim AS i, b.dim AS j, round(covar_samp(a.x, b.x), 6) + 0.0 AS cov FROM long a JOIN long b ON a.ID = b.ID GROUP BY a.dim, b.dim")
@@ -74,3 +75,13 @@ def linear_probes(spark, sf_dir):
 def probe_metrics(spark, sf_dir):
     cells, probes = _probed(spark, sf_dir)
     return probe.probe_metrics(cut(probe.score_held_out(cells, probes, "intergenic")))
+
+
+@query(f"WITH {fx.CELLS} SELECT ID, gene_id, plate_well, {', '.join(f'features[{k + 1}] AS \"{k}\"' for k in range(64))} FROM cells WHERE plate_well = 'P1_W0'")
+def features_written(spark, sf_dir):
+    """One well of the features read back from the Parquet table that all wells were written to, one of them twice."""
+    wide = images.wide_features(fx.cells(spark, sf_dir).select("ID", "gene_id", "plate_well", "features"), 64)
+    path = shared_folder(spark)
+    images.write_features(wide, path)
+    images.write_features(wide.filter("plate_well = 'P1_W0'"), path)
+    return spark.read.parquet(path).filter("plate_well = 'P1_W0'")
