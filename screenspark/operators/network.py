@@ -49,12 +49,13 @@ def band_quartiles(scored: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def band_tests(scored: DataFrame, low: float, high: float) -> DataFrame:
-    """KS between bands: high-low, mid-low, high-mid; a comparison without one of its bands is left out."""
+    """KS between bands with its p: high-low, mid-low, high-mid; a comparison without one of its bands is left out."""
     named = [("high-low", "high", "low"), ("mid-low", "mid", "low"), ("high-mid", "high", "mid")]
     at = band(F.col("score"), low, high)
     roles = F.array(*(F.when(at == a, F.struct(F.lit(n).alias("test"), F.lit(True).alias("is_first"))).when(at == b, F.struct(F.lit(n).alias("test"), F.lit(False).alias("is_first"))) for n, a, b in named))
     rows = scored.select("sim", F.explode(F.array_compact(roles)).alias("r")).select("sim", "r.test", "r.is_first")
-    return ks_statistic(rows, ["test"], "sim").filter("n1 > 0 and n2 > 0")
+    found = ks_statistic(rows, ["test"], "sim").filter("n1 > 0 and n2 > 0")
+    return found.withColumn("p", ks_p_auto(F.col("ks"), F.col("n1"), F.col("n2")))
 
 
 def volcano(samples: DataFrame, key: str, value: str = "x") -> DataFrame:
@@ -65,8 +66,9 @@ def volcano(samples: DataFrame, key: str, value: str = "x") -> DataFrame:
     tests = ks_statistic(samples, [key], value).filter("n1 > 0 and n2 > 0")
     tests = cut(tests.withColumn("p", ks_p_auto(F.col("ks"), F.col("n1"), F.col("n2"))))
     mine, control = F.when(F.col("is_first"), F.col(value)), F.when(~F.col("is_first"), F.col(value))
-    centre = samples.groupBy(key).agg(F.median(mine).alias("median"), F.when(F.avg(mine) - F.avg(control) > 0, 1).otherwise(-1).alias("direction"))
-    return bh_fdr(tests).join(centre, key)
+    up = F.avg(mine) - F.avg(control)
+    centre = samples.groupBy(key).agg(F.median(mine).alias("median"), F.when((up > 0) & ~F.isnan(up), 1).otherwise(-1).alias("direction"))
+    return bh_fdr(tests).join(centre, key).withColumn("signed_ks", F.col("ks") * F.col("direction"))
 
 
 def feature_samples(long: DataFrame, gene: str, control: str) -> DataFrame:

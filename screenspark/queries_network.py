@@ -57,9 +57,9 @@ def _volcano(df: DataFrame, key: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {_PAIRS}, bands AS (SELECT sim AS x, CASE WHEN score < 0.3 THEN 'low' WHEN score < 0.7 THEN 'mid' ELSE 'high' END AS band FROM sc),
 smp AS (SELECT test, x, CAST(band = f AS INTEGER) AS a, CAST(band = s AS INTEGER) AS b FROM bands JOIN (VALUES ('high-low', 'high', 'low'), ('mid-low', 'mid', 'low'), ('high-mid', 'high', 'mid')) v(test, f, s) ON band IN (f, s)), {_ks("test")}
-SELECT test, round(ks, 6) AS ks, n1, n2 FROM ks""")
+SELECT test, round(ks, 6) AS ks, n1, n2, round(p, 6) + 0.0 AS p FROM pp""")
 def band_tests(spark, sf_dir):
-    return network.band_tests(_scored(spark, sf_dir), 0.3, 0.7).withColumn("ks", r6(F.col("ks")))
+    return network.band_tests(_scored(spark, sf_dir), 0.3, 0.7).withColumn("ks", r6(F.col("ks"))).withColumn("p", r6(F.col("p")))
 
 
 @query(f"""WITH RECURSIVE {fx.CELLS}, smp AS (SELECT dim, x, CAST(gene_id = 'G3' AS INTEGER) AS a, CAST(gene_id = 'nontargeting' AS INTEGER) AS b FROM long WHERE gene_id IN ('G3', 'nontargeting')), {_ks("dim")}
@@ -161,3 +161,10 @@ def mean_retrieval_ap(spark, sf_dir):
     found = curves.retrieval_ap(_positives(spark, sf_dir).join(relevant, "query"), relevant="relevant")
     queries = docs.select("query").union(spark.createDataFrame([("xx",)], "query string"))
     return curves.mean_over_queries(found, queries, "ap").withColumn("mean", r6(F.col("mean")))
+
+
+@query("SELECT 'S' || l_suppkey % 40 AS g1, 'S' || l_partkey % 40 AS g2, round(avg(l_discount::DOUBLE), 6) + 0.0 AS score FROM lineitem GROUP BY 1, 2")
+def mean_edges(spark, sf_dir):
+    """Edges that come several times, averaged per directed pair."""
+    edges = fx.table(spark, sf_dir, "lineitem").selectExpr("concat('S', l_suppkey % 40) AS g1", "concat('S', l_partkey % 40) AS g2", "CAST(l_discount AS DOUBLE) AS score")
+    return network.mean_edges(edges).withColumn("score", r6(F.col("score")))

@@ -27,6 +27,14 @@ def minus_log_fdr(spark, sf_dir):
     return p.select("event_id", F.when(F.col("p") == 0, score).otherwise(r6(score)).alias("score"))
 
 
+@query("SELECT event_id, CAST(instr('GTAC', substr('CATGN', event_id % 5 + 1, 1)) - 1 AS INTEGER) AS place, nullif(substr('CATG', event_id % 6, 1), '') AS base, CAST(trunc(value) AS BIGINT)::VARCHAR AS whole, printf('%.2f', value) AS places FROM events")
+def bases_and_labels(spark, sf_dir):
+    """Places of bases in the order of a model's channels, bases of 1-based codes, and numbers as bar labels."""
+    base = F.substring(F.lit("CATGN"), (F.col("event_id") % 5 + 1).cast("int"), F.lit(1))
+    place = F.coalesce(keys.channel(base, "GTAC"), F.lit(-1))
+    return fx.table(spark, sf_dir, "events").select("event_id", place.alias("place"), keys.base_at(F.col("event_id") % 6, first=1).alias("base"), keys.shown_value(F.col("value"), "int").alias("whole"), keys.shown_value(F.col("value"), "float").alias("places"))
+
+
 @query("SELECT event_id, greatest(value * 0.1, 5.0)::DOUBLE AS size FROM events")
 def dot_size(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").select("event_id", selection.dot_size(F.col("value"), 0.1, 5.0).alias("size"))

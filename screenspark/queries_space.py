@@ -47,13 +47,13 @@ s AS (SELECT pid, source_field_id, wx + 0.5::DOUBLE * u AS px, wy + 0.5::DOUBLE
 h AS (SELECT pid, field_id, px >= x0 + 2.5 AND px < x1 - 2.5 AND py >= y0 + 2.5 AND py < y1 - 2.5 AS core FROM s JOIN fov ON px >= x0 AND px < x1 AND py >= y0 AND py < y1),
 t AS (SELECT pid, count(*) FILTER (core) AS n1, min(field_id) FILTER (core) AS f1, count(*) AS n2, min(field_id) AS f2 FROM h GROUP BY pid),
 o AS (SELECT pid, CASE WHEN n1 = 1 THEN f1 WHEN n1 = 0 AND n2 = 1 THEN f2 END AS f FROM t)
-SELECT s.pid, source_field_id, coalesce(f, -1) AS target_field_id, coalesce(round(99 - (px - x0) / 0.5::DOUBLE, 6) + 0.0, -1) AS target_x, coalesce(round((py - y0) / 0.5::DOUBLE, 6) + 0.0, -1) AS target_y
-FROM s LEFT JOIN o ON o.pid = s.pid LEFT JOIN fov ON field_id = f""")
+SELECT s.pid, s.source_field_id, src.x AS source_x, src.y AS source_y, coalesce(f, -1) AS target_field_id, coalesce(round(99 - (px - x0) / 0.5::DOUBLE, 6) + 0.0, -1) AS target_x, coalesce(round((py - y0) / 0.5::DOUBLE, 6) + 0.0, -1) AS target_y
+FROM s JOIN src ON src.pid = s.pid LEFT JOIN o ON o.pid = s.pid LEFT JOIN fov ON field_id = f""")
 def project_pixels(spark, sf_dir):
     fov = fx.fov(spark)
     out = geometry.project_pixels(_pixels_in_fields(spark, sf_dir), fov, fov, (SIDE, SIDE), S, MOTION, HALF)
     none = F.lit(-1)
-    return out.select("pid", "source_field_id", F.coalesce("target_field_id", none).alias("target_field_id"), F.coalesce(r6(F.col("target_x")), none).alias("target_x"), F.coalesce(r6(F.col("target_y")), none).alias("target_y"))
+    return out.select("pid", "source_field_id", "source_x", "source_y", F.coalesce("target_field_id", none).alias("target_field_id"), F.coalesce(r6(F.col("target_x")), none).alias("target_x"), F.coalesce(r6(F.col("target_y")), none).alias("target_y"))
 
 
 _WELLS = f"""{fx.FOV}, wells AS (SELECT DISTINCT user_id AS well FROM events), cyc AS (SELECT unnest(range(1, 4)) AS cycle),
@@ -240,6 +240,13 @@ def spot_intensities(spark, sf_dir):
     return _levels(spark, sf_dir)
 
 
+@query(f"WITH {fx.PIXELS}, sp AS (SELECT event_id AS id, user_id AS img, event_id * 7 % 32 AS y, event_id * 13 % 32 AS x FROM events) SELECT sp.img, id, ch, max(v) AS v FROM sp JOIN px ON px.img = sp.img AND px.y BETWEEN sp.y - 2 AND sp.y + 2 AND px.x BETWEEN sp.x - 2 AND sp.x + 2 GROUP BY ALL")
+def spot_maxima(spark, sf_dir):
+    """The closed 5 x 5 neighbourhood of each spot."""
+    spots = fx.table(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id AS img", "event_id * 7 % 32 AS y", "event_id * 13 % 32 AS x")
+    return pixels.max_around(spots, fx.pixels(spark, sf_dir), 2, 3)
+
+
 @query(f"WITH {_LEVELS} SELECT img, id, substr('CATG', arg_max(ch, v * 1000 - ch / 1000.0) + 1, 1) AS base FROM lv GROUP BY img, id")
 def brightest_base(spark, sf_dir):
     return pixels.brightest_base(_levels(spark, sf_dir))
