@@ -15,6 +15,18 @@ def test_cosine_of_a_zero_vector_is_zero(spark):
     assert got == {("a", "b"): 0.0, ("a", "c"): 0.0, ("b", "c"): 1.0}
 
 
+def test_every_pair_of_blocks_is_formed_once(spark):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(23, 3))
+    rows = spark.createDataFrame([(f"g{i:02d}", v) for i, v in enumerate(x.tolist())] + [("h", [1.0, None, 2.0])], "g string, features array<double>")
+    found = similarity.cosine_pairs(rows, "g", block=4).collect()
+    got = {(r.i, r.j): r.sim for r in found}
+    assert len(found) == len(got) == 24 * 23 // 2 and all(i < j for i, j in got)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for (i, j), sim in got.items():
+        assert sim is None if j == "h" else abs(sim - u[int(i[1:])] @ u[int(j[1:])]) < 1e-12
+
+
 def test_single_guide_has_no_score(spark):
     rows = spark.createDataFrame([("g", "b1", [1.0, 0.0]), ("h", "b2", [1.0, 0.0]), ("h", "b3", [0.0, 1.0])], "gene_id string, barcode string, features array<double>")
     assert {r.barcode: r.score for r in similarity.guide_consistency(rows).collect()} == {"b1": None, "b2": 0.0, "b3": 0.0}
