@@ -12,7 +12,7 @@ first, the rest is split by the byte-level pattern and every piece is merged by
 Null text is empty and encodes to no ids.
 
 Defined results: rows with null or repeated ids are rows of their own; an empty table gives no rows; other
-columns are ignored; a long text without spaces is one piece with one tree.
+columns are ignored; a long text without spaces is one piece with one tree; ties between equal ranks go to the leftmost pair, between documents none arise.
 """
 
 from __future__ import annotations

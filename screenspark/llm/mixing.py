@@ -13,7 +13,9 @@ rows is never summed in one task.
 
 Defined results: null and empty texts have no tokens; sources without tokens get one pass;
 null sources are one source of their own; rows that repeat an id are at the same place and go
-in or out together; a null id is at the place of the word ``null``; no rows give no result.
+in or out together; a null id is at the place of the word ``null``; no rows give no result; blocks at
+equal places go by their number; long texts count their words like others and may fill more than a block;
+columns of the input keep their names, those added give way (``free_names``).
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ written possessively and with look-behind, which leaves their matches as they ar
 long runs cost linear time and no stack.
 
 Defined results: null text is empty and has no spans; rows with null or repeated ids are
-rows of their own; an empty table gives an empty result; other columns are ignored.
+rows of their own; an empty table gives an empty result; other columns are ignored; spans of several kinds that
+begin at one place are listed in the order of kinds; a long text is one row of the same expressions.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ costs one table look-up per feature and the model is 4 * 2**BITS bytes whatever
 
 Defined results: null text is empty; a text without features scores as the layer's bias
 alone; labels other than 0 and 1, null labels and null ids do not train; without labelled
-rows every score is 0.5; rows with a null id are scored and count as not held out.
+rows every score is 0.5; rows with a null id are scored and count as not held out; rows that repeat an id are scored
+each, and train with the smallest of their texts; ids with two labels do not train; a long text is
+cut into steps of code points, no feature lost; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ order.  Keys include timestamp and id, so a host with a third of all captures is
 Defined results: null html is an empty payload; a null url has no target URI and the empty
 key; a null id is kept, sorts first, and is the response only where all ids of the payload
 are null; rows that repeat the smallest id of a payload are all responses; no pages give no
-archives' records and an empty history; extra columns are ignored.
+archives' records and an empty history; extra columns are ignored; equal keys and timestamps are ordered by id; a long page is one
+record, held whole by the tasks that write and read it.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 """Held-out accuracy and odd rows of the fitted operators (op1, op5, op10)."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from screenspark.llm import html_text, language, quality
@@ -55,3 +57,47 @@ def test_main_text_of_plain_and_odd_pages(spark):
     assert rows[1].text == rows[2].text == "" and rows[1].n_chars == 0
     assert all(r.n_chars == len(r.text) for r in rows.values())
     assert html_text.extract_text(pages.limit(0), model).count() == 0
+
+
+ALL_ONES = (1 << 64) - 1
+
+
+def plain_mix(h: int) -> int:
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & ALL_ONES
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & ALL_ONES
+    return h ^ h >> 31
+
+
+def plain_features(text: str, bits: int) -> list[int]:
+    """Buckets of n-grams, words and word pairs of a text, one by one."""
+    out, numbers = [], [ord(c) + 1 for c in text]
+    for i in range(len(numbers)):
+        h = numbers[i]
+        for k in range(2, 6):
+            if i + k > len(numbers):
+                break
+            h = (h * int(quality._MIX) + numbers[i + k - 1]) & ALL_ONES
+            if k >= 3:
+                out.append(plain_mix((h + k) & ALL_ONES) >> 64 - bits)
+    words = "".join(" " if quality._WHITE[ord(c)] else c for c in text).split(" ")
+    hashes = [sum(plain_mix(ord(c) + 1 + (place << 21)) for place, c in enumerate(w)) & ALL_ONES for w in words if w]
+    out += [plain_mix(h) >> 64 - bits for h in hashes]
+    for a, b in zip(hashes, hashes[1:]):
+        out.append((int(quality._REPEAT) if a == b else plain_mix((a * int(quality._MIX) + b) & ALL_ONES)) >> 64 - bits)
+    return out
+
+
+def test_quality_scores_equal_a_loop_over_features(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    rows = [(r.text, r.quality) for r in docs.join(labels, "doc_id").orderBy("doc_id").limit(60).collect() if r.text]
+    model = quality.SubwordModel(bits=12, dimensions=5).fit([t for t, _ in rows], [y for _, y in rows], epochs=1)
+    weights, bias = model.folded()
+    for text in ["", "a", "ab cd", "no no no", "Grüße 𝔘　x \u0085y", rows[0][0][:700], rows[1][0][:700]]:
+        found = plain_features(text, 12)
+        assert sorted(found) == sorted(int(b) for x in quality.features(text, 12) for b in x)
+        hidden = np.mean([model.vectors[b].astype(np.float64) for b in found], axis=0) if found else np.zeros(5)
+        logits = model.layer @ hidden + model.bias
+        share = np.exp(logits - logits.max())
+        assert quality.score(text, weights, bias) == pytest.approx(float(share[1] / share.sum()), abs=1e-5)
