@@ -1,5 +1,7 @@
 """Held-out accuracy and odd rows of the fitted operators (op1, op5, op10)."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,31 @@ def test_quality_scores_equal_a_loop_over_features(spark):
         logits = model.layer @ hidden + model.bias
         share = np.exp(logits - logits.max())
         assert quality.score(text, weights, bias) == pytest.approx(float(share[1] / share.sum()), abs=1e-5)
+
+
+def test_language_labels_are_the_best_of_all_sequences():
+    draw = np.random.default_rng(9)
+    counts = np.array([4, 1, 0, 6, 3])
+    scores = draw.normal(scale=3, size=(counts.sum(), 3))
+    found, at = language.viterbi(scores, counts, switch=2.0), 0
+    for n in counts.tolist():
+        own = scores[at : at + n]
+
+        def worth(labels, own=own):
+            return sum(own[t, k] for t, k in enumerate(labels)) - 2.0 * sum(a != b for a, b in zip(labels, labels[1:]))
+
+        best = max(map(worth, itertools.product(range(3), repeat=n)))
+        assert abs(worth(found[at : at + n].tolist()) - best) < 1e-9
+        at += n
+
+
+def test_language_word_scores_equal_a_loop(spark):
+    rows = [("der hund und die katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr"), ("Ein Haus", "de")]
+    model = language.LanguageModel.fit(rows)
+    for text, lang in rows:
+        found, share, spans = language.label([text], model)
+        assert found == [lang] and 0.5 < share[0] <= 1
+        assert "".join(text[s["start"] : s["end"]] for s in spans[0].as_py())
+    both = "der hund und die katze und der hund the dog and the cat and the dog"
+    spans = language.label([both], model)[2][0].as_py()
+    assert [s["lang"] for s in spans] == ["de", "en"] and both[spans[1]["start"] :].startswith("the dog")
