@@ -30,7 +30,9 @@ from .common import documents, slices, utf8
 #: Split pattern of byte-level BPE vocabularies; fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids one task remembers at most, in two generations.
-CACHE = 200_000
+CACHE = 120_000
+#: Bytes of text whose pieces a task holds at a time.
+STEP_BYTES = 2 << 20
 #: Leaves of the segment trees that are advanced together; bounds the temporary arrays.
 MERGED_CELLS = 1 << 17
 #: Longer pieces (in UTF-8 bytes) have a tree of their own each and are not remembered.
@@ -275,7 +277,7 @@ def encode_ids(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
     def run(batches):
         pairs = BytePairs(vocab_path)
         memory = _Memory(pairs)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             ids = []
             for found in memory.many([pairs.pieces(raw.decode("utf-8", "replace")) for raw in utf8(batch)]):
                 ids.append([int(i) for text, n, _ in found if n for i in text.split(",")])
@@ -302,7 +304,7 @@ def token_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
     def run(batches):
         pairs = BytePairs(vocab_path)
         memory = _Memory(pairs)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             counts, ids_sha, text_sha, same = [], [], [], []
             texts = utf8(batch)
             for raw, found in zip(texts, memory.many([pairs.pieces(t.decode("utf-8", "replace")) for t in texts]), strict=True):
