@@ -48,10 +48,13 @@ def normalise_channels(spark, sf_dir):
     return rows.withColumn("v", r6(F.col("v")))
 
 
-@query('SELECT vec_id AS "ID", embedding[1]::DOUBLE AS "0", embedding[2]::DOUBLE AS "1", embedding[3]::DOUBLE AS "2" FROM embeddings')
+_WIDE = ", ".join(f'embedding[{i + 1}]::DOUBLE AS "{i}"' for i in range(64))
+
+
+@query(f'SELECT vec_id AS "ID", {_WIDE} FROM embeddings')
 def string_names(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double") for i in range(3)))
-    return selection.string_names(rows, ["ID", 0, 1, 2])
+    rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double") for i in range(64)))
+    return selection.string_names(rows, ["ID", *range(64)])
 
 
 @query(f"WITH {fx.CELLS} SELECT ID, gene_id, plate_well FROM cells WHERE plate_well <> 'P0_W0'")
