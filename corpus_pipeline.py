@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenspark.llm import bpe, exact_dedup, jaccard, mixing, quality
-from screenspark.llm.common import discard, join_counted, materialise, small_side, table
+from screenspark.llm.common import discard, join_counted, materialise, small_batches, small_side, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BPE_FILE = "byte_bpe_50k.json"
@@ -61,7 +61,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(docs, public_tokenizers.path(BPE_FILE)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    digests = bpe.token_digests(docs, public_tokenizers.path(BPE_FILE)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    with small_batches(spark):  # the batches' size is fixed when the rows are computed
+        return materialise(digests)
 
 
 STAGES = [

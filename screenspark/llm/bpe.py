@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ from .common import documents, slices, utf8
 #: Split pattern of byte-level BPE vocabularies; fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids one task remembers at most, in two generations.
-CACHE = 120_000
+CACHE = 60_000
 #: Bytes of text whose pieces a task holds at a time.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 #: Leaves of the segment trees that are advanced together; bounds the temporary arrays.
-MERGED_CELLS = 1 << 17
+MERGED_CELLS = 1 << 16
 #: Longer pieces (in UTF-8 bytes) have a tree of their own each and are not remembered.
 SHORT_BYTES = 64
 
@@ -245,7 +246,8 @@ class _Memory:
     def many(self, texts: list[list[str]]) -> list[list[tuple[str, int, bytes]]]:
         """``(ids joined by commas, their number, decoded bytes)`` of the pieces of some texts."""
         if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
+            recent = islice(self.young.items(), len(self.young) - self.limit, None)
+            self.old, self.young = dict(recent), {}
         known, bytes_of = self.young, self.pairs.bytes_of
         wanted = set().union(*texts) - known.keys()
         new, long = [], {}

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, join_counted, materialise, replace_table, slices, utf8
+from .common import discard, documents, join_counted, materialise, replace_table, slices, small_batches, utf8
 from .components import connected_components, join_components
 from .shingles import WIDTH, mix, shingle_sets
 
@@ -60,6 +60,8 @@ BUCKETS = 128
 BLOCK = 1024
 #: Pivots that split a region at a time, about.
 PIVOTS = 64
+#: Bytes of text whose sets a task holds at a time.
+STEP_BYTES = 1 << 19
 #: Vertices of a region that one task measures to its pivots.
 DEAL = 16_384
 
@@ -70,7 +72,7 @@ DEAL = 16_384
 def _count_cells(width: int, bits: int):
     def run(batches):
         total = np.zeros(1 << bits, dtype=np.uint32)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             for found in shingle_sets(utf8(batch), width):
                 np.add.at(total, (found >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         if total.any():
@@ -138,7 +140,7 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("n", pa.int64
 def _signatures(width: int, percent: int, bits: int, shared):
     def run(batches):
         classes = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             sizes, digests, firsts, counts = [], [], [], []
             for found in shingle_sets(utf8(batch), width):
                 n = len(found)
@@ -182,7 +184,7 @@ def _names(width: int, keyed: bool = False):
     """Size and digest of each row's set."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             sets = list(shingle_sets(utf8(batch), width))
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())]
             yield pa.record_batch([*columns, batch.column("text_key").cast(pa.binary())], schema=_KEYED) if keyed else pa.record_batch(columns, schema=_NAMED)
@@ -580,7 +582,7 @@ def _wanted_sets(width: int, bits: int, shared):
         bitmap = shared.value
         for batch in batches:
             one, two = _bitmap_places(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)
-            for part in slices([batch.filter(pa.array(bitmap[one] & bitmap[two]))]):
+            for part in slices([batch.filter(pa.array(bitmap[one] & bitmap[two]))], limit=STEP_BYTES):
                 sets = list(shingle_sets(utf8(part), width))
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "digest", "elements"])
 
@@ -689,13 +691,15 @@ def _with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def jaccard_rows(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """``doc_id, text_key, c`` of every row: its text's digest and its component (null for an empty set)."""
-    rows, _, labels = jaccard_links(docs, percent, id_col=id_col, text_col=text_col, keyed=True, **bounds)
+    with small_batches(docs.sparkSession):
+        rows, _, labels = jaccard_links(docs, percent, id_col=id_col, text_col=text_col, keyed=True, **bounds)
     return _with_component(materialise(rows), labels).select("doc_id", "text_key", "c")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; the component's id is its smallest doc_id."""
-    rows, _, labels = jaccard_links(docs, percent, id_col=id_col, text_col=text_col, **bounds)
+    with small_batches(docs.sparkSession):
+        rows, _, labels = jaccard_links(docs, percent, id_col=id_col, text_col=text_col, **bounds)
     rows = materialise(_with_component(materialise(rows), labels).select("doc_id", F.col("n").alias("n_shingles"), "c"))
     smallest = materialise(rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")))
     linked = join_counted(rows.filter("c is not null"), smallest, "c", "m").select("doc_id", "n_shingles", "component_id")
