@@ -22,6 +22,8 @@ from screenspark.llm.common import discard, join_counted, materialise, small_bat
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BPE_FILE = "byte_bpe_50k.json"
+#: Pieces that a task remembers; fewer than by default, as the stages before leave an executor less room.
+BPE_CACHE = 60_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    digests = bpe.token_digests(docs, public_tokenizers.path(BPE_FILE)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    digests = bpe.token_digests(docs, public_tokenizers.path(BPE_FILE), cache=BPE_CACHE).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     with small_batches(spark):  # the batches' size is fixed when the rows are computed
         return materialise(digests)
 

@@ -31,11 +31,11 @@ from .common import documents, slices, utf8
 #: Split pattern of byte-level BPE vocabularies; fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids one task remembers at most, in two generations.
-CACHE = 60_000
+CACHE = 120_000
 #: Bytes of text whose pieces a task holds at a time.
 STEP_BYTES = 1 << 19
 #: Leaves of the segment trees that are advanced together; bounds the temporary arrays.
-MERGED_CELLS = 1 << 16
+MERGED_CELLS = 1 << 17
 #: Longer pieces (in UTF-8 bytes) have a tree of their own each and are not remembered.
 SHORT_BYTES = 64
 
@@ -300,12 +300,12 @@ def decode_ids(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_
     return encoded.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{ids_col}` as array<int>) as ids").mapInArrow(run, "doc_id long, text string")
 
 
-def token_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token count and digests of the ids and of the text decoded from them, per document."""
+def token_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
+    """Token count and digests of the ids and of the text decoded from them, per document; ``cache`` trades memory for time."""
 
     def run(batches):
         pairs = BytePairs(vocab_path)
-        memory = _Memory(pairs)
+        memory = _Memory(pairs, cache)
         for batch in slices(batches, limit=STEP_BYTES):
             counts, ids_sha, text_sha, same = [], [], [], []
             texts = utf8(batch)

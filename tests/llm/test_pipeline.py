@@ -62,7 +62,7 @@ def test_near_copies_go_by_row_where_ids_repeat_or_are_null(spark):
 def test_whole_texts_reach_python_in_small_batches(spark, monkeypatch):
     docs = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", "concat('text ', id) as text")
 
-    def batch_sizes(docs, path):
+    def batch_sizes(docs, path, **_):
         def run(batches):
             for b in batches:
                 yield pa.record_batch([b.column("doc_id"), pa.array([b.num_rows] * b.num_rows, pa.int64()), b.column("text"), b.column("text")], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -98,4 +98,4 @@ def test_a_worker_remembers_few_of_many_different_words(monkeypatch):
     batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
     out = pa.Table.from_batches(bpe.token_digests(Rows(), public_tokenizers.path("byte_bpe_50k.json"))(iter([batch])))
     assert out.column("round_trip").to_pylist() == [True] * len(texts)
-    assert max(known) < 160_000
+    assert max(known) < 210_000
