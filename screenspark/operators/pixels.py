@@ -1,11 +1,15 @@
 """Image steps on exploded pixels ``img, ch, y, x, v``.
 
 Groups are single channels of one image, so exact percentiles and maxima have a bounded group;
-neighbourhoods are equi-joins on pixel keys.
+neighbourhoods are boxes of tiles, which do not join pixels, whose rows Spark takes for as few
+as their images and would broadcast, and do not deal them out anew if they lie by image.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +46,58 @@ def max_composite(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("ch", "y", "x").agg(F.max("v").alias("v"))
 
 
-def max_around(spots: DataFrame, pixels: DataFrame, before: int, after: int) -> DataFrame:
-    """``img, id, ch, v``: largest value in ``[y - before, y + after) x [x - before, x + after)``, cut at the image edge."""
-    reach = F.sequence(F.lit(-before), F.lit(after - 1))
-    rows = spots.withColumn("dy", F.explode(reach)).withColumn("dx", F.explode(reach))
-    cells = rows.select("img", "id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-    return cells.join(pixels, ["img", "y", "x"]).groupBy("img", "id", "ch").agg(F.max("v").alias("v"))
+def _box_max(before: int, after: int):
+    """``img, id, ch, v`` of the spots (rows with ``spot``) of one tile, from its pixels."""
+    reach = before + after
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ["img", "id", "ch", "v"]
+        is_spot = table.column("spot")
+        spots, px = table.filter(is_spot), table.filter(pc.invert(is_spot))
+        if not len(spots) or not len(px):
+            return table.slice(0, 0).select(names)
+        channels = px.column("ch").combine_chunks().dictionary_encode(null_encoding="encode")
+        sy, sx, y, x = (t.column(c).to_numpy() for t in (spots, px) for c in ("y", "x"))
+        y0, x0 = y.min() - after + 1, x.min() - after + 1  # the first places whose boxes meet a pixel
+        shape = (int(y.max() - y0) + before + reach, int(x.max() - x0) + before + reach, len(channels.dictionary))
+        at = (y - y0 + before, x - x0 + before, channels.indices.to_numpy())
+        known = px.column("v").is_valid().to_numpy()
+        v = px.column("v").to_numpy()
+        best, found, valued = np.full(shape, -np.inf), np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool)
+        np.maximum.at(best, tuple(k[known] for k in at), v[known])  # NaN counts as largest
+        found[at] = True
+        valued[tuple(k[known] for k in at)] = True
+        for axis in (0, 1):
+            views = lambda grid, axis=axis: [np.moveaxis(grid, axis, 0)[d : grid.shape[axis] - reach + 1 + d] for d in range(reach)]
+            best, found, valued = (np.moveaxis(op.reduce(views(grid)), 0, axis) for op, grid in ((np.maximum, best), (np.logical_or, found), (np.logical_or, valued)))
+        near = np.flatnonzero((sy >= y0) & (sy - y0 < best.shape[0]) & (sx >= x0) & (sx - x0 < best.shape[1]))
+        here = (sy[near] - y0, sx[near] - x0)
+        spot, ch = np.nonzero(found[here])
+        own = spots.take(pa.array(near[spot]))
+        top = pa.array(best[here][spot, ch], pa.float64(), mask=~valued[here][spot, ch])
+        return pa.table([own.column("img"), own.column("id"), channels.dictionary.take(pa.array(ch)), top], names=names)
+
+    return run
+
+
+def max_around(spots: DataFrame, pixels: DataFrame, before: int, after: int, tile: int = 256) -> DataFrame:
+    """``img, id, ch, v``: largest value in ``[y - before, y + after) x [x - before, x + after)``, cut at the image edge.
+
+    Spots go to the tile that holds them, pixels to all tiles with places whose boxes they lie in; a tile is one group.
+    Pixels that are dealt by a hash of ``img`` over ``spark.sql.shuffle.partitions`` stay where they are.
+    """
+    deal = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = lambda c: F.floor((c + (before + after)) / tile)
+    meets = lambda c: F.explode(F.sequence(cell(F.col(c) - (after - 1)), cell(F.col(c) + before)))
+    at = [F.col(c).cast("long").alias(c) for c in ("y", "x")]
+    kind = {c: d.schema[c].dataType for d, c in ((spots, "id"), (pixels, "ch"))}
+    px = pixels.select("img", F.lit(None).cast(kind["id"]).alias("id"), "ch", *at, F.col("v").cast("double").alias("v"), F.lit(False).alias("spot"))
+    px = px.dropna(subset=["img", "y", "x"]).withColumn("ty", meets("y")).withColumn("tx", meets("x"))
+    own = spots.select("img", "id", F.lit(None).cast(kind["ch"]).alias("ch"), *at, F.lit(None).cast("double").alias("v"), F.lit(True).alias("spot"))
+    own = own.dropna(subset=["img", "y", "x"]).withColumn("ty", cell(F.col("y"))).withColumn("tx", cell(F.col("x"))).repartition(deal, "img")
+    schema = px.select("img", "id", "ch", "v").schema
+    parts = px.union(own).groupBy("img", "ty", "tx").applyInArrow(_box_max(before, after), schema)
+    return parts.repartition("img", "id").groupBy("img", "id", "ch").agg(F.max("v").alias("v"))
 
 
 def brightest_base(levels: DataFrame, bases: str = "CATG") -> DataFrame:
