@@ -1,8 +1,8 @@
 """Image steps on exploded pixels ``img, ch, y, x, v``.
 
 Groups are single channels of one image, so exact percentiles and maxima have a bounded group;
-neighbourhoods are boxes of tiles, which do not join pixels, whose rows Spark takes for as few
-as their images and would broadcast, and do not deal them out anew if they lie by image.
+neighbourhoods are boxes of tiles and lines of pixels.  Neither joins pixels, whose rows Spark takes for as few
+as their images and would broadcast, and neither deals them out anew if they lie by image.
 """
 
 from __future__ import annotations
@@ -143,11 +143,16 @@ def fill_range(pixels: DataFrame, low: float, high: float, seed: str = "0") -> D
 
 
 def shift(pixels: DataFrame, dy: int, dx: int) -> DataFrame:
-    """Frames moved by whole pixels; what comes from outside is 0, and no offset leaves them as they are."""
+    """Frames moved by whole pixels; what comes from outside is 0, and no offset leaves them as they are.
+
+    A pixel and the one that moves to it lie on one line, so the value is looked up among the line's sorted pixels.
+    """
     if not dy and not dx:
         return pixels
-    moved = pixels.select("img", "ch", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("v").alias("w"))
-    return pixels.drop("v").join(moved, ["img", "ch", "y", "x"], "left").select("img", "ch", "y", "x", F.coalesce("w", F.lit(0.0)).alias("v"))
+    along, step = ("y", dy) if dy else ("x", dx)
+    line = Window.partitionBy("img", "ch", F.col("y") * dx - F.col("x") * dy).orderBy(along).rangeBetween(-step, -step)
+    placed = F.col("img").isNotNull() & F.col("ch").isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull()
+    return pixels.select("img", "ch", "y", "x", F.coalesce(F.when(placed, F.max("v").over(line)), F.lit(0.0)).alias("v"))
 
 
 def half_turn(pixels: DataFrame, height: int, width: int) -> DataFrame:

@@ -17,7 +17,7 @@ def ran(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["spot_intensities", "spot_maxima", "brightest_base"])
+@pytest.mark.parametrize("name", ["spot_intensities", "spot_maxima", "brightest_base", "shift_pixels"])
 def test_pixels_are_not_broadcast(spark, name):
     plan = ran(QUERIES[name](spark, SF))
     assert "Broadcast" not in plan and "CartesianProduct" not in plan
@@ -39,3 +39,13 @@ def test_maxima_around_spots_do_not_depend_on_tiles(spark, tile):
     want = {k: str(top(v)) for k, v in want.items()}
     found = pixels.max_around(spark.createDataFrame(spots, "img long, id string, y int, x long").repartition(3), spark.createDataFrame(px, "img long, ch int, y int, x int, v double").repartition(4), before, after, tile).collect()
     assert {(r.img, r.id, r.ch): str(r.v) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("by", [(3, -2), (-1, 0), (0, 2), (2, 2), (0, -3)])
+def test_shifted_frames_with_holes(spark, by):
+    draw = random.Random(6)
+    px = {(i, c, y, x): draw.choice([None, draw.random()]) for i in (0, 1) for c in (0, 1) for y in range(-2, 8) for x in range(9) if draw.random() < 0.7}
+    rows = [(*k, v) for k, v in px.items()] + [(0, 0, None, 1, 5.0), (0, None, 1, 1, 5.0)]
+    found = pixels.shift(spark.createDataFrame(rows, "img long, ch int, y int, x long, v double").repartition(5), *by).collect()
+    want = {(i, c, y, x): px.get((i, c, y - by[0], x - by[1])) or 0.0 for i, c, y, x in px} | {(0, 0, None, 1): 0.0, (0, None, 1, 1): 0.0}
+    assert {(r.img, r.ch, r.y, r.x): r.v for r in found} == want and len(found) == len(rows)
