@@ -3,9 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from screenspark.operators import pixels
+from screenspark.operators import pixels, spatial
+from screenspark.plans import fixtures as fx
 from screenspark.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +51,21 @@ def test_shifted_frames_with_holes(spark, by):
     found = pixels.shift(spark.createDataFrame(rows, "img long, ch int, y int, x long, v double").repartition(5), *by).collect()
     want = {(i, c, y, x): px.get((i, c, y - by[0], x - by[1])) or 0.0 for i, c, y, x in px} | {(0, 0, None, 1): 0.0, (0, None, 1, 1): 0.0}
     assert {(r.img, r.ch, r.y, r.x): r.v for r in found} == want and len(found) == len(rows)
+
+
+@pytest.mark.parametrize("tile,step,least", [(1, 7, 5), (2, 1 << 17, 1), (8, 100, 1 << 16)])
+def test_close_pairs_do_not_depend_on_tiles(spark, tile, step, least):
+    draw = np.random.default_rng(7)
+    at = np.concatenate([draw.uniform(-30, 30, (150, 2)), draw.normal(0, 0.5, (300, 2)), [(k, 2.0 * (k % 3)) for k in range(-6, 8, 2)], [(np.nextafter(2, 0), 9), (4, 9)]]).tolist()
+    points = [(k, *p) for k, p in enumerate(at)] + [(3, 0.0, 0.0), (3, 0.1, 0.0), (4, *at[4]), (None, 0.0, 0.0), (900, None, 0.0), (901, float("nan"), 0.0), (902, float("inf"), 0.0)]
+    close = lambda p, q: None not in (*p, *q) and p[0] != q[0] and (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= 4
+    want = sorted((p[0], q[0]) for p in points for q in points if close(p, q))
+    found = spatial.close_pairs(spark.createDataFrame(points, "id long, x double, y double").repartition(4), 2.0, tile, step, least).collect()
+    assert sorted(map(tuple, found)) == want
+    assert spatial.close_pairs(spark.createDataFrame([], "id long, x double, y double"), 2.0).collect() == []
+
+
+def test_radius_graph_shuffles_a_point_less_than_twice(spark):
+    spread = spatial.in_tiles(fx.points(spark, SF).toDF("id", "x", "y"), 2.0)
+    assert spread.count() < 2 * spark.read.parquet(f"{SF}/events.parquet").count()
+    assert spread.filter("own").count() == spread.select("id").distinct().count()
