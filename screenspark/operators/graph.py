@@ -6,61 +6,138 @@ Defined results: vectors of norm 0 have similarity 0 with all; rows with a null
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Rows of one block; a task multiplies two blocks.
-BLOCK = 2048
+#: Rows that a task looks up neighbours for, and rows of the products it makes for that.
+BLOCK, STEP = 1 << 16, 1 << 11
+
+#: Tasks that neighbours are looked up in at least, if they get ``STEP`` rows each.
+TASKS = 32
 
 
 # --- nearest neighbours ----------------------------------------------------------------
 
 
-def _unit(column) -> np.ndarray:
-    x = np.array(column.to_pylist(), dtype=np.float64)
+def _unit(column: pa.Array) -> np.ndarray:
+    wide = pc.list_value_length(column).to_numpy()
+    if len(wide) and (wide != wide[0]).any():
+        raise ValueError("vectors must have one length")
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _nearest(k: int):
-    """The ``k`` nearest of a block's rows on side 1 for each row on side 0."""
-
-    def run(table: pa.Table) -> pa.Table:
-        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
-        x = _unit(table.column("v"))
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        right = right[np.argsort(ids[right], kind="stable")]  # so that equal similarities keep the order of ids
-        out: list[tuple] = []
-        if len(left) and len(right):
-            near = np.round(x[left] @ x[right].T, 9)
-            near[ids[left][:, None] == ids[right]] = -np.inf
-            take = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            sims = np.take_along_axis(near, take, axis=1)
-            out = [(i, [{"sim": s, "id": o} for s, o in zip(srow, orow, strict=True) if s > -np.inf]) for i, srow, orow in zip(ids[left].tolist(), sims.tolist(), ids[right][take].tolist(), strict=True)]
-        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.struct([("sim", pa.float64()), ("id", pa.int64())])))], names=["id", "near"])
+class _Nearest:
+    """The ``k`` nearest of all rows met so far for each row of a block."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, step: int):
+        whole = ~np.isnan(x).any(axis=1)  # the others are near to none
+        self.ids, self.x, self.k, self.step = ids[whole], x[whole], k, step
+        self.rough = self.x.astype(np.float32)
+        self.margin = (x.shape[1] + 8) * 2.0**-23  # products of unit vectors in 32 bits are off by half of that at most
+        self.sims, self.others = np.full((len(self.ids), k), -np.inf), np.zeros((len(self.ids), k), dtype=np.int64)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        whole = ~np.isnan(x).any(axis=1)
+        ids, x = ids[whole], x[whole]
+        rough = x.astype(np.float32)
+        for a in range(0, len(self.ids), self.step):
+            rows = slice(a, a + self.step)
+            # what 32 bits let through is multiplied anew in 64
+            near = self.rough[rows] @ rough.T
+            least = self.sims[rows, -1]
+            if np.isneginf(least).any() and len(ids) > self.k:
+                least = np.maximum(least, np.partition(near, len(ids) - self.k - 1, axis=1)[:, len(ids) - self.k - 1] - self.margin)
+            i, j = np.nonzero(near >= (least - self.margin)[:, None].astype(np.float32))
+            i += a
+            apart = self.ids[i] != ids[j]
+            i, j = i[apart], j[apart]
+            sims = np.round(np.einsum("ij,ij->i", self.x[i], x[j]), 9)
+            good = sims >= self.sims[i, -1]
+            self._keep(i[good], sims[good], ids[j[good]])
+
+    def _keep(self, i: np.ndarray, sims: np.ndarray, others: np.ndarray) -> None:
+        rows = np.unique(i)
+        i = np.concatenate([i, np.repeat(rows, self.k)])
+        sims, others = np.concatenate([sims, self.sims[rows].ravel()]), np.concatenate([others, self.others[rows].ravel()])
+        order = np.lexsort((others, -sims, i))
+        i = i[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        first = place < self.k
+        self.sims[i[first], place[first]] = sims[order][first]
+        self.others[i[first], place[first]] = others[order][first]
+
+    def table(self) -> pa.RecordBatch:
+        found = self.sims > -np.inf
+        near = pa.StructArray.from_arrays([pa.array(self.sims[found]), pa.array(self.others[found])], names=["sim", "id"])
+        ends = np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids), pa.ListArray.from_arrays(pa.array(ends), near)], names=["id", "near"])
+
+
+def _lookup(k: int, step: int):
+    """Neighbours of the rows on side 0 of each pair of blocks among those on side 1, which follow them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, lefts, block = None, [], None
+        for batch in batches:
+            task, side = batch.column("task").to_numpy(), batch.column("side").to_numpy()
+            begun = np.flatnonzero((np.diff(task, prepend=-1) != 0) | (np.diff(side, prepend=-1) != 0))
+            for a, b in zip(begun, np.append(begun[1:], len(task)), strict=True):
+                if task[a] != pair:
+                    if block is not None:
+                        yield block.table()
+                    pair, lefts, block = task[a], [], None
+                part = batch.slice(a, b - a)
+                ids, v = part.column("id").to_numpy(), part.column("v")
+                if side[a] == 0:
+                    lefts.append((ids, _unit(v)))
+                    continue
+                if block is None and lefts:
+                    block = _Nearest(np.concatenate([x[0] for x in lefts]), np.concatenate([x[1] for x in lefts]), k, step)
+                    lefts = []
+                for c in range(0, len(ids) if block else 0, step):
+                    block.meet(ids[c : c + step], _unit(v.slice(c, step)))
+        if block is not None:
+            yield block.table()
 
     return run
 
 
-def knn_graph(df: DataFrame, k: int, ident: str = "id", vector: str = "features", block: int = BLOCK) -> DataFrame:
+def dealt(n: int, block: int, step: int, tasks: int) -> tuple[int, int]:
+    """Blocks and parts of ``n`` rows: as few copies of a row as give so many tasks, none of them below ``step`` rows."""
+    most = max(1, -(-n // step))
+    blocks = max(-(-n // block), min(math.isqrt(tasks) + 1, most), 1)
+    return blocks, min(-(-tasks // blocks), most)
+
+
+def knn_graph(df: DataFrame, k: int, ident: str = "id", vector: str = "features", block: int = BLOCK, step: int = STEP) -> DataFrame:
     """``id, other, rank, sim``: the ``k`` rows most similar to each row by cosine, the row itself apart.
 
-    Rows are dealt to blocks by a hash of the id; every block meets every block in a task of its own, which keeps ``k`` rows for each
-    of its rows, so partial lists of ``k`` rows are all that is shuffled after the products.
+    Rows are dealt by a hash of the id to blocks whose neighbours are wanted and to parts they are wanted among, one task for each pair.  A block is held
+    in memory, about ``block`` rows; the part streams past it ``step`` rows at a time.  A row is thus copied once per block and once per part; there are no
+    more of either than ``block``, ``TASKS`` and the session's cores ask for.  Partial lists of ``k`` rows per part are all that is shuffled after the products.
     """
-    rows = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).dropna()
-    n = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    left = rows.select(own.alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "id", "v")
-    right = rows.select(F.explode(every).alias("i"), own.alias("j"), F.lit(1).alias("side"), "id", "v")
-    parts = left.union(right).groupBy("i", "j").applyInArrow(_nearest(k), "id long, near array<struct<sim: double, id: long>>")
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).dropna()
+    n = rows.count()
+    blocks, parts = dealt(n, block, step, max(TASKS, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    own = F.xxhash64("id")
+    left = rows.select(F.pmod(own, F.lit(blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"), F.lit(0).alias("side"), "id", "v")
+    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.pmod(F.shiftright(own, 20), F.lit(parts)).alias("j"), F.lit(1).alias("side"), "id", "v")
+    both = left.union(right).select((F.col("i") * parts + F.col("j")).cast("int").alias("task"), "side", "id", "v")
+    placed = both.repartitionById(blocks * parts, "task").sortWithinPartitions("task", "side")
+    found = placed.mapInArrow(_lookup(k, step), "id long, near array<struct<sim: double, id: long>>")
     order = lambda a, b: F.when(a["sim"] > b["sim"], -1).when(a["sim"] < b["sim"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
-    best = parts.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near")), order), 1, k).alias("near"))
+    best = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near")), order), 1, k).alias("near"))
     return best.select("id", F.posexplode("near").alias("rank", "n")).select("id", F.col("n.id").alias("other"), (F.col("rank") + 1).alias("rank"), F.col("n.sim").alias("sim"))
 
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from screenspark.operators import pixels, spatial
+from screenspark.operators import graph, pixels, spatial
 from screenspark.plans import fixtures as fx
 from screenspark.queries import QUERIES
 
@@ -69,3 +69,40 @@ def test_radius_graph_shuffles_a_point_less_than_twice(spark):
     spread = spatial.in_tiles(fx.points(spark, SF).toDF("id", "x", "y"), 2.0)
     assert spread.count() < 2 * spark.read.parquet(f"{SF}/events.parquet").count()
     assert spread.filter("own").count() == spread.select("id").distinct().count()
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("block,step", [(13, 4), (50, 64), (1 << 16, 1 << 11)])
+def test_neighbours_do_not_depend_on_blocks(spark, block, step, kind):
+    x = np.random.default_rng(9).normal(size=(120, 5)).astype(np.float32)
+    x[100:] = x[:20]
+    x[40:43] = 0
+    x[60, 2], x[61, 1] = np.nan, np.inf  # without a norm, as if 0; near to none
+    rows = [(i * 3 - 50, row) for i, row in enumerate(x.tolist())] + [(None, [0.0] * 5), (7777, None)]
+    found = graph.knn_graph(spark.createDataFrame(rows, f"id long, features array<{kind}>").repartition(5), 6, block=block, step=step).collect()
+    x = x.astype(float)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    good = [i for i in range(120) if i != 61]
+    u[61] = 0
+    sim = np.round(u @ u.T, 9)
+    want = {i * 3 - 50: [j * 3 - 50 for j in sorted((j for j in good if j != i), key=lambda j: (-sim[i, j], j))[:6]] for i in good}
+    assert {i: [r.other for r in sorted((r for r in found if r.id == i), key=lambda r: r.rank)] for i in {r.id for r in found}} == want
+    assert {r.rank for r in found} == set(range(1, 7)) and len(found) == 6 * len(good)
+
+
+def test_neighbour_tasks_copy_a_row_a_few_times(spark):
+    df = spark.range(30_000).selectExpr("id", "transform(sequence(1, 4), k -> sin(id * k)) AS features")
+    found = graph.knn_graph(df, 2)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    tasks = max(graph.TASKS, 2 * spark.sparkContext.defaultParallelism)
+    blocks, parts = graph.dealt(30_000, graph.BLOCK, graph.STEP, tasks)
+    assert blocks * parts >= tasks and blocks + parts <= 2 * math.isqrt(tasks) + 2
+    assert sum(graph.dealt(600_000, graph.BLOCK, graph.STEP, 32)) <= 14  # 586 copies with blocks of 2,048 rows
+
+
+def test_vectors_of_two_lengths_raise(spark):
+    with pytest.raises(Exception, match="one length"):
+        graph.knn_graph(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, features array<double>"), 1).collect()
