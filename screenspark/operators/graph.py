@@ -23,6 +23,14 @@ BLOCK, STEP = 1 << 16, 1 << 11
 #: Tasks that neighbours are looked up in at least, if they get ``STEP`` rows each.
 TASKS = 32
 
+#: Links up to which the rounds of ``communities`` run in the driver: some 100 MB of arrays, whatever the graph they were contracted from.
+HERE = 1 << 20
+
+#: Gains up to this are rounding.
+LEAST_GAIN = 1e-9
+
+_PRIME = (1 << 31) - 1
+
 
 # --- nearest neighbours ----------------------------------------------------------------
 
@@ -157,35 +165,127 @@ def quality(edges: DataFrame, members: DataFrame, resolution: float) -> float:
     return (held["own"] or 0.0) - resolution * density * pairs
 
 
-def _moves(edges: DataFrame, members: DataFrame, price: float, largest: int | None) -> DataFrame:
-    """``v, c, to, gain``: the best move of each vertex that raises the quality, no community in two of them."""
-    both = edges.filter("a <> b")
-    both = both.select("a", "b", "w").union(both.select("b", "a", "w")).toDF("v", "u", "w")
+def _factor(turn: int) -> int:
+    """What hashes of a turn multiply ids by, modulo ``_PRIME``; the first powers would leave small ids in order."""
+    return pow(48271, turn + 10, _PRIME)
+
+
+def _moves(both: DataFrame, members: DataFrame, price: float, largest: int | None, turn: int) -> DataFrame:
+    """``v, to, gain``: moves that raise the quality together by at least a part of each one's ``gain``; ``both(v, u, w)`` has links both ways round.
+
+    Each vertex names its best move.  Of the moves that touch a community the first says whether it gives or takes in this turn, and only moves
+    from givers to takers go on.  A taker loses nobody, so links count at least what each move counted; what moves of one giver or taker cost
+    each other is ``price`` times the product of their sizes, and a move stays if its gain outweighs that for all moves before it.
+    A taker also stops once it has doubled: communities that grow in a single turn end up worse.  The first of all moves always stays.
+    """
     sizes = members.groupBy("c").agg(F.sum("size").alias("s"))
     links = both.join(members.select(F.col("v").alias("u"), F.col("c").alias("to")), "u").groupBy("v", "to").agg(F.sum("w").alias("w"))
     own = members.join(sizes, "c").select("v", "size", "c", F.col("s").alias("s_own"))
     stay = links.withColumnRenamed("to", "c").withColumnRenamed("w", "w_own")
     found = links.join(own, "v").filter("to <> c").join(sizes.toDF("to", "s_to"), "to").join(stay, ["v", "c"], "left")
-    gain = F.col("w") - F.coalesce("w_own", F.lit(0.0)) - price * F.col("size") * (F.col("s_to") - (F.col("s_own") - F.col("size")))
-    found = found.withColumn("gain", F.round(gain, 9)).filter("gain > 0")
+    gain = F.col("w") - F.coalesce("w_own", F.lit(0.0)) - price * (F.col("size") * (F.col("s_to") - (F.col("s_own") - F.col("size"))))
+    found = found.withColumn("gain", gain).filter(F.col("gain") > LEAST_GAIN)
     if largest is not None:
         found = found.filter(F.col("s_to") + F.col("size") <= largest)
-    rank = F.struct("gain", (-F.col("v")).alias("v"), (-F.col("to")).alias("to"))
-    best = found.groupBy("v", "c").agg(F.max(rank).alias("m")).select("v", "c", (-F.col("m.to")).alias("to"), F.col("m.gain").alias("gain"))
-    # a move changes two communities; of all moves that touch one, only the first may go on, so gains add up
-    mark = F.struct("gain", (-F.col("v")).alias("v"))
-    first = best.select(F.explode(F.array("c", "to")).alias("k"), mark.alias("m")).groupBy("k").agg(F.max("m").alias("m"))
-    kept = best.withColumn("mark", mark).join(first.toDF("c", "mc"), "c").join(first.toDF("to", "mt"), "to")
-    return kept.filter("mark = mc AND mark = mt").select("v", "to", "gain")
+    # equal gains go by a hash of their target, another one each turn: by ids, hardly any community would take
+    toss = lambda c: F.pmod(F.col(c), F.lit(_PRIME)) * _factor(turn) % _PRIME
+    rank = F.struct("gain", toss("to").alias("h"), (-F.col("to")).alias("to"), "s_to")
+    best = found.groupBy("v", "c", "size").agg(F.max(rank).alias("m")).select("v", "c", "size", (-F.col("m.to")).alias("to"), "m.gain", "m.s_to")
+    best = best.withColumn("mark", F.struct("gain", toss("to").alias("h"), (-F.col("to")).alias("to"), (-F.col("v")).alias("v")))
+    sides = F.array(F.struct(F.col("c").alias("k"), F.lit(False).alias("takes")), F.struct(F.col("to").alias("k"), F.lit(True).alias("takes")))
+    role = best.select("mark", F.explode(sides).alias("r")).groupBy("r.k").agg(F.max_by("r.takes", "mark").alias("takes"))
+    kept = best.join(role.filter("NOT takes").select(F.col("k").alias("c")), "c").join(role.filter("takes").select(F.col("k").alias("to")), "to")
+    before = lambda key: F.coalesce(F.sum("size").over(Window.partitionBy(key).orderBy(F.desc("mark")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = kept.withColumn("joined", before("to")).withColumn("left", before("c"))
+    kept = kept.withColumn("gain", F.col("gain") - price * (F.col("size") * (F.col("joined") + F.col("left")))).filter((F.col("gain") > LEAST_GAIN) & (F.col("joined") < F.col("s_to")))
+    if largest is not None:
+        kept = kept.filter(F.col("s_to") + F.col("joined") + F.col("size") <= largest)
+    return kept.select("v", "to", "gain")
+
+
+def _moves_here(links: tuple[np.ndarray, ...], names: np.ndarray, size: np.ndarray, c: np.ndarray, price: float, largest: int | None, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices and the communities they move to: ``_moves`` on arrays, with the same results.  Vertices are places in the sorted ``names``."""
+    v, u, w = links
+    n, most = len(names), np.inf if largest is None else largest
+    held = np.bincount(c, size, n).astype(np.int64)
+    key = v * n + c[u]
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    weight = np.add.reduceat(w[order], first) if len(first) else w[:0]
+    at, to = v[order][first], c[u[order][first]]
+    inside = to == c[at]
+    own = np.zeros(n)
+    own[at[inside]] = weight[inside]
+    gain = weight - own[at] - price * (size[at] * (held[to] - (held[c[at]] - size[at])))
+    good = ~inside & (gain > LEAST_GAIN) & (held[to] + size[at] <= most)
+    at, to, gain = at[good], to[good], gain[good]
+    toss = np.mod(names, _PRIME) * _factor(turn) % _PRIME
+    order = np.lexsort((to, -toss[to], -gain, at))
+    best = order[np.flatnonzero(np.diff(at[order], prepend=-1))]
+    best = best[np.lexsort((at[best], to[best], -toss[to[best]], -gain[best]))]
+    at, to, gain = at[best], to[best], gain[best]
+    top = np.full(n, len(at))
+    for side in (c[at], to):
+        np.minimum.at(top, side, np.arange(len(at)))
+    takes = np.zeros(n, dtype=bool)
+    touched = np.flatnonzero(top < len(at))
+    takes[touched] = to[top[touched]] == touched
+    go = takes[to] & ~takes[c[at]]
+    at, to, gain = at[go], to[go], gain[go]
+
+    def before(group: np.ndarray) -> np.ndarray:
+        order = np.argsort(group, kind="stable")
+        total = np.cumsum(size[at][order]) - size[at][order]
+        begun = np.flatnonzero(np.diff(group[order], prepend=-1))
+        out = np.empty(len(group), dtype=np.int64)
+        out[order] = total - np.repeat(total[begun], np.diff(np.append(begun, len(group))))
+        return out
+
+    joined, left = before(to), before(c[at])
+    stays = (joined < held[to]) & (gain - price * (size[at] * (joined + left)) > LEAST_GAIN) & (held[to] + joined + size[at] <= most)
+    return at[stays], to[stays]
+
+
+def _levels_here(graph: DataFrame, state: DataFrame, price: float, resolution: float, largest: int | None, turn: int, trace: list[float] | None) -> DataFrame:
+    """``v, c`` of the vertices of ``state`` after all rounds and levels, made in the driver."""
+    table = state.orderBy("v").toArrow()
+    names, size = table.column("v").to_numpy(), table.column("size").to_numpy()
+    edges = graph.toArrow()
+    a, b = (np.searchsorted(names, edges.column(k).to_numpy()) for k in ("a", "b"))
+    w = edges.column("w").to_numpy()
+    ids, node = names, np.arange(len(names))  # the vertex of the contracted graph that holds each of ``ids``
+    while True:
+        n, c, moved = len(names), np.arange(len(names)), False
+        apart = a != b
+        links = tuple(np.concatenate(k) for k in ((a[apart], b[apart]), (b[apart], a[apart]), (w[apart], w[apart])))
+        while True:
+            turn += 1
+            at, to = _moves_here(links, names, size, c, price, largest, turn)
+            if not len(at):
+                break
+            moved = True
+            c[at] = to
+            if trace is not None:
+                held, every = np.bincount(c, size), float(size.sum())
+                density = w.sum() / (every * (every - 1) / 2) if every > 1 else 0.0
+                trace.append(float(w[c[a] == c[b]].sum() - resolution * density * (held * (held - 1) / 2).sum()))
+        if not moved:
+            break
+        kept, c = np.unique(c, return_inverse=True)
+        names, size, node = names[kept], np.bincount(c, size).astype(np.int64), c[node]
+        key, place = np.unique(np.minimum(c[a], c[b]) * n + np.maximum(c[a], c[b]), return_inverse=True)
+        a, b, w = key // n, key % n, np.bincount(place, w, len(key))
+    return state.sparkSession.createDataFrame(pa.table([pa.array(ids, pa.int64()), pa.array(names[node], pa.int64())], names=["v", "c"]))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, largest: int | None = None, trace: list[float] | None = None) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, largest: int | None = None, trace: list[float] | None = None, here: int = HERE) -> DataFrame:
     """``v, c``: communities of the undirected graph ``edges(a, b)``, named by their smallest vertex.
 
-    Quality (``quality``) is raised by moving vertices in rounds; in a round every community takes part in one move at most, the one of largest
-    gain, so each round raises it by the sum of the gains.  When nothing moves, communities become vertices of a contracted graph
-    and rounds go on there, until a level moves nothing.  Nothing is drawn at random and all ties go to the smallest ids, so labels depend on
-    the graph alone.  ``trace`` gets the quality after every round.  ``largest`` limits vertices per community.
+    Quality (``quality``) is raised by moving vertices in rounds; in a round every community either gives vertices or takes some (``_moves``), so
+    the moves of a round raise it together.  When nothing moves, communities become vertices of a contracted graph
+    and rounds go on there, until a level moves nothing.  Nothing is drawn at random and ties go by hashes of ids, so labels depend on
+    the graph alone.  ``trace`` gets the quality after every round.  ``largest`` limits vertices per community.  From the level on that has at most
+    ``here`` links, rounds run in the driver, where they give the same labels.
     """
     pairs = edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).dropna().filter("a <> b").distinct()
     graph = cut(pairs.withColumn("w", F.lit(1.0)))
@@ -195,14 +295,23 @@ def communities(edges: DataFrame, resolution: float = 1.0, largest: int | None =
     price = resolution * graph.count() / (n * (n - 1) / 2) if n > 1 else 0.0
     if trace is not None:
         trace.append(quality(graph, state, resolution))
+    turn, links = 0, graph.count()
     while True:
+        if links <= here:
+            final = cut(_levels_here(graph, state, price, resolution, largest, turn, trace))
+            whole = whole.withColumnRenamed("c", "node").join(final.select(F.col("v").alias("node"), "c"), "node").select("v", "c")
+            break
         moved = False
+        ends = graph.filter("a <> b")
+        both = cut(ends.select("a", "b", "w").union(ends.select("b", "a", "w")).toDF("v", "u", "w"))
         while True:
-            step = cut(_moves(graph, state, price, largest))
-            if step.isEmpty():
+            turn += 1
+            step = _moves(both, state, price, largest, turn).select("v", "to")
+            after = cut(state.join(step, "v", "left").select("v", "size", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
+            if after.filter("moved").isEmpty():
                 break
             moved = True
-            state = cut(state.join(step, "v", "left").select("v", "size", F.coalesce("to", "c").alias("c")))
+            state = after.drop("moved")
             if trace is not None:
                 trace.append(quality(graph, state, resolution))
         if not moved:
@@ -211,4 +320,5 @@ def communities(edges: DataFrame, resolution: float = 1.0, largest: int | None =
         ends = graph.join(state.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(state.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
         graph = cut(ends.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
         state = cut(state.groupBy("c").agg(F.sum("size").alias("size")).select(F.col("c").alias("v"), "size", "c"))
+        links = graph.count()
     return whole.withColumn("c", F.min("v").over(Window.partitionBy("c")))

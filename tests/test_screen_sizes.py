@@ -71,6 +71,17 @@ def test_radius_graph_shuffles_a_point_less_than_twice(spark):
     assert spread.filter("own").count() == spread.select("id").distinct().count()
 
 
+@pytest.mark.parametrize("largest", [None, 7])
+def test_rounds_in_the_driver_and_in_tasks_give_the_same_communities(spark, largest):
+    draw = random.Random(8)
+    edges = [(a * 5 - 40, b * 5 - 40) for a in range(70) for b in range(a) if draw.random() < (0.5 if a // 10 == b // 10 else 0.05)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    (near, one), (far, two) = (({r.v: r.c for r in graph.communities(df, 1.0, largest, trace, here).collect()}, trace) for here, trace in ((1 << 20, []), (0, [])))
+    assert near == far and len(one) < 60
+    assert one == pytest.approx(two) and all(a < b for a, b in zip(one, one[1:]))
+    assert largest is None or max(list(near.values()).count(c) for c in near.values()) <= largest
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 @pytest.mark.parametrize("block,step", [(13, 4), (50, 64), (1 << 16, 1 << 11)])
 def test_neighbours_do_not_depend_on_blocks(spark, block, step, kind):
