@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from screenspark.operators import graph, pixels, spatial
+from screenspark.operators import barcodes, graph, pixels, spatial
 from screenspark.plans import fixtures as fx
 from screenspark.queries import QUERIES
 
@@ -117,3 +118,23 @@ def test_neighbour_tasks_copy_a_row_a_few_times(spark):
 def test_vectors_of_two_lengths_raise(spark):
     with pytest.raises(Exception, match="one length"):
         graph.knn_graph(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, features array<double>"), 1).collect()
+
+
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_guides_of_one_prefix_are_counted_before_the_join(spark, monkeypatch, few):
+    monkeypatch.setattr(barcodes, "FEW", few)
+    library = spark.createDataFrame([("CATG" + str(k), f"g{k % 2}") for k in range(5000)] + [("TTTTT", "g9"), ("TTTTA", None), (None, "g1")], "sgRNA string, gene_id string")
+    found = spark.createDataFrame([(1, "CATG"), (2, "CANG"), (3, "GGGG"), (4, "TTTT"), (5, "CATG"), (6, None)], "id int, barcode string")
+    valid = barcodes.valid_barcodes(found, library, 4)
+    got = [tuple(r) for r in valid.select("id", "barcode", "gene_id").collect()]
+    want = [(i, "CATG", f"g{k % 2}") for i in (1, 5) for k in range(5000)] + [(4, "TTTT", "g9"), (4, "TTTT", None)]
+    assert sorted(got, key=str) == sorted(want, key=str) and sorted(valid.columns) == ["barcode", "gene_id", "id"]
+    # the join itself has a row per gene of a prefix
+    assert "Generate explode(sequence(" in valid._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_guides_of_few_prefixes_are_made_in_many_tasks(spark):
+    library = spark.range(4000).selectExpr("concat('CAT', id) AS sgRNA", "'g' AS gene_id")
+    found = spark.range(400).selectExpr("id", "'CAT' AS barcode")
+    made = barcodes.valid_barcodes(found, library, 3).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in made) == 1_600_000 and len(made) > 4 and max(r["count"] for r in made) < 800_000
